@@ -142,10 +142,10 @@ def _flat(column):
 
 
 def _merge_round(batches, level, capacity, last):
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
-    table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).combine_chunks()
+    table = pa.Table.from_batches(held).sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).combine_chunks()
     names = table["sequence_id"].to_numpy()
     first = np.concatenate([[True], names[1:] != names[:-1]])
     group = np.cumsum(first) - 1
