@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontamination
+from .jaccard import op7_ngram_jaccard
 from .language import op5_language_id
 from .packing import op1_best_fit_packing
 from .quality import op6_quality_rules
+from .scoring import op10_lm_scoring
 from .token_binary import op8_token_binary
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_decontamination, op5_language_id, op6_quality_rules, op8_token_binary)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op3_decontamination,
+        op5_language_id,
+        op6_quality_rules,
+        op7_ngram_jaccard,
+        op8_token_binary,
+        op10_lm_scoring,
+    )
+}
 ORACLES: dict[str, str] = {}
