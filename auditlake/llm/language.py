@@ -183,19 +183,19 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         else:
             names, score, rate = np.full(len(size), "und", object), np.zeros(len(size)), np.zeros(len(size))
         out |= {
-            "lang_pred": pa.array(names.tolist(), pa.string()),
-            "score": pa.array(np.where(letters, score, 0.0), pa.float64()),
-            "bits_per_byte": pa.array(rate, pa.float64()),
+            "_lg_pred": pa.array(names.tolist(), pa.string()),
+            "_lg_score": pa.array(np.where(letters, score, 0.0), pa.float64()),
+            "_lg_bits": pa.array(rate, pa.float64()),
         }
         yield pa.RecordBatch.from_pydict(out)
 
 
 def predict(docs: DataFrame, trees: ContextTrees, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs, with lang_pred, score and bits_per_byte. No shuffle."""
+    """Columns `keep` of docs, with _lg_pred, _lg_score and _lg_bits (a byte). No shuffle."""
     spark = tune(docs.sparkSession)
     shared = spark.sparkContext.broadcast(trees)
     source = docs.select(*keep, F.lower("text").alias("_lg_text"), F.col("text").rlike(r"\p{L}").alias("_lg_letters"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    schema = docs.select(*keep).schema.add("_lg_pred", "string").add("_lg_score", "double").add("_lg_bits", "double")
 
     def step(batches):
         return _predict(batches, shared)
@@ -205,14 +205,15 @@ def predict(docs: DataFrame, trees: ContextTrees, keep: list[str]) -> DataFrame:
 
 def accepted(pred: DataFrame):
     """A text passes unless it is `und`, undecided, or like none of the learned languages."""
-    return (pred["lang_pred"] != "und") & (pred["score"] >= 0.5) & (pred["bits_per_byte"] <= MOST_BITS)
+    return (pred["_lg_pred"] != "und") & (pred["_lg_score"] >= 0.5) & (pred["_lg_bits"] <= MOST_BITS)
 
 
 def identify(docs: DataFrame, folds: int = 3, held: int = 1, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     remainder = fold(F.col("doc_id"), folds)
     trees = train(docs.filter(remainder != held), sample_bytes)
     pred = predict(docs, trees, ["doc_id"])
-    return pred.select("doc_id", (remainder == held).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    names = {"_lg_pred": "lang_pred", "_lg_score": "score", "_lg_bits": "bits_per_byte"}
+    return pred.select("doc_id", (remainder == held).alias("held_out"), *(F.col(a).alias(b) for a, b in names.items()))
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
