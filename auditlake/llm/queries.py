@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
+from .chat import op9_chat_formatting
 from .decontaminate import op3_decontamination
 from .jaccard import op7_ngram_jaccard
 from .language import op5_language_id
+from .licenses import op2_license_scan
 from .packing import op1_best_fit_packing
 from .quality import op6_quality_rules
 from .scoring import op10_lm_scoring
 from .token_binary import op8_token_binary
+from .token_counts import op4_token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_license_scan,
         op3_decontamination,
+        op4_token_counts,
         op5_language_id,
         op6_quality_rules,
         op7_ngram_jaccard,
         op8_token_binary,
+        op9_chat_formatting,
         op10_lm_scoring,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
+#: SQL where it can express the result; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
