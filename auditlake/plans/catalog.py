@@ -73,9 +73,9 @@ made AS (
     CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS rank
   FROM findings),
 firsts AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY site, id ORDER BY seq) = 1),
-pageurls AS (SELECT site, skill, severity, title, action, url, min(seq) AS at FROM firsts GROUP BY ALL),
-urlranks AS (SELECT *, row_number() OVER (PARTITION BY site, skill, severity, title, action ORDER BY at) AS r, count(*) OVER (PARTITION BY site, skill, severity, title, action) AS n FROM pageurls),
-urllists AS (SELECT site, skill, severity, title, action, any_value(n) AS n, string_agg(url, ', ' ORDER BY at) FILTER (r <= 6) || CASE WHEN any_value(n) > 6 THEN ' …' ELSE '' END AS shown FROM urlranks GROUP BY ALL),
+pageurls AS (SELECT site, skill, severity, title, action, url, min(seq) AS seen FROM firsts GROUP BY ALL),
+urlranks AS (SELECT *, row_number() OVER (PARTITION BY site, skill, severity, title, action ORDER BY seen) AS r, count(*) OVER (PARTITION BY site, skill, severity, title, action) AS n FROM pageurls),
+urllists AS (SELECT site, skill, severity, title, action, any_value(n) AS n, string_agg(url, ', ' ORDER BY seen) FILTER (r <= 6) || CASE WHEN any_value(n) > 6 THEN ' …' ELSE '' END AS shown FROM urlranks GROUP BY ALL),
 heads AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY site, skill, severity, title, action ORDER BY seq) = 1),
 collapsed AS (
   SELECT h.* EXCLUDE (observed), CASE WHEN u.n > 1 THEN observed || '  Affects ' || u.n || ' pages: ' || u.shown || '.' ELSE observed END AS observed
@@ -207,7 +207,7 @@ _P = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _U = f"""u AS (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES {_URLS}) t(url)),
 p AS (SELECT url, lower(regexp_extract(url, '{_P}', 1)) AS scheme, regexp_extract(url, '{_P}', 2) AS netloc, regexp_extract(url, '{_P}', 3) AS path,
   regexp_extract(url, '{_P}', 4) AS query, lower(regexp_replace(regexp_extract(url, '{_P}', 2), ':\\d*$', '')) AS host,
-  list_filter(string_split(regexp_extract(url, '{_P}', 3), '/'), x -> x <> '') AS segs FROM u)"""
+  list_filter(string_split(regexp_extract(url, '{_P}', 3), '/'), lambda x: x <> '') AS segs FROM u)"""
 
 
 def url_rows(spark, sf):
@@ -220,9 +220,9 @@ def _anyre(patterns) -> str:
 
 _TRACK = ", ".join(f"'{t}'" for t in fixed.TRACKING_IN_IDENTITY)
 
-query("url_normalize", f"""WITH {_U}, q AS (SELECT *, list_filter(list_transform(list_filter(string_split(query, '&'), x -> x <> ''), x -> struct_pack(k := url_decode(replace(split_part(x, '=', 1), '+', ' ')), v := url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, instr(x, '=') + 1) ELSE '' END, '+', ' ')))), x -> lower(x.k) NOT IN ({_TRACK})) AS prs FROM p)
+query("url_normalize", f"""WITH {_U}, q AS (SELECT *, list_filter(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: struct_pack(k := url_decode(replace(split_part(x, '=', 1), '+', ' ')), v := url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, instr(x, '=') + 1) ELSE '' END, '+', ' ')))), lambda x: lower(x.k) NOT IN ({_TRACK})) AS prs FROM p)
 SELECT url, scheme || '://' || host || CASE WHEN regexp_matches(netloc, ':\\d+$') AND NOT (scheme = 'https' AND netloc LIKE '%:443') AND NOT (scheme = 'http' AND netloc LIKE '%:80') THEN regexp_extract(netloc, '(:\\d+)$', 1) ELSE '' END
- || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(prs) = 0 THEN '' ELSE '?' || array_to_string(list_transform(list_sort(prs), x -> replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') END AS normal FROM q""")(
+ || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(prs) = 0 THEN '' ELSE '?' || array_to_string(list_transform(list_sort(prs), lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') END AS normal FROM q""")(
     lambda spark, sf: url_rows(spark, sf).withColumn("normal", urls.normalize(F.col("url"))))
 query("url_parts", f"WITH {_U} SELECT url, scheme, netloc, path, query, host FROM p")(
     lambda spark, sf: url_rows(spark, sf).select("url", *[f(F.col("url")).alias(n) for n, f in (("scheme", urls.scheme), ("netloc", urls.netloc), ("path", urls.path), ("query", urls.query), ("host", urls.host))]))
@@ -236,11 +236,11 @@ query("url_first_section", f"WITH {_U} SELECT url, coalesce(segs[1], 'root') AS
     lambda spark, sf: url_rows(spark, sf).select("url", urls.first_section(F.col("url")).alias("section")))
 query("url_date_rank", f"WITH {_U} SELECT url, coalesce(-try_cast(regexp_extract(path, '/(20\\d{{2}})/(\\d{{1,2}})/(\\d{{1,2}})(?:/|$)', 1) || lpad(regexp_extract(path, '/(20\\d{{2}})/(\\d{{1,2}})/(\\d{{1,2}})(?:/|$)', 2), 2, '0') || lpad(regexp_extract(path, '/(20\\d{{2}})/(\\d{{1,2}})/(\\d{{1,2}})(?:/|$)', 3), 2, '0') AS INTEGER), 0) AS rank FROM (SELECT url, path FROM p WHERE regexp_matches(path, '/20\\d{{2}}/\\d{{1,2}}/\\d{{1,2}}(?:/|$)')) UNION ALL (WITH {_U} SELECT url, 0 FROM p WHERE NOT regexp_matches(path, '/20\\d{{2}}/\\d{{1,2}}/\\d{{1,2}}(?:/|$)'))")(
     lambda spark, sf: url_rows(spark, sf).select("url", urls.date_rank(F.col("url")).alias("rank")))
-query("url_query_params", f"WITH {_U} SELECT url, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(query, '&'), x -> contains(x, '=') AND NOT x LIKE '%='), x -> split_part(x, '=', 1)))), ',') AS keys FROM p")(
+query("url_query_params", f"WITH {_U} SELECT url, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(query, '&'), lambda x: contains(x, '=') AND NOT x LIKE '%='), lambda x: split_part(x, '=', 1)))), ',') AS keys FROM p")(
     lambda spark, sf: url_rows(spark, sf).select("url", F.array_join(F.array_sort(urls.query_keys(F.col("url"))), ",").alias("keys")))
 query("url_defrag", "SELECT url, split_part(url, '#', 1) AS bare FROM pages")(
     lambda spark, sf: read(spark, sf, "pages").select("url", urls.defrag(F.col("url")).alias("bare")))
-query("url_canonical_match", "SELECT page_id, rtrim(split_part(url, '#', 1), '/') = rtrim(split_part(lower(url), '?', 1), '/') AS same FROM pages")(
+query("url_canonical_match", "SELECT page_id, rtrim(split_part(url, '#', 1), '/') = rtrim(split_part(split_part(lower(url), '?', 1), '#', 1), '/') AS same FROM pages")(
     lambda spark, sf: read(spark, sf, "pages").select("page_id", urls.canonical_match(F.substring_index(F.lower("url"), "?", 1), F.col("url")).alias("same")))
 query("url_same_site", f"WITH {_U} SELECT url, host = 'x.example' AND scheme IN ('http', 'https') AS same FROM p")(
     lambda spark, sf: url_rows(spark, sf).select("url", urls.same_site(F.col("url"), F.lit("https://www.x.example/")).alias("same")))
@@ -305,12 +305,12 @@ def sitemap_rows(spark, sf):
     return o.select(F.concat(F.lit("s"), c).alias("site"), F.concat(F.lit("https://m.example/s"), c, F.lit(".xml")).alias("sitemap_url"), loc.alias("loc"), lastmod.alias("lastmod"))
 
 
-query("agg_lastmod", f"""WITH {_SITEMAP_SQL}, d AS (SELECT *, CASE WHEN length(lastmod) = 7 THEN try_cast(lastmod || '-01' AS TIMESTAMP) WHEN length(lastmod) = 10 THEN try_cast(lastmod AS TIMESTAMP) ELSE try_cast(replace(replace(lastmod, 'T', ' '), 'Z', '') AS TIMESTAMP) END AS at FROM sm)
-SELECT sitemap_url, count(lastmod) AS total_with_lastmod, count(*) - count(lastmod) AS total_without_lastmod, count(*) FILTER (floor(epoch(TIMESTAMP '{AS_OF}' - at) / 86400) > 365) AS stale_count,
- strftime(min(at), '%Y-%m-%d') AS oldest_lastmod, strftime(max(at), '%Y-%m-%d') AS newest_lastmod FROM d GROUP BY sitemap_url""")(
+query("agg_lastmod", f"""WITH {_SITEMAP_SQL}, d AS (SELECT *, CASE WHEN length(lastmod) = 7 THEN try_cast(lastmod || '-01' AS TIMESTAMP) WHEN length(lastmod) = 10 THEN try_cast(lastmod AS TIMESTAMP) ELSE try_cast(replace(replace(lastmod, 'T', ' '), 'Z', '') AS TIMESTAMP) END AS moment FROM sm)
+SELECT sitemap_url, count(lastmod) AS total_with_lastmod, count(*) - count(lastmod) AS total_without_lastmod, count(*) FILTER (floor(epoch(TIMESTAMP '{AS_OF}' - moment) / 86400) > 365) AS stale_count,
+ strftime(min(moment), '%Y-%m-%d') AS oldest_lastmod, strftime(max(moment), '%Y-%m-%d') AS newest_lastmod FROM d GROUP BY sitemap_url""")(
     lambda spark, sf: sitemaps.lastmod_freshness(sitemap_rows(spark, sf), as_of()))
-query("date_parse_lastmod", f"WITH {_SITEMAP_SQL} SELECT DISTINCT lastmod, CASE WHEN length(lastmod) = 7 THEN lastmod || '-01 00:00:00' WHEN length(lastmod) = 10 THEN lastmod || ' 00:00:00' ELSE replace(replace(lastmod, 'T', ' '), 'Z', '') END AS at FROM sm")(
-    lambda spark, sf: sitemap_rows(spark, sf).select("lastmod").distinct().withColumn("at", F.date_format(text.parse_lastmod(F.col("lastmod")), "yyyy-MM-dd HH:mm:ss")))
+query("date_parse_lastmod", f"WITH {_SITEMAP_SQL} SELECT DISTINCT lastmod, CASE WHEN length(lastmod) = 7 THEN lastmod || '-01 00:00:00' WHEN length(lastmod) = 10 THEN lastmod || ' 00:00:00' ELSE replace(replace(lastmod, 'T', ' '), 'Z', '') END AS moment FROM sm")(
+    lambda spark, sf: sitemap_rows(spark, sf).select("lastmod").distinct().withColumn("moment", F.date_format(text.parse_lastmod(F.col("lastmod")), "yyyy-MM-dd HH:mm:ss")))
 query("agg_dup_urls", f"WITH {_SITEMAP_SQL} SELECT site, replace(replace(loc, '&utm_source=n', ''), '?utm_source=n', '') AS loc, count(*) AS n FROM sm GROUP BY ALL HAVING count(*) > 1")(
     lambda spark, sf: sitemaps.duplicates(sitemap_rows(spark, sf)))
 query("agg_param_proliferation", f"WITH {_SITEMAP_SQL} SELECT site, regexp_extract(loc, 'example(/[^?]*)', 1) AS path, count(*) AS n_urls, 'page' AS params FROM sm GROUP BY ALL HAVING count(*) >= 10 AND count(*) FILTER (contains(loc, '?')) > 0")(
@@ -447,8 +447,8 @@ query("math_ratio3", "SELECT o_orderkey, round_even((o_orderkey % 7)::DOUBLE / 9
     lambda spark, sf: read(spark, sf, "orders").select("o_orderkey", text.ratio3((F.col("o_orderkey") % 7).cast("double"), F.lit(9)).alias("ratio")))
 _DATES = """('2024-01-02T03:04:05Z', '2024-01-02 03:04:05'), ('2024-01-02T03:04:05+02:00', '2024-01-02 01:04:05'), ('2024-01-02', '2024-01-02 00:00:00'), ('March 3, 2024', '2024-03-03 00:00:00'), ('Mar 3, 2024', '2024-03-03 00:00:00'),
 ('3 Mar 2024', '2024-03-03 00:00:00'), ('Tue, 05 Mar 2024 10:00:00 GMT', '2024-03-05 10:00:00'), ('on 2024-05-06 at', '2024-05-06 00:00:00'), ('Updated: March 3, 2024', NULL), ('2024-01-02T03:04:05.678Z', '2024-01-02 00:00:00')"""
-query("date_parse_multi", f"SELECT * FROM (VALUES {_DATES}) t(raw, at)")(
-    lambda spark, sf: values(spark, _DATES, "raw, x").select("raw", F.date_format(text.parse_date(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("at")))
+query("date_parse_multi", f"SELECT * FROM (VALUES {_DATES}) t(raw, moment)")(
+    lambda spark, sf: values(spark, _DATES, "raw, x").select("raw", F.date_format(text.parse_date(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("moment")))
 query("date_parse_iso", "SELECT * FROM (VALUES ('2024-02-30', NULL), ('2024-02-28T10:00:00Z', '2024-02-28'), ('soon', NULL)) t(raw, day)")(
     lambda spark, sf: values(spark, "('2024-02-30'), ('2024-02-28T10:00:00Z'), ('soon')", "raw").withColumn("day", F.date_format(text.parse_iso_date(F.col("raw")), "yyyy-MM-dd")))
 query("date_age_months", f"SELECT o_orderkey, CAST(floor(epoch(TIMESTAMP '{AS_OF}' - CAST(o_orderdate AS TIMESTAMP)) / (30.44 * 86400)) AS BIGINT) AS months FROM orders")(
@@ -489,7 +489,7 @@ query("html_orientation", "SELECT page_id, len(regexp_extract_all(html, '<h1[ >]
     lambda spark, sf: parsed_pages(spark, sf).select("page_id", F.size("page.h1").cast("long").alias("h1_count"), F.col("page.breadcrumb").alias("breadcrumb")))
 query("html_mobile", "SELECT page_id, regexp_matches(html, '(?i)<meta[^>]*name=.?viewport') AS has_viewport FROM pages")(
     lambda spark, sf: parsed_pages(spark, sf).select("page_id", engagement.viewport(F.col("page.viewport"))["has_viewport"].alias("has_viewport")))
-query("html_navigation", "SELECT page_id, contains(html, '<nav') AS has_landmark, len(list_distinct(list_filter(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '<a href=\"([^\"]*)\"', 1), x -> x <> '')))::BIGINT AS nav_links FROM pages")(
+query("html_navigation", "SELECT page_id, contains(html, '<nav') AS has_landmark, len(list_distinct(list_filter(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '<a href=\"([^\"]*)\"', 1), lambda x: x <> '')))::BIGINT AS nav_links FROM pages")(
     lambda spark, sf: engagement.extract(parsed_pages(spark, sf).withColumn("at", F.col("url"))).join(read(spark, sf, "pages").select(F.col("page_id").alias("ord")), "ord").select(F.col("ord").alias("page_id"), "has_landmark", "nav_links"))
 
 
@@ -531,7 +531,7 @@ def _(spark, sf):
 
 # --- crawl rules over a fetch log derived from events -------------------------------------------
 
-_FETCH_SQL = """fetch AS (SELECT event_id, 'https://h' || (user_id % 5) || '.example/' || CASE WHEN event_id % 11 = 0 THEN '' ELSE 'p' || event_id END AS url, 'h' || (user_id % 5) AS site,
+_FETCH_SQL = """fetched AS (SELECT event_id, 'https://h' || (user_id % 5) || '.example/' || CASE WHEN event_id % 11 = 0 THEN '' ELSE 'p' || event_id END AS url, 'h' || (user_id % 5) AS site,
  CASE event_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 403 WHEN 3 THEN NULL ELSE 200 END AS status, CASE WHEN event_id % 10 = 3 THEN CASE event_id % 3 WHEN 0 THEN 'Redirect loop seen' WHEN 1 THEN 'Timeout (>15s)' ELSE 'Connection error' END END AS error,
  event_id % 8 AS hops, (event_id * 37 % 12000)::DOUBLE AS ttfb, CASE WHEN event_id % 7 = 0 THEN 'NOINDEX, nosnippet' END AS robots, CASE WHEN event_id % 4 = 0 THEN 'max-age=1' END AS hsts FROM events)"""
 
@@ -551,7 +551,7 @@ def fetch_log(spark, sf):
     )
 
 
-@query("ca_page_rules", f"""WITH {_FETCH_SQL}, x AS (SELECT *, error LIKE '%loop%' AS lp, error LIKE 'Timeout%' AS tm, status IS NULL AND error IS NOT NULL AND NOT error LIKE '%loop%' AND NOT error LIKE 'Timeout%' AS bad, url LIKE '%.example/' AS home FROM fetch), ok AS (SELECT * FROM x WHERE error IS NULL),
+@query("ca_page_rules", f"""WITH {_FETCH_SQL}, x AS (SELECT *, error LIKE '%loop%' AS lp, error LIKE 'Timeout%' AS tm, status IS NULL AND error IS NOT NULL AND NOT error LIKE '%loop%' AND NOT error LIKE 'Timeout%' AS bad, url LIKE '%.example/' AS home FROM fetched), ok AS (SELECT * FROM x WHERE error IS NULL),
 f AS (SELECT url, 'CA-09-loop' AS c, 'critical' AS severity, 'redirect_chain' AS l FROM x WHERE lp UNION ALL SELECT url, 'CA-11-timeout', 'high', 'ttfb' FROM x WHERE tm UNION ALL SELECT url, 'CA-08-fetch-error', 'high', 'status' FROM x WHERE bad
  UNION ALL SELECT url, 'CA-08-status', CASE WHEN status >= 500 THEN CASE WHEN home THEN 'critical' ELSE 'high' END WHEN home THEN 'high' ELSE 'medium' END, 'status' FROM ok WHERE status <> 200
  UNION ALL SELECT url, 'CA-09-chain', CASE WHEN hops > 5 THEN 'high' ELSE 'medium' END, 'redirect_chain' FROM ok WHERE hops > 2
@@ -620,7 +620,7 @@ query("join_sameas_domains", "SELECT * FROM (VALUES ('a', 'FC-04-sameas-missing'
 query("json_corrob_templates", "SELECT * FROM (VALUES ('a', 2), ('b', 7)) t(site, n)")(
     lambda spark, sf: freshness.corroboration_templates(values(spark, "('a', 'Acme', null, null, array(), array()), ('b', 'Bolt', '1999', 'Oslo', array('P1', 'P2', 'P3'), array('L1', 'L2', 'L3'))", "site, brand, founding_year, hq, p, l").select("site", "brand", F.col("founding_year").cast("string").alias("founding_year"), F.col("hq").cast("string").alias("hq"), F.col("p").cast("array<string>").alias("products"), F.col("l").cast("array<string>").alias("leaders"))).groupBy("site").agg(F.count("*").cast("int").alias("n")))
 query("limit_link_budget", """WITH l AS (SELECT 's' || (l_suppkey % 3) AS site, l_orderkey % 50 AS ord, l_linenumber AS pos, 'http://o' || (l_partkey % 90) || '.example/' AS link FROM lineitem), a AS (SELECT site, ord, link, min(pos) AS pos FROM l GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY site, ord ORDER BY pos, link) AS r FROM a), c AS (SELECT site, link, min(ord * 1000 + r) AS at FROM b WHERE r <= 4 GROUP BY ALL) SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY at, link) AS place FROM c QUALIFY row_number() OVER (PARTITION BY site ORDER BY at, link) <= 8""")(
+b AS (SELECT *, row_number() OVER (PARTITION BY site, ord ORDER BY pos, link) AS r FROM a), c AS (SELECT site, link, min(ord * 1000 + r) AS seen FROM b WHERE r <= 4 GROUP BY ALL) SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY seen, link) AS place FROM c QUALIFY row_number() OVER (PARTITION BY site ORDER BY seen, link) <= 8""")(
     lambda spark, sf: freshness.link_budget(read(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey") % 3).alias("site"), (F.col("l_orderkey") % 50).alias("ord"), F.struct(F.col("l_linenumber").alias("p"), F.concat(F.lit("http://o"), F.col("l_partkey") % 90, F.lit(".example/")).alias("x")).alias("pos"), F.concat(F.lit("http://o"), F.col("l_partkey") % 90, F.lit(".example/")).alias("link"))).select("site", "link", F.col("place").cast("long").alias("place")))
 query("src_llms_txt", "SELECT * FROM (VALUES ('a', true, true, true, true), ('b', false, false, false, false), ('c', false, false, false, false)) t(site, present, has_title, has_summary, has_sections)")(
     lambda spark, sf: structured.llms_record(spark.createDataFrame([("a", "u", 200, "text/plain", "# T\n> s\n## D\n"), ("b", "u", 200, "text/html", "<html>"), ("c", "u", 404, "", "x")], "site string, url string, status_code int, content_type string, body string")).select("site", "present", "has_title", "has_summary", "has_sections"))

@@ -291,7 +291,7 @@ def cross_rules(pages: DataFrame) -> DataFrame:
         offer = lambda k: F.when(is_offer, value(e, k)).when(nested, value(e, f"offers.{k}"))
         price = F.try_element_at(words.numbers(offer("price")), F.lit(1)).cast("double")
         near = F.exists(visible, lambda p: F.abs(p.cast("double") - price) < 0.01)
-        written = F.contains(body, F.format_number(price, "0.00")) | F.contains(body, price.cast("long").cast("string"))
+        written = F.contains(body, F.format_string("%.2f", price)) | F.contains(body, price.cast("long").cast("string"))
         code = offer("priceCurrency")
         state = F.lower(F.substring_index(F.regexp_replace(F.coalesce(offer("availability"), F.lit("")), "/+$", ""), "/", -1))
         groups = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(x) for x in v]).alias("v")) for k, v in fixed.AVAILABILITY_CUES.items()])
