@@ -99,7 +99,7 @@ class _Emitter:
 
 def _tokenise(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[dict]:
     coder = load(tokenizer)
-    for batch in text_chunks(batches):
+    for batch in text_chunks(batches, limit=1 << 20):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         ids, offsets = coder.encode(texts)
         counts = np.diff(offsets) + 1

@@ -118,7 +118,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, bits:
         content = encode_file(doc_ids, np.concatenate(held), prefix(np.concatenate(counts)), bits)
         return pa.RecordBatch.from_pydict({"range": pa.array([part], pa.int64()), "file": pa.array([made], pa.int64()), "n_ids": pa.array([size], pa.int64()), "content": pa.array([content], pa.binary())})
 
-    for batch in text_chunks(batches):
+    for batch in text_chunks(batches, limit=1 << 20):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         ids, offsets = coder.encode(texts)
         n = np.diff(offsets) + 1

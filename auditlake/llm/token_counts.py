@@ -83,7 +83,7 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _count(batches: Iterator[pa.RecordBatch], tokenizer: str, rule: str, spans: bool) -> Iterator[pa.RecordBatch]:
     coder, sizes = load(tokenizer), token_sizes(tokenizer)
-    for batch in text_chunks(batches):
+    for batch in text_chunks(batches, limit=1 << 20):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         data, offsets = buffers(batch.column("text"))
         ids, id_offsets = coder.encode(texts)
