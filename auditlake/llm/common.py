@@ -82,6 +82,13 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             yield batch.slice(begin)
 
 
+def free_prefix(base: str, columns: list[str]) -> str:
+    """A prefix for working columns that no column of the input begins with."""
+    while any(c.lower().startswith(base) for c in columns):
+        base = f"_{base}"
+    return base
+
+
 def table_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

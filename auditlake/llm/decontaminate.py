@@ -14,7 +14,7 @@ the documents, chained without a shuffle, so that no worker holds more than a bl
 Defined results: null and empty texts have no words and are clean; items without words match
 nothing; repeated rows are judged one by one; an empty benchmark marks nothing; item ids are
 compared as strings; extra columns are kept by `decontaminate`, and names may clash freely
-since working columns carry the prefix `_dc_`.
+since working columns get a prefix that no column has.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_chunks, tune
+from .common import free_prefix, text_chunks, tune
 from .textops import ALNUM, LOWER, Words, buffers, covered, prefix, ragged, rows_of
 
 WINDOW = 13
@@ -237,14 +237,14 @@ def read_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[
         yield block  # an empty benchmark is one empty block
 
 
-def _mark(batches: Iterator[pa.RecordBatch], shared, window: int, column: str) -> Iterator[pa.RecordBatch]:
+def _mark(batches: Iterator[pa.RecordBatch], shared, window: int, column: str, prefix: str) -> Iterator[pa.RecordBatch]:
     block = shared.value
     for batch in text_chunks(batches, column, SHARD_BYTES):
         shard = Shard(batch.column(column), block)
         place, which = shard.occurrences(block)
         hit = covered(place, block.lengths[which], len(shard.array.ids))
-        earlier = batch.column("_dc_hits").to_pylist()
-        names = batch.column("_dc_items").to_pylist()
+        earlier = batch.column(f"{prefix}hits").to_pylist()
+        names = batch.column(f"{prefix}items").to_pylist()
         pairs = np.unique(np.stack([shard.doc[place], which], axis=1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
         sizes = block.item_offsets[pairs[:, 1] + 1] - block.item_offsets[pairs[:, 1]] if len(pairs) else np.zeros(0, np.int64)
         found = np.stack([np.repeat(pairs[:, 0], sizes), block.items[ragged(block.item_offsets[pairs[:, 1]], sizes)]], axis=1) if len(pairs) else np.zeros((0, 2), np.int64)
@@ -260,65 +260,67 @@ def _mark(batches: Iterator[pa.RecordBatch], shared, window: int, column: str) -
             own = np.packbits(hit[begin : begin + n])
             bits.append((own | np.frombuffer(old, np.uint8)).tobytes() if old else own.tobytes())
         columns = {n: batch.column(n) for n in batch.schema.names} | {
-            "_dc_hits": pa.array(bits, pa.binary()),
-            "_dc_items": pa.array(names, pa.list_(pa.string())),
-            "_dc_words": pa.array(shard.counts, pa.int64()),
+            f"{prefix}hits": pa.array(bits, pa.binary()),
+            f"{prefix}items": pa.array(names, pa.list_(pa.string())),
+            f"{prefix}words": pa.array(shard.counts, pa.int64()),
         }
         yield pa.RecordBatch.from_arrays([columns[n] for n in batch.schema.names], names=batch.schema.names)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], prefix: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        items = [sorted(x or []) for x in batch.column("_dc_items").to_pylist()]
-        hits = [int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) if b else 0 for b in batch.column("_dc_hits").to_pylist()]
+        items = [sorted(x or []) for x in batch.column(f"{prefix}items").to_pylist()]
+        hits = [int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) if b else 0 for b in batch.column(f"{prefix}hits").to_pylist()]
         out = {n: batch.column(n) for n in batch.schema.names}
         out |= {
-            "_dc_hit": pa.array(hits, pa.int64()),
-            "_dc_n_items": pa.array([len(x) for x in items], pa.int64()),
-            "_dc_sha": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+            f"{prefix}hit": pa.array(hits, pa.int64()),
+            f"{prefix}n_items": pa.array([len(x) for x in items], pa.int64()),
+            f"{prefix}sha": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
         }
-        out.pop("_dc_hits")
+        out.pop(f"{prefix}hits")
         yield pa.RecordBatch.from_pydict(out)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, column: str = "text") -> DataFrame:
-    """docs with _dc_words, _dc_hit, _dc_n_items, _dc_sha, _dc_items: no shuffle, one pass a block."""
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, column: str = "text", prefix: str = "_dc_") -> DataFrame:
+    """docs with words, hit, n_items, sha and items, each name after the prefix: no shuffle, one pass a block."""
     spark = tune(docs.sparkSession)
-    state = [("_dc_hits", "binary"), ("_dc_items", "array<string>"), ("_dc_words", "long")]
+    state = [(f"{prefix}hits", "binary"), (f"{prefix}items", "array<string>"), (f"{prefix}words", "long")]
     marked = docs.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in state))
     schema = marked.schema
     for items in read_blocks(benchmark):
         shared = spark.sparkContext.broadcast(Benchmark(items, window))
 
         def step(batches, shared=shared):
-            return _mark(batches, shared, window, column)
+            return _mark(batches, shared, window, column, prefix)
 
         marked = marked.mapInArrow(step, schema)
-    out = T.StructType([f for f in schema.fields if f.name != "_dc_hits"])
-    out = out.add("_dc_hit", "long").add("_dc_n_items", "long").add("_dc_sha", "string")
-    return marked.mapInArrow(_digest, out)
+    out = T.StructType([f for f in schema.fields if f.name != f"{prefix}hits"])
+    out = out.add(f"{prefix}hit", "long").add(f"{prefix}n_items", "long").add(f"{prefix}sha", "string")
+    return marked.mapInArrow(lambda batches: _digest(batches, prefix), out)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    marked = mark(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window)
+    prefix = "_dc_"
+    marked = mark(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, prefix=prefix)
     return marked.select(
         "doc_id",
-        F.col("_dc_words").alias("n_words"),
-        F.col("_dc_hit").alias("n_hit"),
-        F.col("_dc_n_items").alias("n_items"),
-        F.col("_dc_sha").alias("items_sha256"),
-        _contaminated().alias("contaminated"),
+        F.col(f"{prefix}words").alias("n_words"),
+        F.col(f"{prefix}hit").alias("n_hit"),
+        F.col(f"{prefix}n_items").alias("n_items"),
+        F.col(f"{prefix}sha").alias("items_sha256"),
+        _contaminated(prefix).alias("contaminated"),
     )
 
 
-def _contaminated():
-    return (F.col("_dc_hit") > 0) & (20 * F.col("_dc_hit") >= F.col("_dc_words"))
+def _contaminated(prefix: str):
+    return (F.col(f"{prefix}hit") > 0) & (20 * F.col(f"{prefix}hit") >= F.col(f"{prefix}words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, whose text is not contaminated."""
-    return mark(docs, benchmark, window).filter(~_contaminated()).select(*docs.columns)
+    prefix = free_prefix("_dc_", docs.columns)
+    return mark(docs, benchmark, window, prefix=prefix).filter(~_contaminated(prefix)).select(*docs.columns)
 
 
 def _matches(batches: Iterator[pa.RecordBatch], shared, least: int) -> Iterator[pa.RecordBatch]:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, stored, remove, table_partitions, text_chunks, tune
+from .common import connected_components, free_prefix, materialise, stored, remove, table_partitions, text_chunks, tune
 from .textops import LOWER, NON_SPACE, Words, buffers, mix, prefix, powers, ragged, rows_of, window_hashes
 
 WIDTH = 4
@@ -327,6 +327,8 @@ def unit_links(sides: np.ndarray, values: np.ndarray, offsets: np.ndarray, perce
     bits = 1 << min(14, max(9, int(2 * largest - 1).bit_length()))
     forest, links = Forest(n), []
     one, two = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    if not len(one):
+        return links  # a pair of blocks of which one is empty
     left = SignatureTree(one, values, offsets, bits)
     if len(two):
         traverse(left, SignatureTree(two, values, offsets, bits), values, offsets, percent, forest, links)
@@ -468,15 +470,15 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that remain when one document of each component stays: its smallest."""
     names = docs.columns
+    p = free_prefix("_jc_", names)
     found = materialise(components(docs.select("doc_id", "text"), width, percent), "components")
     stay = found.filter("uid = component_uid").groupBy("uid").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
-    stay = stay.select(F.col("uid").alias("_jc_uid"), F.col("n").alias("_jc_n"), F.col("size").alias("_jc_size"))
-    keyed = docs.withColumn("_jc_uid", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    kept = keyed.join(stay.hint("shuffle_hash"), "_jc_uid")
-    repeated = kept.filter("_jc_n > 1 and _jc_size > 0")
-    if stay.filter("_jc_n > 1 and _jc_size > 0").limit(1).count():
-        single = kept.filter("not (_jc_n > 1 and _jc_size > 0)")
-        kept = single.unionByName(repeated.dropDuplicates(["_jc_uid"]))
+    stay = stay.select(F.col("uid").alias(f"{p}uid"), (F.col("n") > 1).alias(f"{p}many"), (F.col("size") > 0).alias(f"{p}linked"))
+    keyed = docs.withColumn(f"{p}uid", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    kept = keyed.join(stay.hint("shuffle_hash"), f"{p}uid")
+    repeats = F.col(f"{p}many") & F.col(f"{p}linked")
+    if stay.filter(repeats).limit(1).count():
+        kept = kept.filter(~repeats).unionByName(kept.filter(repeats).dropDuplicates([f"{p}uid"]))
     return kept.select(*names)
 
 

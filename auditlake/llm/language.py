@@ -101,7 +101,8 @@ class ContextTrees:
                 if len(contexts[order]):
                     counts[place[known], j, keys[known] % size] = number[known]
             chance[at] = self._mixed(counts, low)
-        self.bits = np.ascontiguousarray(-np.log2(chance).transpose(0, 2, 1).astype(np.float32)).reshape(-1, n_languages)
+        bits = -np.log2(chance).transpose(0, 2, 1).astype(np.float32)
+        self.bits = np.ascontiguousarray(bits).reshape(bits.shape[0] * bits.shape[1], n_languages)
         # each full context leads to its longest suffix that is a node
         self.node = np.zeros(size**ORDER, np.int32)
         grid = np.arange(size**ORDER)
@@ -167,12 +168,12 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> ContextTrees:
     return ContextTrees({k: sorted(v) for k, v in texts.items()})
 
 
-def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], shared, prefix: str) -> Iterator[pa.RecordBatch]:
     trees = shared.value
-    for batch in text_chunks(batches, "_lg_text", 1 << 20):
-        bits, size = trees.code_lengths(batch.column("_lg_text"))
-        letters = np.array(pc.fill_null(batch.column("_lg_letters"), False).to_pylist(), bool)
-        out = {n: batch.column(n) for n in batch.schema.names if n not in ("_lg_text", "_lg_letters")}
+    for batch in text_chunks(batches, f"{prefix}text", 1 << 20):
+        bits, size = trees.code_lengths(batch.column(f"{prefix}text"))
+        letters = np.array(pc.fill_null(batch.column(f"{prefix}letters"), False).to_pylist(), bool)
+        out = {n: batch.column(n) for n in batch.schema.names if n not in (f"{prefix}text", f"{prefix}letters")}
         if trees.languages:
             best = bits.argmin(1)
             least = bits[np.arange(len(best)), best]
@@ -183,29 +184,29 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         else:
             names, score, rate = np.full(len(size), "und", object), np.zeros(len(size)), np.zeros(len(size))
         out |= {
-            "_lg_pred": pa.array(names.tolist(), pa.string()),
-            "_lg_score": pa.array(np.where(letters, score, 0.0), pa.float64()),
-            "_lg_bits": pa.array(rate, pa.float64()),
+            f"{prefix}pred": pa.array(names.tolist(), pa.string()),
+            f"{prefix}score": pa.array(np.where(letters, score, 0.0), pa.float64()),
+            f"{prefix}bits": pa.array(rate, pa.float64()),
         }
         yield pa.RecordBatch.from_pydict(out)
 
 
-def predict(docs: DataFrame, trees: ContextTrees, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs, with _lg_pred, _lg_score and _lg_bits (a byte). No shuffle."""
+def predict(docs: DataFrame, trees: ContextTrees, keep: list[str], prefix: str = "_lg_") -> DataFrame:
+    """Columns `keep` of docs, with prefix + pred, score and bits (a byte). No shuffle."""
     spark = tune(docs.sparkSession)
     shared = spark.sparkContext.broadcast(trees)
-    source = docs.select(*keep, F.lower("text").alias("_lg_text"), F.col("text").rlike(r"\p{L}").alias("_lg_letters"))
-    schema = docs.select(*keep).schema.add("_lg_pred", "string").add("_lg_score", "double").add("_lg_bits", "double")
+    source = docs.select(*keep, F.lower("text").alias(f"{prefix}text"), F.col("text").rlike(r"\p{L}").alias(f"{prefix}letters"))
+    schema = docs.select(*keep).schema.add(f"{prefix}pred", "string").add(f"{prefix}score", "double").add(f"{prefix}bits", "double")
 
     def step(batches):
-        return _predict(batches, shared)
+        return _predict(batches, shared, prefix)
 
     return source.mapInArrow(step, schema)
 
 
-def accepted(pred: DataFrame):
+def accepted(pred: DataFrame, prefix: str = "_lg_"):
     """A text passes unless it is `und`, undecided, or like none of the learned languages."""
-    return (pred["_lg_pred"] != "und") & (pred["_lg_score"] >= 0.5) & (pred["_lg_bits"] <= MOST_BITS)
+    return (pred[f"{prefix}pred"] != "und") & (pred[f"{prefix}score"] >= 0.5) & (pred[f"{prefix}bits"] <= MOST_BITS)
 
 
 def identify(docs: DataFrame, folds: int = 3, held: int = 1, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:

@@ -198,14 +198,14 @@ def cascade(texts: Texts, base: dict[str, np.ndarray], rules: tuple[Rule, ...])
     return verdict
 
 
-def _judge(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], keep: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches, "_q_text"):
-        texts = Texts(*buffers(batch.column("_q_text")))
+def _judge(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], keep: list[str], prefix: str) -> Iterator[pa.RecordBatch]:
+    for batch in text_chunks(batches, f"{prefix}text"):
+        texts = Texts(*buffers(batch.column(f"{prefix}text")))
         base = texts.base()
         verdict = cascade(texts, base, rules)
         out = {n: batch.column(n) for n in keep}
-        out |= {f"_q_{k}": pa.array(base[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-        out |= {"_q_base_failed": pa.array(base_failed(base)), "_q_rule": pa.array(verdict.tolist(), pa.string())}
+        out |= {f"{prefix}{k}": pa.array(base[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+        out |= {f"{prefix}base_failed": pa.array(base_failed(base)), f"{prefix}rule": pa.array(verdict.tolist(), pa.string())}
         yield pa.RecordBatch.from_pydict(out)
 
 
@@ -214,19 +214,19 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
     return [r.text for r in docs.select("text").filter("text is not null").limit(rows).toLocalIterator()]
 
 
-def judge(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """Columns `keep` of docs with base figures (_q_*), and _q_rule: what rejects the text, or null."""
+def judge(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] | None = None, prefix: str = "_q_") -> DataFrame:
+    """Columns `keep` of docs with base figures, and `rule`: what rejects the text, or null; names get the prefix."""
     spark = tune(docs.sparkSession)
     rules = rules or order_rules(estimate(sample(docs)))
     schema = docs.select(*keep).schema
     for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
-        schema = schema.add(f"_q_{name}", "long")
-    schema = schema.add("_q_base_failed", "boolean").add("_q_rule", "string")
+        schema = schema.add(f"{prefix}{name}", "long")
+    schema = schema.add(f"{prefix}base_failed", "boolean").add(f"{prefix}rule", "string")
 
     def step(batches):
-        return _judge(batches, rules, keep)
+        return _judge(batches, rules, keep, prefix)
 
-    return docs.select(*keep, F.col("text").alias("_q_text")).mapInArrow(step, schema)
+    return docs.select(*keep, F.col("text").alias(f"{prefix}text")).mapInArrow(step, schema)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -8,19 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import decontaminate, jaccard, language, packing, quality
-from auditlake.llm.common import materialise
+from auditlake.llm.common import free_prefix, materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; trained on whole labelled texts of all folds."""
     trees = language.train(docs)
-    pred = language.predict(docs, trees, docs.columns)
-    return pred.filter(language.accepted(pred)).select(*docs.columns)
+    prefix = free_prefix("_lg_", docs.columns)
+    pred = language.predict(docs, trees, docs.columns, prefix)
+    return pred.filter(language.accepted(pred, prefix)).select(*docs.columns)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the cascade."""
-    return quality.judge(docs, docs.columns).filter(F.col("_q_rule").isNull()).select(*docs.columns)
+    prefix = free_prefix("_q_", docs.columns)
+    return quality.judge(docs, docs.columns, prefix=prefix).filter(F.col(f"{prefix}rule").isNull()).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
