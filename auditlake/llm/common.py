@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,7 +70,11 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that a piece holds about `limit` bytes of text (a longer row stands alone)."""
+    """Cut record batches so that a piece holds about `limit` bytes of text (a longer row stands alone).
+
+    At the end of a partition what the allocators hold unused goes back to the system, since the
+    worker process lives on beside the executor's JVM.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         begin = total = 0
@@ -80,6 +85,15 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             total += size
         if begin < len(sizes):
             yield batch.slice(begin)
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
 
 
 def free_prefix(base: str, columns: list[str]) -> str:

@@ -33,6 +33,7 @@ ORDER = 3
 SAMPLE_BYTES = 1 << 20
 #: Contexts of the highest order seen fewer times than this in all languages are left out.
 LEAST_CONTEXT = 3
+MOST_LANGUAGES = 10_000
 #: A text with a longer code than this, in bits a byte, is in no learned language.
 MOST_BITS = 6.0
 
@@ -161,6 +162,8 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> ContextTrees:
     known = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
     sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"))
     shares = sizes.select("lang", (F.lit(sample_bytes) / F.greatest("n", F.lit(1)) * 2**32).cast("long").alias("share"))
+    # one row a language: broadcast once their number is known to be small
+    shares = F.broadcast(shares) if shares.count() <= MOST_LANGUAGES else shares
     draw = known.join(shares, "lang").filter(F.crc32(F.concat_ws(":", F.lit("ppm"), "doc_id").cast("binary")) < F.col("share"))
     texts: dict[str, list[str]] = {}
     for row in draw.select("lang", "text").toLocalIterator():

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import text_chunks, tune
 from .textops import NON_SPACE, Words, buffers, by_row, covered, mix, rows_of, span_hashes, window_hashes
 
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
 REPEAT_WIDTH = 8
 
 _CONTINUES = np.zeros(256, bool)
@@ -210,8 +210,8 @@ def _judge(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], keep: lis
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
-    """At most `rows` texts for the estimate alone; no verdict depends on them."""
-    return [r.text for r in docs.select("text").filter("text is not null").limit(rows).toLocalIterator()]
+    """At most `rows` texts for the estimate alone; no verdict depends on them. Reads only as far as it must."""
+    return [r.text for r in docs.select("text").filter("text is not null").take(rows)]
 
 
 def judge(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] | None = None, prefix: str = "_q_") -> DataFrame:
