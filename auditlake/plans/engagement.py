@@ -28,26 +28,11 @@ def fetch_status(status: Column, content_type: Column, body: Column, text_length
     )
 
 
-def _joined(base: Column, href: Column) -> Column:
-    """Absolute form of a link: absolute, protocol-relative, root-relative, query or path-relative."""
-    root = F.concat(urls.scheme(base), F.lit("://"), urls.netloc(base))
-    folder = F.regexp_replace(urls.path(base), r"[^/]*$", "")
-    return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(urls.scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("?"), F.concat(root, urls.path(base), href))
-        .when(href == "", base)
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), href))
-    )
-
-
 def _unique(links: Column) -> Column:
     """First link of each target; anchors, scripts, mail and phone links left out."""
     held = F.filter(links, lambda a: (a["href"] != "") & ~F.lower(a["href"]).rlike(r"^(#|javascript:|mailto:|tel:)"))
-    full = F.transform(held, lambda a: F.struct(a["text"].alias("text"), a["href"].alias("href"), urls.defrag(_joined(F.col("at"), a["href"])).alias("full")))
-    keys = F.array_distinct(F.transform(full, lambda a: a["full"]))
-    return F.transform(keys, lambda k: F.element_at(F.filter(full, lambda a: a["full"] == k), 1))
+    targets = F.transform(held, lambda a: a["full"])
+    return F.filter(held, lambda a, i: F.array_position(targets, a["full"]) == i + 1)
 
 
 def _destination(links: Column, terms: tuple[str, ...]) -> Column:
@@ -137,16 +122,23 @@ def extract(parsed: DataFrame) -> DataFrame:
     )
 
 
+def is_marked() -> Column:
+    return urls.contains_any(F.lower(F.substring("html", 1, 200_000)), fixed.BLOCK_MARKERS)
+
+
+def unblocked(parsed: DataFrame) -> DataFrame:
+    """Parsed pages (with `marked`) without those that are a short page of a gatekeeper."""
+    return parsed.filter(~(F.col("marked") & (F.length("page.full_text") < 5000))).drop("marked").withColumn("at", F.col("url"))
+
+
 def pages_in(pages: DataFrame) -> DataFrame:
     """Pages (site, ord, url[, final_url, status_code, content_type], html) that count as content, parsed."""
     have = set(pages.columns)
     col = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in have else F.lit(default)
-    gated = pages.filter(~fetch_status(col("status_code", 200), col("content_type", "text/html"), F.col("html"), F.lit(0)).isin("http_error", "non_html", "empty"))
-    marked = urls.contains_any(F.lower(F.substring("html", 1, 200_000)), fixed.BLOCK_MARKERS)
+    # the text's length is not known before the parse, so that interstitial pages are dropped after it
+    gated = pages.filter(fetch_status(col("status_code", 200), col("content_type", "text/html"), F.col("html"), F.lit(10**9)) == "success")
     at = F.coalesce(F.col("final_url"), F.col("url")) if "final_url" in have else F.col("url")
-    parsed = html.parse(gated.select("site", "ord", at.alias("url"), marked.alias("marked"), "html")).withColumn("at", F.col("url"))
-    blocked = F.col("marked") & (F.length("page.full_text") < 5000)
-    return parsed.filter(~F.coalesce(blocked, F.lit(False))).drop("marked")
+    return unblocked(html.parse(gated.select("site", "ord", at.alias("url"), is_marked().alias("marked"), "html")))
 
 
 # name: severity, title, action, locator, expected. Fixed texts of findings.
