@@ -632,3 +632,5 @@ query("html_page_profile", "SELECT * FROM (VALUES (1, 'editorial'), (2, 'commerc
     lambda spark, sf: values(spark, "(1, '/news product', false), (2, '/pricing plans', false), (3, '/rapid guide', false), (4, '/x', false)", "k, hints, article").select("k", engagement.profile(F.col("hints"), F.col("article"))[0].alias("kind")))
 query("set_jaccard_nav", "SELECT * FROM (VALUES (1, 0.5), (2, 0.0)) t(k, share)")(
     lambda spark, sf: values(spark, "(1, array('a', 'b', 'c'), array('b', 'c', 'd')), (2, array('a'), array('b'))", "k, a, b").select("k", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("share")))
+
+from . import catalog_more  # noqa: E402, F401  registers the rest
