@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +72,35 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver find unused shuffles now: their files go only when it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def maybe_in(keys: DataFrame, column: str, bits: int = 1 << 26):
+    """A Column test on `column`, true for every value of keys' column and for few others.
+
+    A bit map of fixed size (8 MB by default) over hashes of the values; with many more values
+    than bits it lets more pass, and never fewer. The parts of the map are aggregated on the
+    executors.
+    """
+    spark = keys.sparkSession
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    parts = keys.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("map"))
+    table = np.zeros(bits // 8, np.uint8)
+    for row in parts.collect():
+        table[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(bytes(row.map), np.uint8)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return test(place)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a piece holds about `limit` bytes of text (a longer row stands alone).
 

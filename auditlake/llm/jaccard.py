@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_prefix, materialise, stored, remove, table_partitions, text_chunks, tune
+from .common import connected_components, free_prefix, materialise, maybe_in, release, remove, stored, table_partitions, text_chunks, tune
 from .textops import LOWER, NON_SPACE, Words, buffers, mix, prefix, powers, ragged, rows_of, window_hashes
 
 WIDTH = 4
@@ -407,10 +407,15 @@ def _units(sets: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(large)
 
 
+def _uid():
+    """Names a row by its doc_id and text; repeated rows share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, uid, n_shingles, cid; links: a spanning forest of the links of classes)."""
     spark = tune(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("uid"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _uid().alias("uid"), "text")
 
     def inform(batches):
         return _inform(batches, width, percent)
@@ -423,28 +428,38 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tupl
 
     ordered = entries.repartition(table_partitions(spark), "key").sortWithinPartitions("key", "n", "cid")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    edges = materialise(ordered.mapInArrow(chain, "a long, b long").distinct(), "chains")
+    edges, edges_path = stored(ordered.mapInArrow(chain, "a long, b long").distinct(), "chains")
     tune(spark)
-    rows = info.drop("keys")
-    cells = materialise(connected_components(edges).select(F.col("node").alias("cid"), F.col("root").alias("cell")), "cells")
+    rows = materialise(info.drop("keys"), "rows")
+    remove(spark, info_path)  # the keys are the largest table of the join
+    del info, entries, ordered
+    release(spark)
+    cells, cells_path = stored(connected_components(edges).select(F.col("node").alias("cid"), F.col("root").alias("cell")), "cells")
+    remove(spark, edges_path)
 
     chosen = rows.filter("cid is not null").groupBy("cid").agg(F.min("uid").alias("uid"), F.max("n_shingles").cast("int").alias("n"))
     chosen = chosen.join(cells, "cid")
     totals = chosen.groupBy("cell").agg(F.sum("n").alias("total"))
-    chosen = materialise(chosen.join(totals, "cell"), "chosen")
+    chosen, chosen_path = stored(chosen.join(totals, "cell"), "chosen")
+    remove(spark, cells_path)
 
     def fetch(batches):
         return _sets(batches, width)
 
-    texts = source.select("uid", "text").join(chosen.hint("shuffle_hash"), "uid").select("cell", "cid", "n", "total", "text")
-    sets = texts.mapInArrow(fetch, "cell long, cid long, n int, total long, tokens binary")
-    sets = materialise(sets, "cellsets")
+    # only texts that may be chosen are shuffled
+    asked = source.select("uid", "text").filter(maybe_in(chosen.select("uid"), "uid"))
+    texts = asked.join(chosen.hint("shuffle_hash"), "uid").select("cell", "cid", "n", "total", "text")
+    sets, sets_path = stored(texts.mapInArrow(fetch, "cell long, cid long, n int, total long, tokens binary"), "cellsets")
+    remove(spark, chosen_path)
 
     def search(batches):
         return _search(batches, percent)
 
     units = _units(sets, percent).repartition(table_partitions(spark), "cell", "one", "two").sortWithinPartitions("cell", "one", "two")
     links = materialise(units.mapInArrow(search, "a long, b long"), "links")
+    remove(spark, sets_path)
+    del asked, texts, sets, units
+    release(spark)
     return rows, links
 
 
@@ -452,10 +467,12 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     """One row per document: doc_id, uid, n_shingles, component_id, n_class (rows of the set)."""
     rows, links = classes(docs, width, percent)
     roots = connected_components(links).select(F.col("node").alias("cid"), "root")
-    named = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"), F.min("uid").alias("first_uid"))
+    # the smallest doc_id names a component; null comes last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "uid"))
+    named = rows.filter("cid is not null").groupBy("cid").agg(first.alias("first"))
     named = named.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.min("first_uid").alias("component_uid"))
-    of_class = named.join(least, "root").select("cid", "component_id", "component_uid")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    of_class = named.join(least, "root").select("cid", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("component_uid"))
     joined = rows.join(of_class, "cid", "left")
     empty = F.col("cid").isNull()
     return joined.select(
@@ -472,14 +489,14 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     names = docs.columns
     p = free_prefix("_jc_", names)
     found = materialise(components(docs.select("doc_id", "text"), width, percent), "components")
-    stay = found.filter("uid = component_uid").groupBy("uid").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
-    stay = stay.select(F.col("uid").alias(f"{p}uid"), (F.col("n") > 1).alias(f"{p}many"), (F.col("size") > 0).alias(f"{p}linked"))
-    keyed = docs.withColumn(f"{p}uid", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    kept = keyed.join(stay.hint("shuffle_hash"), f"{p}uid")
-    repeats = F.col(f"{p}many") & F.col(f"{p}linked")
-    if stay.filter(repeats).limit(1).count():
-        kept = kept.filter(~repeats).unionByName(kept.filter(repeats).dropDuplicates([f"{p}uid"]))
-    return kept.select(*names)
+    # the few rows that may have to go are looked at by a join; all others stay where they are
+    many = found.groupBy("uid").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"), F.min(F.col("uid") == F.col("component_uid")).alias("stays"))
+    suspects = materialise(many.filter("not stays or (n > 1 and size > 0)").select(F.col("uid").alias(f"{p}uid"), "stays"), "suspects")
+    keyed = docs.withColumn(f"{p}uid", _uid()).withColumn(f"{p}maybe", maybe_in(suspects, f"{p}uid"))
+    asked = keyed.filter(f"{p}maybe").join(suspects.withColumnRenamed("stays", f"{p}stays").hint("shuffle_hash"), f"{p}uid", "left")
+    innocent = asked.filter(F.col(f"{p}stays").isNull()).select(*names)
+    single = asked.filter(f"{p}stays").dropDuplicates([f"{p}uid"]).select(*names)
+    return keyed.filter(~F.col(f"{p}maybe")).select(*names).unionByName(innocent).unionByName(single)
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
