@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 1000
+ARROW_ROWS = 400
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -68,7 +68,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    # small row groups: a task holds one of them in memory while it writes
+    df.write.option("parquet.block.size", str(32 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -101,7 +102,7 @@ def maybe_in(keys: DataFrame, column: str, bits: int = 1 << 26):
     return test(place)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a piece holds about `limit` bytes of text (a longer row stands alone).
 
     At the end of a partition what the allocators hold unused goes back to the system, since the

@@ -33,7 +33,7 @@ from .textops import ALNUM, LOWER, Words, buffers, covered, prefix, ragged, rows
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 
 
 class SuffixArray:
@@ -237,7 +237,7 @@ def read_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[
         yield block  # an empty benchmark is one empty block
 
 
-def _mark(batches: Iterator[pa.RecordBatch], shared, window: int, column: str, prefix: str) -> Iterator[pa.RecordBatch]:
+def _mark(batches: Iterator[pa.RecordBatch], shared, window: int, column: str, prefix: str, last: bool) -> Iterator[pa.RecordBatch]:
     block = shared.value
     for batch in text_chunks(batches, column, SHARD_BYTES):
         shard = Shard(batch.column(column), block)
@@ -264,21 +264,20 @@ def _mark(batches: Iterator[pa.RecordBatch], shared, window: int, column: str, p
             f"{prefix}items": pa.array(names, pa.list_(pa.string())),
             f"{prefix}words": pa.array(shard.counts, pa.int64()),
         }
-        yield pa.RecordBatch.from_arrays([columns[n] for n in batch.schema.names], names=batch.schema.names)
-
-
-def _digest(batches: Iterator[pa.RecordBatch], prefix: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        items = [sorted(x or []) for x in batch.column(f"{prefix}items").to_pylist()]
-        hits = [int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) if b else 0 for b in batch.column(f"{prefix}hits").to_pylist()]
-        out = {n: batch.column(n) for n in batch.schema.names}
-        out |= {
-            f"{prefix}hit": pa.array(hits, pa.int64()),
-            f"{prefix}n_items": pa.array([len(x) for x in items], pa.int64()),
-            f"{prefix}sha": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-        }
-        out.pop(f"{prefix}hits")
-        yield pa.RecordBatch.from_pydict(out)
+        out = pa.RecordBatch.from_arrays([columns[n] for n in batch.schema.names], names=batch.schema.names)
+        yield _digest(out, prefix) if last else out
+
+
+def _digest(batch: pa.RecordBatch, prefix: str) -> pa.RecordBatch:
+    items = [sorted(x or []) for x in batch.column(f"{prefix}items").to_pylist()]
+    hits = [int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) if b else 0 for b in batch.column(f"{prefix}hits").to_pylist()]
+    out = {n: batch.column(n) for n in batch.schema.names if n != f"{prefix}hits"}
+    out |= {
+        f"{prefix}hit": pa.array(hits, pa.int64()),
+        f"{prefix}n_items": pa.array([len(x) for x in items], pa.int64()),
+        f"{prefix}sha": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+    }
+    return pa.RecordBatch.from_pydict(out)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, column: str = "text", prefix: str = "_dc_") -> DataFrame:
@@ -287,16 +286,20 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, column: st
     state = [(f"{prefix}hits", "binary"), (f"{prefix}items", "array<string>"), (f"{prefix}words", "long")]
     marked = docs.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in state))
     schema = marked.schema
-    for items in read_blocks(benchmark):
+    final = T.StructType([f for f in schema.fields if f.name != f"{prefix}hits"])
+    final = final.add(f"{prefix}hit", "long").add(f"{prefix}n_items", "long").add(f"{prefix}sha", "string")
+    blocks = read_blocks(benchmark)
+    items = next(blocks)
+    while items is not None:
+        following = next(blocks, None)
         shared = spark.sparkContext.broadcast(Benchmark(items, window))
 
-        def step(batches, shared=shared):
-            return _mark(batches, shared, window, column, prefix)
+        def step(batches, shared=shared, last=following is None):
+            return _mark(batches, shared, window, column, prefix, last)
 
-        marked = marked.mapInArrow(step, schema)
-    out = T.StructType([f for f in schema.fields if f.name != f"{prefix}hits"])
-    out = out.add(f"{prefix}hit", "long").add(f"{prefix}n_items", "long").add(f"{prefix}sha", "string")
-    return marked.mapInArrow(lambda batches: _digest(batches, prefix), out)
+        marked = marked.mapInArrow(step, final if following is None else schema)
+        items = following
+    return marked
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
