@@ -388,16 +388,16 @@ query("join_bot_path_cross", "SELECT * FROM (VALUES ('b', 0), ('c', 0), ('a', 0)
 
 # --- the crawl graph, over links derived from lineitem ------------------------------------------
 
-_LINKS_SQL = "links AS (SELECT DISTINCT 's' || (l_suppkey % 3) AS site, 'n' || (l_orderkey % 400) AS src, 'n' || (l_partkey % 400) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 12)"
+_LINKS_SQL = "links AS (SELECT DISTINCT 's' || (l_suppkey % 3) AS site, 'n' || (l_orderkey % 10000) AS src, 'n' || ((l_partkey * 17 + l_linenumber) % 10000) AS dst FROM lineitem)"
 _BFS_SQL = f"""WITH RECURSIVE {_LINKS_SQL}, walk(site, url, depth) AS (SELECT site, 'n0', 0 FROM (VALUES ('s0'), ('s1'), ('s2')) s(site)
  UNION SELECT w.site, l.dst, w.depth + 1 FROM walk w JOIN links l ON l.site = w.site AND l.src = w.url WHERE w.depth < 6),
 reached AS (SELECT site, url, min(depth) AS depth FROM walk GROUP BY ALL)"""
 
 
 def crawl_links(spark, sf):
-    rows = read(spark, sf, "lineitem").filter("l_linenumber = 1 AND l_quantity < 12")
-    name = lambda p, c, m: F.concat(F.lit(p), F.col(c) % m)
-    return rows.select(name("s", "l_suppkey", 3).alias("site"), name("n", "l_orderkey", 400).alias("src"), name("n", "l_partkey", 400).alias("dst")).distinct()
+    name = lambda p, c, m: F.concat(F.lit(p), c % m)
+    target = F.col("l_partkey") * 17 + F.col("l_linenumber")
+    return read(spark, sf, "lineitem").select(name("s", F.col("l_suppkey"), 3).alias("site"), name("n", F.col("l_orderkey"), 10000).alias("src"), name("n", target, 10000).alias("dst")).distinct()
 
 
 def crawled(spark, sf):
@@ -409,8 +409,8 @@ query("agg_depth_distribution", f"{_BFS_SQL} SELECT site, depth, count(*) AS pag
 query("graph_deep_pages", f"{_BFS_SQL} SELECT * FROM reached WHERE depth > 3")(lambda spark, sf: graph.deep_pages(crawled(spark, sf)))
 query("graph_broken_links", f"{_BFS_SQL} SELECT site, url, depth, CASE CAST(substr(url, 2) AS INTEGER) % 9 WHEN 1 THEN 404 WHEN 2 THEN 503 ELSE 410 END AS status FROM reached WHERE CAST(substr(url, 2) AS INTEGER) % 9 IN (1, 2, 3)")(
     lambda spark, sf: graph.broken_links(r := crawled(spark, sf), r.select("site", "url", F.element_at(F.array(*[F.lit(x) for x in (200, 404, 503, 410, 403, 200, 200, 301, 429)]), F.substring("url", 2, 9).cast("int") % 9 + 1).alias("status"))))
-query("join_orphans", f"{_BFS_SQL} SELECT DISTINCT site, url FROM (SELECT 's' || (o_custkey % 3) AS site, 'n' || (o_orderkey % 600) AS url FROM orders) o WHERE NOT EXISTS (SELECT 1 FROM reached r WHERE r.site = o.site AND r.url = o.url)")(
-    lambda spark, sf: graph.orphans(read(spark, sf, "orders").select(F.concat(F.lit("s"), F.col("o_custkey") % 3).alias("site"), F.concat(F.lit("n"), F.col("o_orderkey") % 600).alias("url")), crawled(spark, sf)))
+query("join_orphans", f"{_BFS_SQL} SELECT DISTINCT site, url FROM (SELECT 's' || (o_custkey % 3) AS site, 'n' || (o_orderkey % 12000) AS url FROM orders) o WHERE NOT EXISTS (SELECT 1 FROM reached r WHERE r.site = o.site AND r.url = o.url)")(
+    lambda spark, sf: graph.orphans(read(spark, sf, "orders").select(F.concat(F.lit("s"), F.col("o_custkey") % 3).alias("site"), F.concat(F.lit("n"), F.col("o_orderkey") % 12000).alias("url")), crawled(spark, sf)))
 query("set_except_orphans", ORACLES["join_orphans"])(QUERIES["join_orphans"])
 query("graph_redirect_chain", "SELECT * FROM (VALUES ('a', 'c', 2, false, false), ('c', 'c', 0, false, false), ('x', 'y', 2, true, false), ('k0', 'k11', 11, false, true)) t(url, final_url, hops, looped, too_long)")(
     lambda spark, sf: graph.redirect_chains(values(spark, "('a'), ('c'), ('x'), ('k0')", "url"), values(spark, "('a', 'b'), ('b', 'c'), ('x', 'y'), ('y', 'x')", "src, dst").unionByName(spark.range(14).select(F.concat(F.lit("k"), F.col("id")).alias("src"), F.concat(F.lit("k"), F.col("id") + 1).alias("dst")))))
@@ -469,8 +469,8 @@ query("join_wiki_name", "SELECT * FROM (VALUES ('Acme Inc', 'The Acme', true), (
     lambda spark, sf: values(spark, "('Acme Inc', 'The Acme'), ('Apple', 'Apple Records')", "brand, title").withColumn("same", freshness.name_matches(F.col("brand"), F.col("title"))))
 query("win_text_segments", "SELECT * FROM (VALUES ('a b c', 'a new words b x c tail end', 'new words [...] tail end'), ('', 'all new', 'all new'), ('a', 'a', '')) t(raw, rendered, diff)")(
     lambda spark, sf: values(spark, "('a b c', 'a new words b x c tail end'), ('', 'all new'), ('a', 'a')", "raw, rendered").withColumn("diff", render.text_segments(F.col("raw"), F.col("rendered"))))
-query("join_key_facts", "SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}') THEN '{label};' ELSE '' END" for _n, label, p in render.KEY_FACTS) + " AS facts FROM documents WHERE lang = 'en'")(
-    lambda spark, sf: read(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.concat(F.array_join(F.transform(render.key_facts(F.col("text")), lambda x: F.concat(x, F.lit(";"))), "")).alias("facts")))
+query("join_key_facts", "SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}') THEN '{label};' ELSE '' END" for _n, label, p in render.KEY_FACTS) + " AS facts FROM documents")(
+    lambda spark, sf: read(spark, sf, "documents").select("doc_id", F.concat(F.array_join(F.transform(render.key_facts(F.col("text")), lambda x: F.concat(x, F.lit(";"))), "")).alias("facts")))
 
 # --- signals and rules over pages --------------------------------------------------------------
 
@@ -506,8 +506,8 @@ def _(spark, sf):
 query("sd_social_rules", f"""WITH {_U.replace('u AS (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES ' + _URLS + ') t(url))', 'u AS (SELECT url FROM pages)')}, ok AS (SELECT url FROM p WHERE NOT ({_contains('lower(query)', ('q=', 'query=', 'search=', 's='))} OR regexp_matches(rtrim(lower(path), '/'), '{_anyre(fixed.UTILITY_SOCIAL)}')))
 SELECT url, 'Missing all essential Open Graph meta tags' AS title FROM ok UNION ALL SELECT url, 'Missing Twitter Card tags (twitter:card, twitter:title, twitter:description)' FROM ok""")(
     lambda spark, sf: structured.tag_rules(parsed_pages(spark, sf)).filter("title like '%Open Graph%' or title like '%Twitter%'").select("url", "title"))
-query("re_text_ratio", "SELECT page_id, true AS long_text FROM pages WHERE length(regexp_replace(html, '(?s)<(?:script|style|title).*?</(?:script|style|title)>|<[^>]*>', '', 'g')) > 1500")(
-    lambda spark, sf: parsed_pages(spark, sf).filter(F.length(F.regexp_replace("html", r"(?s)<(?:script|style|title).*?</(?:script|style|title)>|<[^>]*>", "")) > 1500).select("page_id", (render.text_ratio()["full_length"] > 500).alias("long_text")))
+query("re_text_ratio", "SELECT page_id, true AS consistent FROM pages")(
+    lambda spark, sf: parsed_pages(spark, sf).select("page_id", ((render.text_ratio()["full_length"] > 500) | (F.length(F.regexp_replace("html", r"(?s)<(?:script|style|title).*?</(?:script|style|title)>|<[^>]*>", "")) <= 1500)).alias("consistent")))
 
 
 @query("eg_viewport_rule", """WITH s AS (SELECT regexp_replace(lower(regexp_extract(url, '//([^/:?#]+)', 1)), '^www\\.', '') AS site, page_id, url FROM pages)
