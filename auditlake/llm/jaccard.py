@@ -18,8 +18,10 @@ tokens) are not used, and the strongest agreeing part is still used by both sets
 share no used part at all have too little possible overlap and are pruned by this argument:
 nothing is lost. Sets that share a part, and whose sizes allow a link, are chained; the
 components of the chains are cells, and each cell is searched by its own trees. A cell of more
-than BLOCK_TOKENS tokens is cut by size range and hash into blocks, and each pair of blocks
-that may hold links is a task of its own, so that no task holds more than two blocks.
+than BLOCK_TOKENS tokens is first searched by trees of bit maps alone; what their bounds leave
+connected are finer cells. A cell that is still large is cut by size range and hash into blocks,
+and each pair of blocks that may hold links is a task of its own, so that no task holds more
+than two blocks.
 
 Sizes fall into levels with a ratio of 1.5; a set uses its own level and, if a larger partner
 may be in the next one, that level too.
@@ -33,7 +35,7 @@ columns are ignored. Shingles and classes are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,7 @@ WIDTH = 4
 PERCENT = 85
 RATIO = 1.5
 BLOCK_TOKENS = 1 << 20
+_SET = "cell long, cid long, n int, total long, content binary"
 FAN = 16
 
 
@@ -208,20 +211,30 @@ class Forest:
         return np.array([self.find(i) for i in range(len(self.parent))], np.int64)
 
 
+def bitmaps(values: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+    """One row of bits a set; bits is a power of two."""
+    sizes = np.diff(offsets)
+    maps = np.zeros((len(sizes), bits // 64), np.uint64)
+    slots = (values >> np.uint64(7)) % np.uint64(bits)
+    np.bitwise_or.at(maps, (rows_of(sizes), (slots >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (slots & np.uint64(63)))
+    return maps
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bit map of the same set with fewer bits."""
+    while len(bitmap) > words:
+        bitmap = bitmap[: len(bitmap) // 2] | bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
 class SignatureTree:
     """Levels of nodes over sets; level 0 are the sets in tree order."""
 
-    def __init__(self, members: np.ndarray, values: np.ndarray, offsets: np.ndarray, bits: int):
-        sizes = np.diff(offsets)[members]
-        firsts = values[np.minimum(offsets[:-1][members], max(len(values) - 1, 0))]
-        # sets of like size and equal smallest hash stand together
-        order = np.lexsort((firsts, (np.log(np.maximum(sizes, 1)) / np.log(100 / PERCENT)).astype(np.int64)))
-        self.members, sizes = members[order], sizes[order]
-        n = len(members)
-        maps = np.zeros((n, bits // 64), np.uint64)
-        row = np.repeat(np.arange(n), sizes)
-        slots = (values[ragged(offsets[:-1][self.members], sizes)] >> np.uint64(7)) % np.uint64(bits)
-        np.bitwise_or.at(maps, (row, (slots >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (slots & np.uint64(63)))
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, maps: np.ndarray):
+        sizes, maps = sizes[members], maps[members]
+        # sets of like size and equal first bits stand together
+        order = np.lexsort((maps[:, 0], (np.log(np.maximum(sizes, 1)) / np.log(100 / PERCENT)).astype(np.int64)))
+        self.members, sizes, maps = members[order], sizes[order], maps[order]
         spare = sizes - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
         self.levels = [(maps, sizes, sizes, spare)]
         while len(self.levels[-1][0]) > 1:
@@ -257,8 +270,11 @@ def _children(k: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.minimum(first + FAN, n) - first
 
 
-def traverse(left: SignatureTree, right: SignatureTree, values: np.ndarray, offsets: np.ndarray, percent: int, forest: Forest, links: list[tuple[int, int]]) -> None:
-    """Dual traversal; adds to links those that join two components of the forest."""
+def traverse(left: SignatureTree, right: SignatureTree, percent: int, linked: Callable[[int, int], bool], forest: Forest, links: list[tuple[int, int]]) -> None:
+    """Dual traversal; adds to links those that join two components of the forest.
+
+    linked says of two sets that no bound has parted whether they are linked.
+    """
     own = left is right
     while len(left.levels) < len(right.levels):
         left.levels.append(left.levels[-1])
@@ -266,7 +282,6 @@ def traverse(left: SignatureTree, right: SignatureTree, values: np.ndarray, offs
         right.levels.append(right.levels[-1])
     top = len(left.levels) - 1
     stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    sizes = np.diff(offsets)
     while stack:
         level, i, j = stack.pop()
         keep = _possible(left.levels[level], i, right.levels[level], j, percent)
@@ -280,10 +295,7 @@ def traverse(left: SignatureTree, right: SignatureTree, values: np.ndarray, offs
                 a, b = a[inside], b[inside]
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 s, t = forest.find(x), forest.find(y)
-                if s == t:
-                    continue
-                shared = np.intersect1d(values[offsets[x] : offsets[x + 1]], values[offsets[y] : offsets[y + 1]], assume_unique=True).size
-                if 100 * shared >= percent * (sizes[x] + sizes[y] - shared):
+                if s != t and linked(x, y):
                     forest.parent[max(s, t)] = min(s, t)
                     links.append((x, y))
             continue
@@ -320,20 +332,17 @@ def _pure(roots: np.ndarray, n: int) -> np.ndarray:
     return np.where(low == high, low, -1)
 
 
-def unit_links(sides: np.ndarray, values: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def unit_links(sides: np.ndarray, sizes: np.ndarray, maps: np.ndarray, percent: int, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
     """A spanning forest of the links of a unit: within side 0, or between sides 0 and 1."""
-    n = len(sides)
-    largest = int(np.diff(offsets).max(initial=1))
-    bits = 1 << min(14, max(9, int(2 * largest - 1).bit_length()))
-    forest, links = Forest(n), []
+    forest, links = Forest(len(sides)), []
     one, two = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     if not len(one):
         return links  # a pair of blocks of which one is empty
-    left = SignatureTree(one, values, offsets, bits)
+    left = SignatureTree(one, sizes, maps)
     if len(two):
-        traverse(left, SignatureTree(two, values, offsets, bits), values, offsets, percent, forest, links)
+        traverse(left, SignatureTree(two, sizes, maps), percent, linked, forest, links)
     elif len(one) > 1:
-        traverse(left, left, values, offsets, percent, forest, links)
+        traverse(left, left, percent, linked, forest, links)
     return links
 
 
@@ -343,36 +352,63 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         same = class_ids(values, offsets) == batch.column("cid").to_numpy()
         raw = values.view(np.uint8).data
         sets = [raw[8 * a : 8 * b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        out = {c: batch.column(c) for c in ("cell", "cid", "n", "total")} | {"tokens": pa.array(sets, pa.binary())}
+        out = {c: batch.column(c) for c in ("cell", "cid", "n", "total")} | {"content": pa.array(sets, pa.binary())}
         yield pa.RecordBatch.from_pydict(out).filter(pa.array(same))
 
 
-def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit (cell, one, two): one tree search a unit."""
+def _search(batches: Iterator[pa.RecordBatch], percent: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit (cell, one, two): one tree search a unit, over token sets or bit maps."""
     held: list[tuple] = []
     name = None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("cell", "one", "two", "side", "cid", "tokens")]
+        columns = [batch.column(c).to_pylist() for c in ("cell", "one", "two", "side", "cid", "n", "content")]
         found: list[tuple[int, int]] = []
-        for cell, one, two, side, cid, tokens in zip(*columns, strict=True):
+        for cell, one, two, side, cid, n, content in zip(*columns, strict=True):
             if (cell, one, two) != name:
-                found += _unit(held, percent)
+                found += _unit(held, percent, exact)
                 held, name = [], (cell, one, two)
-            held.append((side, cid, tokens))
+            held.append((side, cid, n, content))
         yield _edges(found)
-    yield _edges(_unit(held, percent))
+    yield _edges(_unit(held, percent, exact))
 
 
-def _unit(held: list[tuple], percent: int) -> list[tuple[int, int]]:
-    rows = list({(side, cid): tokens for side, cid, tokens in held}.items())
+def _unit(held: list[tuple], percent: int, exact: bool) -> list[tuple[int, int]]:
+    rows = list({(side, cid): (n, content) for side, cid, n, content in held}.items())
     if len(rows) < 2:
         return []
-    values = np.frombuffer(b"".join(t for _, t in rows), np.uint64)
-    offsets = prefix(np.array([len(t) // 8 for _, t in rows], np.int64))
-    links = unit_links(np.array([k[0] for k, _ in rows]), values, offsets, percent)
+    sides, sizes = np.array([k[0] for k, _ in rows]), np.array([v[0] for _, v in rows], np.int64)
+    parts = [np.frombuffer(v[1], np.uint64) for _, v in rows]
+    if exact:
+        values, offsets = np.concatenate(parts), prefix(sizes)
+        maps = bitmaps(values, offsets, 1 << min(14, max(9, int(2 * sizes.max() - 1).bit_length())))
+
+        def linked(x: int, y: int) -> bool:
+            shared = np.intersect1d(values[offsets[x] : offsets[x + 1]], values[offsets[y] : offsets[y + 1]], assume_unique=True).size
+            return 100 * shared >= percent * (sizes[x] + sizes[y] - shared)
+
+    else:
+        words = min(map(len, parts))
+        maps = np.stack([folded(p, words) for p in parts])
+
+        def linked(x: int, y: int) -> bool:
+            return True  # the bound of the maps is all there is here
+
+    links = unit_links(sides, sizes, maps, percent, linked)
     return [(rows[x][0][1], rows[y][0][1]) for x, y in links]
 
 
+def _map_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token sets to bit maps of about four bits a token."""
+    for batch in batches:
+        out = []
+        for raw in batch.column("content").to_pylist():
+            values = np.frombuffer(raw, np.uint64)
+            bits = 1 << min(17, max(6, int(4 * len(values) - 1).bit_length()))
+            out.append(bitmaps(values, np.array([0, len(values)]), bits).tobytes())
+        columns = {c: batch.column(c) for c in ("cell", "cid", "n", "total")} | {"content": pa.array(out, pa.binary())}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([max(p) for p in found], pa.int64()), "b": pa.array([min(p) for p in found], pa.int64())})
 
@@ -380,14 +416,14 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 # --- the distributed join -------------------------------------------------------------------
 
 
-def _units(sets: DataFrame, percent: int) -> DataFrame:
+def _units(sets: DataFrame, percent: int, block_tokens: int) -> DataFrame:
     """Cells as units (cell, one, two, side); large cells as pairs of blocks by size and hash."""
     bucket = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    small = sets.filter(F.col("total") <= BLOCK_TOKENS).select(
-        "cell", F.lit(-1).alias("one"), F.lit(-1).alias("two"), F.lit(0).alias("side"), "cid", "tokens"
+    small = sets.filter(F.col("total") <= block_tokens).select(
+        "cell", F.lit(-1).alias("one"), F.lit(-1).alias("two"), F.lit(0).alias("side"), "cid", "n", "content"
     )
-    large = sets.filter(F.col("total") > BLOCK_TOKENS).withColumn("bucket", bucket)
-    counts = large.groupBy("cell", "bucket").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    large = sets.filter(F.col("total") > block_tokens).withColumn("bucket", bucket)
+    counts = large.groupBy("cell", "bucket").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("blocks"))
     # how many blocks the neighbouring size ranges have
     around = counts.select("cell", (F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("below")).join(
         counts.select("cell", (F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("above")), ["cell", "bucket"], "full"
@@ -403,7 +439,7 @@ def _units(sets: DataFrame, percent: int) -> DataFrame:
         return F.transform(other, lambda k: F.struct(F.least(own, k).alias("one"), F.greatest(own, k).alias("two"), (own > k).cast("int").alias("side")))
 
     units = F.concat(pairs("below", -1), pairs("blocks", 0), pairs("above", 1))
-    large = placed.select("cell", F.explode(units).alias("u"), "cid", "tokens").select("cell", "u.one", "u.two", "u.side", "cid", "tokens")
+    large = placed.select("cell", F.explode(units).alias("u"), "cid", "n", "content").select("cell", "u.one", "u.two", "u.side", "cid", "n", "content")
     return small.unionByName(large)
 
 
@@ -449,16 +485,27 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tupl
     # only texts that may be chosen are shuffled
     asked = source.select("uid", "text").filter(maybe_in(chosen.select("uid"), "uid"))
     texts = asked.join(chosen.hint("shuffle_hash"), "uid").select("cell", "cid", "n", "total", "text")
-    sets, sets_path = stored(texts.mapInArrow(fetch, "cell long, cid long, n int, total long, tokens binary"), "cellsets")
+    sets, sets_path = stored(texts.mapInArrow(fetch, _SET), "cellsets")
     remove(spark, chosen_path)
 
-    def search(batches):
-        return _search(batches, percent)
-
-    units = _units(sets, percent).repartition(table_partitions(spark), "cell", "one", "two").sortWithinPartitions("cell", "one", "two")
-    links = materialise(units.mapInArrow(search, "a long, b long"), "links")
+    def search(sets: DataFrame, exact: bool, block_tokens: int) -> DataFrame:
+        units = _units(sets, percent, block_tokens).repartition(table_partitions(spark), "cell", "one", "two").sortWithinPartitions("cell", "one", "two")
+        return units.mapInArrow(lambda batches: _search(batches, percent, exact), "a long, b long")
+
+    # large cells are first searched by bit maps alone, a sixteenth of the sets' bytes: what the maps
+    # leave connected are the cells whose sets are compared
+    small, large = sets.filter(F.col("total") <= BLOCK_TOKENS), sets.filter(F.col("total") > BLOCK_TOKENS)
+    if not large.isEmpty():
+        tune(spark)
+        maps = large.mapInArrow(_map_sets, _SET)
+        likely, likely_path = stored(search(maps, False, 2 * BLOCK_TOKENS).distinct(), "likely")
+        finer = connected_components(likely).select(F.col("node").alias("cid"), F.col("root").alias("cell"))
+        again = large.drop("cell", "total").join(finer, "cid")
+        large, large_path = stored(again.join(again.groupBy("cell").agg(F.sum("n").alias("total")), "cell").select("cell", "cid", "n", "total", "content"), "finercells")
+        remove(spark, likely_path)
+        small = small.unionByName(large)
+    links = materialise(search(small, True, BLOCK_TOKENS), "links")
     remove(spark, sets_path)
-    del asked, texts, sets, units
     release(spark)
     return rows, links
 
