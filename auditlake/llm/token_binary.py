@@ -37,7 +37,7 @@ from .tokenizing import load
 
 MAGIC = b"BPL1"
 CHUNK_IDS = 1 << 16
-FILE_IDS = 1 << 21
+FILE_IDS = 1 << 19
 HEAD, FOOT = struct.Struct("<4sBBHI"), struct.Struct("<IIQ4s")
 DOC = np.dtype([("doc_id", "<i8"), ("missing", "u1"), ("start", "<u8"), ("n", "<u4")])
 
@@ -145,7 +145,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_
     def encode(batches):
         return _write(batches, tokenizer, end_id, bits)
 
-    ordered.mapInArrow(encode, "range long, file long, n_ids long, content binary").write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(encode, "range long, file long, n_ids long, content binary").write.option("compression", "uncompressed").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

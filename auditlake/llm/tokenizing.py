@@ -38,7 +38,7 @@ def load(path: str) -> PieceTokenizer:
 
 
 class PieceTokenizer:
-    MOST = 1 << 20  # distinct pieces kept before the cache starts anew; about 40 bytes each
+    MOST = 1 << 19  # distinct pieces kept before the cache starts anew; about 40 bytes each
     STEP = 1 << 13  # pieces encoded at once
 
     def __init__(self, path: str):
