@@ -8,9 +8,9 @@ Words are counted over all training documents. The VOCABULARY most frequent ones
 LEAST_NAMED times or more, are emitted by name; any other word is emitted through its class (a hash of its last two bytes), and its
 probability inside the class comes from its own count. Counts of the most frequent LOOKUP words
 are broadcast (a fixed bound); the counts of all rarer words reach their documents by a join,
-so that no count is left out. The start of the training is a Baum-Welch run on about
-SEED_TOKENS tokens of training text on the driver (a documented bound); ROUNDS rounds over all
-training documents follow. Training sequences are cut every CUT tokens; scored ones never are.
+so that no count is left out. Training begins at a fixed model (Model.seeded); every round covers
+all training documents, and rounds go on until one raises the likelihood by less than TOLERANCE of
+itself. Training sequences are cut every CUT tokens; scored ones never are.
 
 Defined results: a null text counts as empty and has the end token alone; a null doc_id counts
 as the empty string in the fold; repeated rows are scored one by one; an empty table gives no
@@ -36,9 +36,7 @@ VOCABULARY = 1 << 15
 LEAST_NAMED = 4
 LOOKUP = 500_000
 CLASSES = 256
-ROUNDS = 2
-SEED_TOKENS = 300_000
-SEED_ROUNDS = 12
+TOLERANCE = 1e-4
 CUT = 512
 END = int(mix(np.array([0x5EED], np.uint64)).view(np.int64)[0])
 SMOOTH = 0.1
@@ -202,6 +200,11 @@ def log_likelihood(model: Model, ids: np.ndarray, offsets: np.ndarray) -> np.nda
 
 def expected_counts(model: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts of starts, transitions and emissions of the sequences."""
+    return expectations(model, ids, offsets)[:3]
+
+
+def expectations(model: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The expected counts, and the natural logarithm of the sequences' likelihood under model."""
     begin, _, live = _steps(ids, offsets)
     states = len(model.start)
     alphas = np.zeros((len(ids), states), np.float32)
@@ -231,7 +234,7 @@ def expected_counts(model: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple
         alphas[at] *= beta  # from here on the posterior of the states
         if t == 0:
             start += alphas[at].sum(0)
-    return start, moves * model.move, _emitted(alphas, ids, len(model.emit))
+    return start, moves * model.move, _emitted(alphas, ids, len(model.emit)), float(np.log(scales, dtype=np.float64).sum())
 
 
 def _emitted(gamma: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
@@ -253,13 +256,13 @@ def _read_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
-    start, moves = np.zeros(len(model.start)), np.zeros_like(model.move)
+    start, moves, reached = np.zeros(len(model.start)), np.zeros_like(model.move), 0.0
     emitted = np.zeros_like(model.emit)
     for batch in text_chunks(batches, "ids", 1 << 20):
         ids, offsets = _read_ids(batch.column("ids"))
-        one, two, three = expected_counts(model, ids, _cut(offsets, CUT))
-        start, moves, emitted = start + one, moves + two, emitted + three
-    blocks = [np.concatenate([start, moves.ravel()]), *(emitted[i : i + _BLOCK].ravel() for i in range(0, len(emitted), _BLOCK))]
+        one, two, three, four = expectations(model, ids, _cut(offsets, CUT))
+        start, moves, emitted, reached = start + one, moves + two, emitted + three, reached + four
+    blocks = [np.concatenate([start, moves.ravel(), [reached]]), *(emitted[i : i + _BLOCK].ravel() for i in range(0, len(emitted), _BLOCK))]
     yield pa.RecordBatch.from_pydict({
         "block": pa.array(np.arange(len(blocks)), pa.int32()),
         "sums": pa.array([b.astype("<f8").tobytes() for b in blocks], pa.binary()),
@@ -276,8 +279,11 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "sums": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
 
-def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
-    """One round over all rows of encoded (ids binary); sums of blocks, not of whole models, meet."""
+def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> tuple[Model, float]:
+    """One round over all rows of encoded (ids binary): the next model, and the log likelihood under `model`.
+
+    Sums of blocks, not of whole models, meet.
+    """
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -289,10 +295,25 @@ def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
     parts = {r.block: np.frombuffer(bytes(r.sums), "<f8") for r in sums.collect()}
     shared.unpersist()
     if not parts:
-        return model
+        return model, 0.0
     k = len(model.start)
     emitted = np.concatenate([parts[b].reshape(-1, k) for b in sorted(parts) if b])
-    return Model.normalised(parts[0][:k], parts[0][k:].reshape(k, k), emitted, unigram)
+    return Model.normalised(parts[0][:k], parts[0][k:-1].reshape(k, k), emitted, unigram), float(parts[0][-1])
+
+
+def settled(before: float, now: float) -> bool:
+    """Whether the last round raised the log likelihood by less than TOLERANCE of itself."""
+    return now - before <= TOLERANCE * abs(now)
+
+
+def train(encoded: DataFrame, unigram: np.ndarray) -> Model:
+    """Baum-Welch over all rows of encoded, from the fixed start until the likelihood settles."""
+    model, before = Model.seeded(unigram, STATES), -np.inf
+    while True:
+        model, now = baum_welch(encoded, model, unigram)
+        if settled(before, now):
+            return model
+        before = now
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -331,25 +352,7 @@ def gather(counts: DataFrame, vocabulary: int = VOCABULARY, lookup: int = LOOKUP
     )
 
 
-def _seed(encoded: DataFrame, unigram: np.ndarray, total: int, tokens: int = SEED_TOKENS) -> Model:
-    """Baum-Welch on the driver over about `tokens` tokens of training text."""
-    model = Model.seeded(unigram, STATES)
-    share = min(1.0, tokens / max(total, 1))
-    draw = encoded.filter(F.pmod(F.xxhash64("ids"), F.lit(1 << 30)) < int(share * (1 << 30))).select("ids")
-    held, size = [], 0
-    for row in draw.toLocalIterator():
-        held.append(np.frombuffer(bytes(row.ids), "<u2").astype(np.int64))
-        size += len(held[-1])
-    if not held:
-        return model
-    held.sort(key=lambda x: (len(x), x.tobytes()))
-    ids, offsets = np.concatenate(held), _cut(prefix(np.array([len(x) for x in held], np.int64)), CUT)
-    for _ in range(SEED_ROUNDS):
-        model = Model.normalised(*expected_counts(model, ids, offsets), unigram)
-    return model
-
-
-def score(docs: DataFrame, folds: int = 10, held: int = 0, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = tune(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held).alias("held_out"), "text")
@@ -363,9 +366,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, rounds: int = ROUNDS)
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, ids binary, known long, base double, inner double, rare array<long>"
     encoded = materialise(source.mapInArrow(encode, schema.replace("inner", "`inner`")), "encoded")
     training = encoded.filter("not held_out")
-    model = _seed(training, known.unigram, known.total)
-    for _ in range(rounds):
-        model = baum_welch(training, model, known.unigram)
+    model = train(training, known.unigram)
     final = spark.sparkContext.broadcast(model)
 
     def forward(batches):

@@ -109,3 +109,26 @@ def test_rounds_raise_the_likelihood():
         start, move, emit = scoring.expected_counts(model, ids, offsets)
         model = scoring.Model(start / start.sum(), move / move.sum(1, keepdims=True), (emit + 1e-9) / (emit + 1e-9).sum(0))
     assert re.match("-", str(now)) and len(unigram) == 6
+
+
+def test_every_round_covers_all_training_rows(spark, documents, monkeypatch):
+    """The rounds are those of one process that holds every training row, from the fixed start to the tolerance."""
+    seen = []
+    round_of = scoring.baum_welch
+
+    def spy(encoded, model, unigram):
+        rows = [np.frombuffer(bytes(r.ids), "<u2").astype(np.int64) for r in encoded.collect()]
+        ids, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        after, reached = round_of(encoded, model, unigram)
+        own = scoring.Model.normalised(*scoring.expected_counts(model, ids, scoring._cut(offsets, scoring.CUT)), unigram)
+        assert np.allclose(after.emit, own.emit, rtol=1e-3) and np.allclose(after.move, own.move, rtol=1e-3)
+        assert abs(reached - scoring.log_likelihood(model, ids, scoring._cut(offsets, scoring.CUT)).sum()) < 1e-4 * abs(reached)
+        seen.append((len(ids), reached, model))
+        return after, reached
+
+    monkeypatch.setattr(scoring, "baum_welch", spy)
+    rows = scoring.score(documents).collect()
+    assert len(seen) > 2 and {n for n, _, _ in seen} == {sum(r.n_tokens for r in rows if not r.held_out)}
+    logs = [v for _, v, _ in seen]
+    assert all(b - a > scoring.TOLERANCE * abs(b) for a, b in zip(logs[:-2], logs[1:-1], strict=True))
+    assert logs[-1] - logs[-2] <= scoring.TOLERANCE * abs(logs[-1])
