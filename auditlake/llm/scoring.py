@@ -4,11 +4,12 @@ Method: Baum-Welch. The expected counts of starts, transitions and emissions are
 all training documents, partition by partition; the driver only normalises them. Scores come
 from the scaled forward recursion, which gives the exact likelihood of the whole sequence.
 
-Words are counted over all training documents. The VOCABULARY most frequent ones, seen
-LEAST_NAMED times or more, are emitted by name; any other word is emitted through its class (a hash of its last two bytes), and its
-probability inside the class comes from its own count. Counts of the most frequent LOOKUP words
-are broadcast (a fixed bound); the counts of all rarer words reach their documents by a join,
-so that no count is left out. Training begins at a fixed model (Model.seeded); every round covers
+Words are counted over all training documents. Every word seen LEAST_NAMED times or more is emitted
+by name, so the emission statistics grow with the corpus; any other word is emitted through its class
+(a hash of its last two bytes), and its probability inside the class comes from its own count. Counts
+of the named words and of the most frequent LOOKUP words are broadcast; the counts of all rarer words
+reach their documents by a join, so that no count is left out. The model (STATES numbers a named
+word) is broadcast and normalised on the driver: both hold it whole. Training begins at a fixed model (Model.seeded); every round covers
 all training documents, and rounds go on until one raises the likelihood by less than TOLERANCE of
 itself. Training sequences are cut every CUT tokens; scored ones never are.
 
@@ -27,12 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table_partitions, text_chunks, tune
+from .common import materialise, release, table_partitions, text_chunks, tune
 from .language import fold
 from .textops import LOWER, NON_SPACE, Words, buffers, by_row, mix, prefix, ragged
 
 STATES = 8
-VOCABULARY = 1 << 15
 LEAST_NAMED = 4
 LOOKUP = 500_000
 CLASSES = 256
@@ -92,11 +92,11 @@ def _rows(found) -> pa.RecordBatch:
 class Counts:
     """What every worker needs: counts of frequent words, totals by class."""
 
-    def __init__(self, hashes, counts, classes, total: int, distinct: int, class_total, class_distinct, vocabulary: int):
+    def __init__(self, hashes, counts, classes, total: int, distinct: int, class_total, class_distinct, least: int):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        rank = np.lexsort((hashes, -counts))[:vocabulary]
-        rank = rank[counts[rank] >= LEAST_NAMED]
+        rank = np.lexsort((hashes, -counts))
+        rank = rank[counts[rank] >= least]
         number = np.full(len(hashes), -1, np.int64)
         number[rank] = np.arange(len(rank))
         self.number = number[order]
@@ -134,14 +134,14 @@ def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         n = len(batch)
         sizes = np.diff(offsets)
         inside = np.where(ids >= counts.words, logs - counts.inner[classes], 0.0)
-        raw = ids.astype("<u2").view(np.uint8).data
+        raw = ids.astype("<u4").view(np.uint8).data
         rare_counts = by_row(rare, offsets)
         yield pa.RecordBatch.from_pydict({
             "uid": pa.array((part << 33) + made + np.arange(n), pa.int64()),
             "doc_id": batch.column("doc_id"),
             "held_out": batch.column("held_out"),
             "n_tokens": pa.array(sizes, pa.int64()),
-            "ids": pa.array([raw[2 * a : 2 * b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()),
+            "ids": pa.array([raw[4 * a : 4 * b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()),
             "known": pa.array(by_row(known, offsets), pa.int64()),
             "base": pa.array(np.diff(prefix(logs)[offsets]) - sizes * counts.whole, pa.float64()),
             "inner": pa.array(np.diff(prefix(inside)[offsets]), pa.float64()),
@@ -162,15 +162,16 @@ class Model:
         emit = unigram[:, None] * noise
         move = np.full((states, states), 0.1 / max(states - 1, 1))
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-        return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
+        return Model(np.full(states, 1 / states), move, (emit / emit.sum(0)).astype(np.float32))
 
     @staticmethod
     def normalised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Model:
         start = start + 1e-2
         move = move + 1e-2
-        emit = emit + unigram[:, None]
-        mixed = (1 - UNIGRAM) * emit / emit.sum(0) + UNIGRAM * unigram[:, None]
-        return Model(start / start.sum(), move / move.sum(1, keepdims=True), mixed)
+        mixed = emit + unigram[:, None]
+        mixed *= (1 - UNIGRAM) / mixed.sum(0)
+        mixed += UNIGRAM * unigram[:, None]
+        return Model(start / start.sum(), move / move.sum(1, keepdims=True), mixed.astype(np.float32))
 
 
 def _steps(ids: np.ndarray, offsets: np.ndarray):
@@ -211,7 +212,7 @@ def expectations(model: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple[np
     scales = np.zeros(len(ids), np.float32)
     alpha = np.zeros((0, states))
     move = model.move.astype(np.float32)
-    emit = model.emit.astype(np.float32)
+    emit = model.emit.astype(np.float32, copy=False)
     first = model.start.astype(np.float32)
     for t, n in enumerate(live.tolist()):
         at = begin[:n] + t
@@ -251,32 +252,65 @@ def _cut(offsets: np.ndarray, most: int) -> np.ndarray:
 
 def _read_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = buffers(column)
-    return np.frombuffer(raw.tobytes(), "<u2").astype(np.int64), offsets // 2
+    return np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), offsets // 4
 
 
 def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     start, moves, reached = np.zeros(len(model.start)), np.zeros_like(model.move), 0.0
-    emitted = np.zeros_like(model.emit)
-    for batch in text_chunks(batches, "ids", 1 << 20):
+    emitted = np.zeros(model.emit.shape)
+    number = np.zeros(len(emitted), np.int64)
+    touched = np.zeros(len(emitted), bool)
+    for batch in text_chunks(batches, "ids", 1 << 21):
         ids, offsets = _read_ids(batch.column("ids"))
-        one, two, three, four = expectations(model, ids, _cut(offsets, CUT))
-        start, moves, emitted, reached = start + one, moves + two, emitted + three, reached + four
-    blocks = [np.concatenate([start, moves.ravel(), [reached]]), *(emitted[i : i + _BLOCK].ravel() for i in range(0, len(emitted), _BLOCK))]
-    yield pa.RecordBatch.from_pydict({
-        "block": pa.array(np.arange(len(blocks)), pa.int32()),
-        "sums": pa.array([b.astype("<f8").tobytes() for b in blocks], pa.binary()),
-    })
+        seen = np.zeros(len(emitted), bool)
+        seen[ids] = True
+        own = np.flatnonzero(seen)
+        number[own] = np.arange(len(own))
+        one, two, three, four = expectations(Model(model.start, model.move, model.emit[own]), number[ids], _cut(offsets, CUT))
+        start, moves, reached = start + one, moves + two, reached + four
+        emitted[own] += three
+        touched |= seen
+    # block 0 holds the small sums; a block of words only those that occur here
+    at = np.flatnonzero(touched)
+    edges = np.searchsorted(at, np.arange(0, len(emitted) + _BLOCK, _BLOCK))
+    blocks = [(0, b"", np.concatenate([start, moves.ravel(), [reached]]).astype("<f8").tobytes())]
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        own = at[edges[k] : edges[k + 1]]
+        blocks.append((k + 1, (own - k * _BLOCK).astype("<u2").tobytes(), emitted[own].astype("<f4").tobytes()))
+        if len(blocks) == 256:
+            yield _block_rows(blocks)
+            blocks = []
+    if blocks:
+        yield _block_rows(blocks)
+
+
+_BLOCK_SCHEMA = "block int, at binary, sums binary"
+
+
+def _block_rows(blocks: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    block, at, sums = zip(*blocks, strict=True)
+    return pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int32()), "at": pa.array(at, pa.binary()), "sums": pa.array(sums, pa.binary())})
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, raw in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            part = np.frombuffer(raw, "<f8")
-            sums[block] = sums[block] + part if block in sums else part
-    if sums:
-        yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "sums": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+        for block, at, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "sums")), strict=True):
+            if not block:
+                part = np.frombuffer(raw, "<f8")
+                sums[0] = sums[0] + part if 0 in sums else part
+                continue
+            if block not in sums:
+                sums[block] = np.zeros((_BLOCK, STATES))
+            own = np.frombuffer(at, "<u2")
+            sums[block][own] += np.frombuffer(raw, "<f4").reshape(len(own), -1)
+    blocks = []
+    for block, total in sums.items():
+        own = np.flatnonzero(total.any(axis=1)) if block else np.zeros(0, np.int64)
+        blocks.append((block, own.astype("<u2").tobytes(), (total[own].astype("<f4") if block else total).tobytes()))
+    if blocks:
+        yield _block_rows(blocks)
 
 
 def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> tuple[Model, float]:
@@ -290,15 +324,19 @@ def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> tuple[M
     def expect(batches):
         return _expect(batches, shared)
 
-    schema = "block int, sums binary"
-    sums = encoded.select("ids").mapInArrow(expect, schema).repartition(table_partitions(spark), "block").mapInArrow(_add, schema)
-    parts = {r.block: np.frombuffer(bytes(r.sums), "<f8") for r in sums.collect()}
-    shared.unpersist()
-    if not parts:
+    sums = encoded.select("ids").mapInArrow(expect, _BLOCK_SCHEMA).repartition(table_partitions(spark), "block").mapInArrow(_add, _BLOCK_SCHEMA)
+    k, small = len(model.start), None
+    emitted = np.zeros(model.emit.shape)
+    for row in sums.collect():
+        if row.block:
+            at = np.frombuffer(bytes(row.at), "<u2").astype(np.int64) + (row.block - 1) * _BLOCK
+            emitted[at] = np.frombuffer(bytes(row.sums), "<f4").reshape(-1, k)
+        else:
+            small = np.frombuffer(bytes(row.sums), "<f8")
+    shared.destroy()
+    if small is None:
         return model, 0.0
-    k = len(model.start)
-    emitted = np.concatenate([parts[b].reshape(-1, k) for b in sorted(parts) if b])
-    return Model.normalised(parts[0][:k], parts[0][k:-1].reshape(k, k), emitted, unigram), float(parts[0][-1])
+    return Model.normalised(small[:k], small[k:-1].reshape(k, k), emitted, unigram), float(small[-1])
 
 
 def settled(before: float, now: float) -> bool:
@@ -311,6 +349,7 @@ def train(encoded: DataFrame, unigram: np.ndarray) -> Model:
     model, before = Model.seeded(unigram, STATES), -np.inf
     while True:
         model, now = baum_welch(encoded, model, unigram)
+        release(encoded.sparkSession)
         if settled(before, now):
             return model
         before = now
@@ -318,7 +357,7 @@ def train(encoded: DataFrame, unigram: np.ndarray) -> Model:
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
-    for batch in text_chunks(batches, "ids", 1 << 21):
+    for batch in text_chunks(batches, "ids", 1 << 22):
         ids, offsets = _read_ids(batch.column("ids"))
         logs = log_likelihood(model, ids, offsets) / np.log(10)
         out = {c: batch.column(c) for c in ("uid", "doc_id", "held_out", "n_tokens", "known", "base", "rare_n")}
@@ -332,8 +371,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return materialise(found.groupBy("h").agg(F.min("s").alias("s"), F.sum("c").alias("c")), "counts")
 
 
-def gather(counts: DataFrame, vocabulary: int = VOCABULARY, lookup: int = LOOKUP) -> Counts:
-    """The bounded part of the counts: at most `lookup` words (all with at least some count), class totals."""
+def gather(counts: DataFrame, named: int = LEAST_NAMED, lookup: int = LOOKUP) -> Counts:
+    """What is broadcast of the counts: all words seen `named` times, the `lookup` most frequent ones, class totals."""
     least = 1
     histogram = sorted(((r.c, r.n) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
     taken = 0
@@ -342,13 +381,13 @@ def gather(counts: DataFrame, vocabulary: int = VOCABULARY, lookup: int = LOOKUP
             least = c + 1
             break
         taken += n
-    rows = counts.filter(F.col("c") >= least).select("h", "c", "s").toPandas()
+    rows = counts.filter(F.col("c") >= min(least, named)).select("h", "c", "s").toPandas()
     by_class = {r.s: (r.c, r.n) for r in counts.groupBy("s").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
     class_total = np.array([by_class.get(s, (0, 0))[0] for s in range(CLASSES)], np.float64)
     class_distinct = np.array([by_class.get(s, (0, 0))[1] for s in range(CLASSES)], np.float64)
     return Counts(
         rows["h"].to_numpy(np.int64), rows["c"].to_numpy(np.int64), rows["s"].to_numpy(np.int64),
-        int(class_total.sum()), int(class_distinct.sum()), class_total, class_distinct, vocabulary,
+        int(class_total.sum()), int(class_distinct.sum()), class_total, class_distinct, named,
     )
 
 

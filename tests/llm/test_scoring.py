@@ -111,24 +111,44 @@ def test_rounds_raise_the_likelihood():
     assert re.match("-", str(now)) and len(unigram) == 6
 
 
-def test_every_round_covers_all_training_rows(spark, documents, monkeypatch):
-    """The rounds are those of one process that holds every training row, from the fixed start to the tolerance."""
+def rounds_of(docs, monkeypatch):
+    """The rows of scores, and (tokens, log likelihood, ids, model) of each round, held to one process with all rows."""
     seen = []
     round_of = scoring.baum_welch
 
     def spy(encoded, model, unigram):
-        rows = [np.frombuffer(bytes(r.ids), "<u2").astype(np.int64) for r in encoded.collect()]
+        rows = [np.frombuffer(bytes(r.ids), "<u4").astype(np.int64) for r in encoded.collect()]
         ids, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         after, reached = round_of(encoded, model, unigram)
         own = scoring.Model.normalised(*scoring.expected_counts(model, ids, scoring._cut(offsets, scoring.CUT)), unigram)
         assert np.allclose(after.emit, own.emit, rtol=1e-3) and np.allclose(after.move, own.move, rtol=1e-3)
         assert abs(reached - scoring.log_likelihood(model, ids, scoring._cut(offsets, scoring.CUT)).sum()) < 1e-4 * abs(reached)
-        seen.append((len(ids), reached, model))
+        seen.append((len(ids), reached, ids, after))
         return after, reached
 
     monkeypatch.setattr(scoring, "baum_welch", spy)
-    rows = scoring.score(documents).collect()
-    assert len(seen) > 2 and {n for n, _, _ in seen} == {sum(r.n_tokens for r in rows if not r.held_out)}
-    logs = [v for _, v, _ in seen]
+    return scoring.score(docs).collect(), seen
+
+
+def test_every_round_covers_all_training_rows(documents, monkeypatch):
+    rows, seen = rounds_of(documents, monkeypatch)
+    assert len(seen) > 2 and {n for n, *_ in seen} == {sum(r.n_tokens for r in rows if not r.held_out)}
+    logs = [v for _, v, *_ in seen]
     assert all(b - a > scoring.TOLERANCE * abs(b) for a, b in zip(logs[:-2], logs[1:-1], strict=True))
     assert logs[-1] - logs[-2] <= scoring.TOLERANCE * abs(logs[-1])
+
+
+def test_every_word_seen_often_enough_is_named(spark, monkeypatch):
+    """40,000 words that all end alike: each has emission statistics of its own."""
+    words = [f"w{i}xx" for i in range(40_000)]
+    rows = [(i, " ".join(words[k : k + 400])) for i, k in enumerate(k for k in range(0, 40_000, 400) for _ in range(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counts = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 10 for w in [*t.split(), None])
+    often = sum(n >= scoring.LEAST_NAMED for n in counts.values())
+    assert often > 1 << 15
+    monkeypatch.setattr(scoring, "TOLERANCE", 1.0)  # two rounds
+    _, seen = rounds_of(docs, monkeypatch)
+    _, _, ids, model = seen[-1]
+    assert len(model.emit) == often + scoring.CLASSES
+    assert len(np.unique(ids[ids < often])) == often
+    check(docs)
