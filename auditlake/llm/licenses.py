@@ -5,8 +5,9 @@ WINDOW neighbouring ones), and the winnowed ones form an inverted index from has
 place). Every run of a whole document is looked up. Hits of one template on neighbouring
 diagonals are one candidate; a local alignment of the template's words with the document's, in
 a band around the candidate's diagonal, gives the matched words and the spans on both sides.
-Candidates of a template are aligned together, row by row of the template. Where reported
-spans of a document overlap, the one with the higher score stays.
+Candidates of a template are aligned together, row by row of the template. Once a span is found, its
+candidate is aligned again in the words before and after it, until nothing that reaches the coverage
+is left in the band. Where reported spans of a document overlap, the one with the higher score stays.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` in lower case. Templates are a parameter; they are
 checked against MOST_TEMPLATE_WORDS before they are broadcast.
@@ -160,6 +161,27 @@ def _candidates(doc: np.ndarray, template: np.ndarray, diagonal: np.ndarray, ban
     return doc[keep], template[keep], diagonal[keep]
 
 
+def occurrences(template: np.ndarray, words: np.ndarray, begins: np.ndarray, ends: np.ndarray, diagonals: np.ndarray, least: float, most: int = 1 << 14):
+    """(candidate, score, matched, word start, word end, template start, template end) of all good spans.
+
+    A candidate's band may hold several occurrences of a short template: what lies before and after
+    a span that was found is aligned again.
+    """
+    for cut in range(0, len(diagonals), most):
+        which = np.arange(cut, min(cut + most, len(diagonals)))
+        # the words that the band can reach
+        low = np.maximum(begins[which], diagonals[which] - BAND)
+        high = np.minimum(ends[which], diagonals[which] + len(template) + BAND)
+        while len(which):
+            result = align(template, words, low, high, diagonals[which])
+            good = np.flatnonzero(result["matched"] >= least)
+            first, last = result["word_start"][good], result["word_end"][good]
+            yield from zip(*(x.tolist() for x in (which[good], result["score"][good], result["matched"][good], first, last, result["template_start"][good], result["template_end"][good])), strict=True)
+            which, low, high = np.tile(which[good], 2), np.concatenate([low[good], last]), np.concatenate([first, high[good]])
+            room = high - low >= least
+            which, low, high = which[room], low[room], high[room]
+
+
 def _scan(batches: Iterator[pa.RecordBatch], shared, coverage: float) -> Iterator[pa.RecordBatch]:
     index: Index = shared.value
     for batch in text_chunks(batches):
@@ -176,11 +198,9 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, coverage: float) -> Iterato
         for k in np.unique(template).tolist():
             mine = template == k
             rows = doc[mine]
-            result = align(index.words[k], hashes, words.offsets[rows], words.offsets[rows + 1], diagonal[mine])
             size = len(index.words[k])
-            good = np.flatnonzero(result["matched"] >= coverage * size)
-            for i in good.tolist():
-                found.append((int(rows[i]), -int(result["score"][i]), int(result["word_start"][i]), index.names[k], int(result["word_end"][i]), int(result["matched"][i]), size, int(result["template_start"][i]), int(result["template_end"][i])))
+            for i, score, matched, begin, end, first, last in occurrences(index.words[k], hashes, words.offsets[rows], words.offsets[rows + 1], diagonal[mine], coverage * size):
+                found.append((int(rows[i]), -score, begin, index.names[k], end, matched, size, first, last))
         chars = prefix(((raw & 0xC0) != 0x80).astype(np.int64))
         taken: dict[int, list[tuple[int, int]]] = {}
         rows_out = []

@@ -88,3 +88,15 @@ def test_winnowing_keeps_a_hash_of_every_window():
     kept = set(licenses.winnow(hashes, 4).tolist())
     for i in range(57):
         assert kept & set(range(i, i + 4))
+
+
+def test_repeats_of_short_notices_are_all_found(spark):
+    short = {n: t for n, t in licenses.TEMPLATES if len(ALNUM.findall(lower(t))) <= 2 * licenses.BAND}
+    cases = [(n, "\n".join([t] * k), k) for n, t in short.items() for k in (2, 3, 40)]
+    cases.append(("all-rights-reserved", "(c) 2020 X. All rights reserved. (c) 2021 Y. All rights reserved.", 2))
+    docs = spark.createDataFrame([(i, "Intro " + text) for i, (_, text, _) in enumerate(cases)], "doc_id long, text string")
+    rows = licenses.scan(docs).collect()
+    for i, (name, text, k) in enumerate(cases):
+        own = sorted((r.start_char, r.end_char) for r in rows if r.doc_id == i and r.license_id == name and r.coverage == 1.0)
+        assert len(own) == k, (name, k, len(own))
+        assert all(a <= b for (_, a), (b, _) in zip(own, own[1:], strict=False))
