@@ -1,8 +1,12 @@
 """Operator 2, license scans: winnowed fingerprints, then banded alignment.
 
-Method: the templates' runs of GRAM words are hashed and winnowed (the least hash of every
-WINDOW neighbouring ones), and the winnowed ones form an inverted index from hash to (template,
-place). Every run of a whole document is looked up. Hits of one template on neighbouring
+Method: the templates' runs of GRAM words are hashed and winnowed (the least hash of every few
+neighbouring ones), and the winnowed ones form an inverted index from hash to (template, place).
+However the words that COVERAGE lets a template miss are spread, a run of its words stays whole; runs
+and windows (at most GRAM and WINDOW) are no longer than lets one fingerprint fall inside it, so
+substituted or missing words never hide a passage. Words inserted between matched ones are not bounded
+by COVERAGE: a passage with one inside every run of the index is not found. A template shorter than
+GRAM is looked up as a whole; one without a word is refused. Every run of a whole document is looked up. Hits of one template on neighbouring
 diagonals are one candidate; a local alignment of the template's words with the document's, in
 a band around the candidate's diagonal, gives the matched words and the spans on both sides.
 Candidates of a template are aligned together, row by row of the template. Once a span is found, its
@@ -61,12 +65,17 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(wide)) + window - 1 - wide[:, ::-1].argmin(axis=1))
 
 
+def intact(size: int, coverage: float) -> int:
+    """Length of the run of words that is whole in every copy of a template of `size` words with that coverage."""
+    missed = next(m for m in range(size, -1, -1) if m == 0 or size - m >= coverage * size)
+    return -(-(size - missed) // (missed + 1))
+
+
 class Index:
-    """Inverted index of the templates' winnowed fingerprints."""
+    """Inverted index of the templates' winnowed fingerprints, by the words of a fingerprint."""
 
-    def __init__(self, templates, gram: int = GRAM, window: int = WINDOW):
+    def __init__(self, templates, coverage: float = COVERAGE, gram: int = GRAM, window: int = WINDOW):
         self.names = [name for name, _ in templates]
-        self.gram = gram
         data, offsets = buffers(pa.array([text for _, text in templates], pa.string()))
         data = LOWER[data]
         words = Words(data, offsets, ALNUM)
@@ -74,25 +83,34 @@ class Index:
             raise ValueError(f"templates hold more than {MOST_TEMPLATE_WORDS} words")
         flat = words.hashes(data)
         self.words = [flat[a:b] for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
-        keys, template, place = [], [], []
+        entries: dict[int, list] = {}
         for k, own in enumerate(self.words):
-            width = min(gram, len(own))
-            if width < gram:
-                continue  # shorter than a run of words: cannot be indexed
-            _, hashes = window_hashes(own, np.array([0, len(own)]), gram)
-            at = winnow(hashes, window)
-            keys.append(hashes[at])
-            template.append(np.full(len(at), k))
-            place.append(at)
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.template = np.concatenate(template)[order] if keys else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if keys else np.zeros(0, np.int64)
-
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(own):
+                raise ValueError(f"template {self.names[k]} holds no word")
+            run = intact(len(own), coverage)
+            width = max(1, min(gram, run))
+            _, hashes = window_hashes(own, np.array([0, len(own)]), width)
+            at = winnow(hashes, max(1, min(window, run - width + 1)))
+            entries.setdefault(width, []).append((hashes[at], np.full(len(at), k), at))
+        self.tables = {}
+        for width, parts in entries.items():
+            keys, template, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.tables[width] = keys[order], template[order], place[order]
+
+    def found(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word's index, template, diagonal) of all fingerprints in the texts' words."""
+        out = [(np.zeros(0, np.int64),) * 3]
+        for width, (keys, template, place) in self.tables.items():
+            at, grams = window_hashes(words, offsets, width)
+            hit, entry = self.hits(keys, grams)
+            out.append((at[hit], template[entry], at[hit] - place[entry]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    @staticmethod
+    def hits(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query's place, entry of the index) of all equal hashes."""
-        low, high = np.searchsorted(self.keys, hashes, "left"), np.searchsorted(self.keys, hashes, "right")
+        low, high = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
         found = np.flatnonzero(high > low)
         sizes = high[found] - low[found]
         entry = np.arange(sizes.sum()) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if len(found) else np.zeros(0, np.int64)
@@ -189,11 +207,9 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, coverage: float) -> Iterato
         data = LOWER[raw]
         words = Words(data, offsets, ALNUM)
         hashes = words.hashes(data)
-        at, grams = window_hashes(hashes, words.offsets, index.gram)
-        hit, entry = index.hits(grams)
-        place = at[hit]
+        place, of, diagonal = index.found(hashes, words.offsets)
         row = np.searchsorted(words.offsets, place, "right") - 1
-        doc, template, diagonal = _candidates(row, index.template[entry], place - index.place[entry], BAND)
+        doc, template, diagonal = _candidates(row, of, diagonal, BAND)
         found: list[tuple] = []
         for k in np.unique(template).tolist():
             mine = template == k
@@ -232,7 +248,7 @@ _SCHEMA = "doc_id long, license_id string, matched_words long, template_words lo
 def scan(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """License passages of all documents whose matched share of the template reaches coverage."""
     spark = tune(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(Index(templates))
+    shared = spark.sparkContext.broadcast(Index(templates, coverage))
 
     def step(batches):
         return _scan(batches, shared, coverage)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -100,3 +101,31 @@ def test_repeats_of_short_notices_are_all_found(spark):
         own = sorted((r.start_char, r.end_char) for r in rows if r.doc_id == i and r.license_id == name and r.coverage == 1.0)
         assert len(own) == k, (name, k, len(own))
         assert all(a <= b for (_, a), (b, _) in zip(own, own[1:], strict=False))
+
+
+def test_edited_copies_that_reach_the_coverage_are_found(spark):
+    rng = np.random.default_rng(3)
+    cases = []
+    for name, full in licenses.TEMPLATES:
+        words = ALNUM.findall(lower(full))
+        n = len(words)
+        missed = max(m for m in range(n) if n - m >= licenses.COVERAGE * n)
+        spread = [list(range(k, n, 5))[:missed] for k in range(5)] + [[i] for i in range(n) if missed and n < 20]
+        spread += [rng.choice(n, missed, replace=False).tolist() for _ in range(5)]
+        for places in spread:
+            if 0 in places or n - 1 in places:
+                continue  # an alignment may leave the ends out; the middle has to be bridged
+            cases.append((name, n - len(places), "Intro: " + " ".join("changed" if i in places else w for i, w in enumerate(words)) + " tail"))
+        for i in range(n) if missed and n < 20 else ():
+            cases.append((name, n - 1, "Intro: " + " ".join("changed" if i == j else w for j, w in enumerate(words)) + " tail"))
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(cases)], "doc_id long, text string")
+    found = {(r.doc_id, r.license_id): r.matched_words for r in licenses.scan(docs).collect()}
+    assert [c for i, c in enumerate(cases) if found.get((i, c[0])) != c[1]] == []
+
+
+def test_templates_shorter_than_a_run(spark):
+    docs = spark.createDataFrame([(1, "This is in the Public Domain; WTFPL too."), (2, "public, not a domain")], "doc_id long, text string")
+    rows = licenses.scan(docs, (("pd", "public domain"), ("wtfpl", "WTFPL"))).collect()
+    assert sorted((r.doc_id, r.license_id, r.coverage) for r in rows) == [(1, "pd", 1.0), (1, "wtfpl", 1.0)]
+    with pytest.raises(ValueError, match="no word"):
+        licenses.scan(docs, (("empty", " ... "),))
