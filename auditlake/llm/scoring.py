@@ -158,11 +158,12 @@ class Model:
 
     @staticmethod
     def seeded(unigram: np.ndarray, states: int) -> Model:
-        noise = np.random.default_rng(7).gamma(2.0, 0.5, (len(unigram), states))
-        emit = unigram[:, None] * noise
+        emit = np.random.default_rng(7).gamma(2.0, 0.5, (len(unigram), states))
+        emit *= unigram[:, None]
+        emit /= emit.sum(0)
         move = np.full((states, states), 0.1 / max(states - 1, 1))
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-        return Model(np.full(states, 1 / states), move, (emit / emit.sum(0)).astype(np.float32))
+        return Model(np.full(states, 1 / states), move, emit.astype(np.float32))
 
     @staticmethod
     def normalised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Model:
@@ -326,7 +327,7 @@ def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> tuple[M
 
     sums = encoded.select("ids").mapInArrow(expect, _BLOCK_SCHEMA).repartition(table_partitions(spark), "block").mapInArrow(_add, _BLOCK_SCHEMA)
     k, small = len(model.start), None
-    emitted = np.zeros(model.emit.shape)
+    emitted = np.zeros(model.emit.shape, np.float32)
     for row in sums.collect():
         if row.block:
             at = np.frombuffer(bytes(row.at), "<u2").astype(np.int64) + (row.block - 1) * _BLOCK
@@ -381,12 +382,12 @@ def gather(counts: DataFrame, named: int = LEAST_NAMED, lookup: int = LOOKUP) ->
             least = c + 1
             break
         taken += n
-    rows = counts.filter(F.col("c") >= min(least, named)).select("h", "c", "s").toPandas()
+    rows = counts.filter(F.col("c") >= min(least, named)).select("h", "c", "s").toArrow()
     by_class = {r.s: (r.c, r.n) for r in counts.groupBy("s").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
     class_total = np.array([by_class.get(s, (0, 0))[0] for s in range(CLASSES)], np.float64)
     class_distinct = np.array([by_class.get(s, (0, 0))[1] for s in range(CLASSES)], np.float64)
     return Counts(
-        rows["h"].to_numpy(np.int64), rows["c"].to_numpy(np.int64), rows["s"].to_numpy(np.int64),
+        *(rows[x].to_numpy().astype(np.int64) for x in ("h", "c", "s")),
         int(class_total.sum()), int(class_distinct.sum()), class_total, class_distinct, named,
     )
 
