@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, release, table_partitions, text_chunks, tune
 from .language import fold
-from .textops import LOWER, NON_SPACE, Words, buffers, by_row, mix, prefix, ragged
+from .textops import LOWER, NON_SPACE, Words, buffers, by_row, mix, prefix, ragged, rows_of
 
 STATES = 8
 LEAST_NAMED = 4
@@ -43,6 +43,11 @@ SMOOTH = 0.1
 #: Share of the unigram distribution in every state's emissions.
 UNIGRAM = 0.05
 _BLOCK = 1024
+#: Tasks whose sums meet first; then the sums of these groups meet.
+_GROUP = 64
+#: Bytes of ids that advance in lockstep.
+EXPECT_BYTES = 1 << 22
+SCORE_BYTES = 1 << 20
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +104,8 @@ class Counts:
         rank = rank[counts[rank] >= least]
         number = np.full(len(hashes), -1, np.int64)
         number[rank] = np.arange(len(rank))
-        self.number = number[order]
+        self.number = number[order].astype(np.int32)
+        self.place = None
         self.total, self.distinct = total, distinct
         self.words = len(rank)
         # what is left for the classes once the named words are taken out
@@ -107,21 +113,36 @@ class Counts:
         self.class_distinct = class_distinct - np.bincount(classes[rank], minlength=CLASSES)
         self.inner = np.log10(self.class_total + SMOOTH * (self.class_distinct + 1))
         self.whole = np.log10(total + SMOOTH * (distinct + 1))
-        named = np.zeros(self.words)
-        named[:] = counts[rank]
-        mass = np.concatenate([named, self.class_total]) + SMOOTH
-        self.unigram = mass / mass.sum()
+        mass = np.concatenate([counts[rank], self.class_total]) + SMOOTH
+        self.unigram = (mass / mass.sum()).astype(np.float32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the known hashes, whether it is there): by the leading bits, then step by step."""
+        if self.place is None:  # made by each worker
+            self.logs = np.log10(self.counts + SMOOTH)
+            bits = max(1, len(self.hashes).bit_length())
+            self.shift = 64 - bits
+            self.place = np.searchsorted(self.hashes >> self.shift, np.arange(-(1 << bits - 1), (1 << bits - 1) + 1)).astype(np.int32)
+            self.least = 1 << bits - 1
+        slot = (hashes >> self.shift) + self.least
+        at, end = self.place[slot], self.place[slot + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            live = live[self.hashes[at[live]] < hashes[live]]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        at = np.minimum(at, len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
 
     def encode(self, hashes: np.ndarray, classes: np.ndarray):
         """(ids, log10(count+smooth) or 0, known, whether the count has to be joined)."""
         ids = self.words + classes
         if not len(self.hashes):
             return ids, np.zeros(len(ids)), np.zeros(len(ids), bool), np.ones(len(ids), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        found = self.hashes[at] == hashes
+        at, found = self.find(hashes)
         named = found & (self.number[at] >= 0)
         ids = np.where(named, self.number[at], ids)
-        logs = np.where(found, np.log10(self.counts[at] + SMOOTH), 0.0)
+        logs = np.where(found, self.logs[at], 0.0)
         return ids, logs, found, ~found
 
 
@@ -158,46 +179,60 @@ class Model:
 
     @staticmethod
     def seeded(unigram: np.ndarray, states: int) -> Model:
-        emit = np.random.default_rng(7).gamma(2.0, 0.5, (len(unigram), states))
+        emit = np.random.default_rng(7).standard_gamma(2.0, (len(unigram), states), np.float32)
         emit *= unigram[:, None]
-        emit /= emit.sum(0)
+        emit /= emit.sum(0, dtype=np.float64)
         move = np.full((states, states), 0.1 / max(states - 1, 1))
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
         return Model(np.full(states, 1 / states), move, emit.astype(np.float32))
 
     @staticmethod
     def normalised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Model:
+        """The model of the expected counts; takes emit over."""
         start = start + 1e-2
         move = move + 1e-2
-        mixed = emit + unigram[:, None]
-        mixed *= (1 - UNIGRAM) / mixed.sum(0)
-        mixed += UNIGRAM * unigram[:, None]
-        return Model(start / start.sum(), move / move.sum(1, keepdims=True), mixed.astype(np.float32))
+        emit += unigram[:, None]
+        emit *= ((1 - UNIGRAM) / emit.sum(0, dtype=np.float64)).astype(emit.dtype)
+        emit += UNIGRAM * unigram[:, None]
+        return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit.astype(np.float32, copy=False))
 
 
-def _steps(ids: np.ndarray, offsets: np.ndarray):
-    """Sequences in lockstep, longest first: (first places, live sequences at each step)."""
-    sizes = np.diff(offsets)
-    order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
-    live = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")
-    return offsets[:-1][order], order, live
+class Lockstep:
+    """Places of the tokens when all sequences advance together, the longest first.
+
+    Step t holds live[t] tokens at places edges[t] to edges[t + 1]; a step's sequences are the first
+    ones of the step before, so that every step is a contiguous run. `at` is a place's token.
+    """
+
+    def __init__(self, offsets: np.ndarray):
+        sizes = np.diff(offsets)
+        self.order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[self.order]
+        live = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")
+        edges = prefix(live)
+        step = rows_of(live)
+        self.at = offsets[:-1][self.order][np.arange(edges[-1]) - edges[step]] + step
+        self.live, self.edges = live.tolist(), edges.tolist()
+
+    def runs(self):
+        """(step, its first place, the place after it)."""
+        return zip(range(len(self.live)), self.edges[:-1], self.edges[1:], strict=True)
 
 
 def log_likelihood(model: Model, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Natural logarithm of each sequence's likelihood by the scaled forward recursion."""
-    begin, order, live = _steps(ids, offsets)
-    logs = np.zeros(len(begin))
-    alpha = np.zeros((0, len(model.start)))
-    for t, n in enumerate(live.tolist()):
-        emitted = model.emit[ids[begin[:n] + t]]
-        alpha = emitted * (model.start if t == 0 else alpha[:n] @ model.move)
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        logs[:n] += np.log(scale)
-    out = np.zeros(len(begin))
-    out[order] = logs
-    return out
+    steps = Lockstep(offsets)
+    emitted = np.ascontiguousarray(model.emit[ids[steps.at]].T, np.float64)  # states by places
+    scales, one = np.ones(len(ids)), np.ones(len(model.start))
+    alpha, move = emitted, np.ascontiguousarray(model.move.T)
+    for t, a, b in steps.runs():
+        alpha = emitted[:, a:b] * (move @ alpha[:, : b - a] if t else model.start[:, None])
+        scale = one @ alpha
+        alpha /= scale
+        scales[a:b] = scale
+    logs = np.empty(len(ids))
+    logs[steps.at] = np.log(scales)
+    return np.diff(prefix(logs)[offsets])
 
 
 def expected_counts(model: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,42 +240,65 @@ def expected_counts(model: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple
     return expectations(model, ids, offsets)[:3]
 
 
-def expectations(model: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+class Room:
+    """Two arrays of states by places that calls of expectations share: fresh memory costs as much as the sums."""
+
+    def __init__(self, states: int):
+        self.states, self.whole = states, np.empty((2, 0), np.float32)
+
+    def arrays(self, n: int) -> np.ndarray:
+        if n * self.states > self.whole.shape[1]:
+            self.whole = np.empty((2, n * self.states * 9 // 8), np.float32)
+        return self.whole[:, : n * self.states].reshape(2, self.states, n)
+
+
+def expectations(model: Model, ids: np.ndarray, offsets: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """The expected counts, and the natural logarithm of the sequences' likelihood under model."""
-    begin, _, live = _steps(ids, offsets)
-    states = len(model.start)
-    alphas = np.zeros((len(ids), states), np.float32)
-    scales = np.zeros(len(ids), np.float32)
-    alpha = np.zeros((0, states))
-    move = model.move.astype(np.float32)
-    emit = model.emit.astype(np.float32, copy=False)
-    first = model.start.astype(np.float32)
-    for t, n in enumerate(live.tolist()):
-        at = begin[:n] + t
-        alpha = emit[ids[at]] * (first if t == 0 else alpha[:n] @ move)
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        alphas[at], scales[at] = alpha, scale
-    start, moves = np.zeros(states), np.zeros((states, states))
-    beta = np.ones((0, states), np.float32)
-    for t in range(len(live) - 1, -1, -1):
-        n, after = int(live[t]), int(live[t + 1]) if t + 1 < len(live) else 0
-        full = np.ones((n, states), np.float32)
-        if after:
-            at = begin[:after] + t + 1
-            weighed = emit[ids[at]] * beta / scales[at][:, None]
-            moves += alphas[begin[:after] + t].T @ weighed
-            full[:after] = weighed @ move.T
-        beta = full
-        at = begin[:n] + t
-        alphas[at] *= beta  # from here on the posterior of the states
-        if t == 0:
-            start += alphas[at].sum(0)
+    steps, states = Lockstep(offsets), len(model.start)
+    ids = ids[steps.at]
+    emitted, alphas = (room or Room(states)).arrays(len(ids))
+    for a in range(0, len(ids), 1 << 14):
+        emitted[:, a : a + (1 << 14)] = model.emit[ids[a : a + (1 << 14)]].T
+    scales, one = np.empty(len(ids), np.float32), np.ones(states, np.float32)
+    move, first = model.move.astype(np.float32), model.start.astype(np.float32)[:, None]
+    alpha, forth = emitted, np.ascontiguousarray(move.T)
+    for t, a, b in steps.runs():
+        now = alphas[:, a:b]
+        np.multiply(emitted[:, a:b], forth @ alpha[:, : b - a] if t else first, out=now)
+        scale = one @ now
+        now /= scale
+        scales[a:b], alpha = scale, now
+    emitted /= scales
+    moves = np.zeros((states, states))
+    beta = following = emitted[:, :0]
+    for _, a, b in reversed(list(steps.runs())):
+        now, n = alphas[:, a:b], following.shape[1]
+        following[:, : beta.shape[1]] *= beta
+        moves += now[:, :n] @ following.T
+        beta = move @ following
+        now[:, :n] *= beta  # from here on the posterior of the states
+        following = emitted[:, a:b]
+    start = alphas[:, : steps.live[0]].sum(1, dtype=np.float64) if steps.live else np.zeros(states)
     return start, moves * model.move, _emitted(alphas, ids, len(model.emit)), float(np.log(scales, dtype=np.float64).sum())
 
 
 def _emitted(gamma: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(ids, gamma[:, k], n) for k in range(gamma.shape[1])], axis=1)
+    """Sums by id of gamma, states by places: n ids by states."""
+    return np.stack([np.bincount(ids, state, n) for state in gamma], axis=1)
+
+
+class _Numbers:
+    """Numbers the ids that occur from 0, in their order."""
+
+    def __init__(self, n: int):
+        self.number, self.n = np.zeros(n, np.int32), n
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seen = np.zeros(self.n, bool)
+        seen[ids] = True
+        own = np.flatnonzero(seen)
+        self.number[own] = np.arange(len(own))
+        return own, self.number[ids]
 
 
 def _cut(offsets: np.ndarray, most: int) -> np.ndarray:
@@ -256,29 +314,57 @@ def _read_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), offsets // 4
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Batches of sequences put together until they hold `limit` bytes of ids, so that many advance together."""
+    held, size = [], 0
+    for batch in text_chunks(batches, "ids", limit):
+        held.append(batch)
+        size += batch.column("ids").nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class _Sums:
+    """Expected emissions of the words that a partition holds, and no others."""
+
+    def __init__(self, states: int):
+        self.held, self.size, self.states = [], 0, states
+
+    def add(self, words: np.ndarray, sums: np.ndarray) -> None:
+        self.held.append((words, sums))
+        self.size += len(words)
+        if len(self.held) > 1 and self.size > 2 * len(self.held[0][0]) + (1 << 17):
+            self.held = [self.merged()]
+            self.size = len(self.held[0][0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros((0, self.states))
+        words, place = np.unique(np.concatenate([h[0] for h in self.held]), return_inverse=True)
+        sums = np.concatenate([h[1] for h in self.held])
+        return words, _emitted(np.ascontiguousarray(sums.T), place, len(words))
+
+
 def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     start, moves, reached = np.zeros(len(model.start)), np.zeros_like(model.move), 0.0
-    emitted = np.zeros(model.emit.shape)
-    number = np.zeros(len(emitted), np.int64)
-    touched = np.zeros(len(emitted), bool)
-    for batch in text_chunks(batches, "ids", 1 << 21):
-        ids, offsets = _read_ids(batch.column("ids"))
-        seen = np.zeros(len(emitted), bool)
-        seen[ids] = True
-        own = np.flatnonzero(seen)
-        number[own] = np.arange(len(own))
-        one, two, three, four = expectations(Model(model.start, model.move, model.emit[own]), number[ids], _cut(offsets, CUT))
+    emitted, numbers, room = _Sums(len(model.start)), _Numbers(len(model.emit)), Room(len(model.start))
+    for table in _gathered(batches, EXPECT_BYTES):
+        ids, offsets = _read_ids(table["ids"].chunk(0))
+        own, number = numbers.of(ids)
+        one, two, three, four = expectations(Model(model.start, model.move, model.emit[own]), number, _cut(offsets, CUT), room)
         start, moves, reached = start + one, moves + two, reached + four
-        emitted[own] += three
-        touched |= seen
+        emitted.add(own, three)
     # block 0 holds the small sums; a block of words only those that occur here
-    at = np.flatnonzero(touched)
-    edges = np.searchsorted(at, np.arange(0, len(emitted) + _BLOCK, _BLOCK))
+    at, sums = emitted.merged()
+    edges = np.searchsorted(at, np.arange(0, len(model.emit) + _BLOCK, _BLOCK))
     blocks = [(0, b"", np.concatenate([start, moves.ravel(), [reached]]).astype("<f8").tobytes())]
     for k in np.flatnonzero(np.diff(edges)).tolist():
-        own = at[edges[k] : edges[k + 1]]
-        blocks.append((k + 1, (own - k * _BLOCK).astype("<u2").tobytes(), emitted[own].astype("<f4").tobytes()))
+        own = slice(edges[k], edges[k + 1])
+        blocks.append((k + 1, (at[own] - k * _BLOCK).astype("<u2").tobytes(), sums[own].astype("<f4").tobytes()))
         if len(blocks) == 256:
             yield _block_rows(blocks)
             blocks = []
@@ -325,15 +411,20 @@ def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> tuple[M
     def expect(batches):
         return _expect(batches, shared)
 
-    sums = encoded.select("ids").mapInArrow(expect, _BLOCK_SCHEMA).repartition(table_partitions(spark), "block").mapInArrow(_add, _BLOCK_SCHEMA)
+    parts = table_partitions(spark)
+    group = F.floor(F.spark_partition_id() / _GROUP).alias("tasks")
+    sums = encoded.select("ids").mapInArrow(expect, _BLOCK_SCHEMA).select("*", group)
+    sums = sums.repartition(parts, "block", "tasks").drop("tasks").mapInArrow(_add, _BLOCK_SCHEMA)
+    sums = sums.repartition(parts, "block").mapInArrow(_add, _BLOCK_SCHEMA)
     k, small = len(model.start), None
     emitted = np.zeros(model.emit.shape, np.float32)
-    for row in sums.collect():
-        if row.block:
-            at = np.frombuffer(bytes(row.at), "<u2").astype(np.int64) + (row.block - 1) * _BLOCK
-            emitted[at] = np.frombuffer(bytes(row.sums), "<f4").reshape(-1, k)
-        else:
-            small = np.frombuffer(bytes(row.sums), "<f8")
+    for batch in sums.toArrow().to_batches():
+        for block, at, raw in zip(*(batch.column(c) for c in ("block", "at", "sums")), strict=True):
+            if block.as_py():
+                place = np.frombuffer(at.as_buffer(), "<u2").astype(np.int64) + (block.as_py() - 1) * _BLOCK
+                emitted[place] = np.frombuffer(raw.as_buffer(), "<f4").reshape(-1, k)
+            else:
+                small = np.frombuffer(raw.as_py(), "<f8")
     shared.destroy()
     if small is None:
         return model, 0.0
@@ -358,11 +449,13 @@ def train(encoded: DataFrame, unigram: np.ndarray) -> Model:
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
-    for batch in text_chunks(batches, "ids", 1 << 22):
-        ids, offsets = _read_ids(batch.column("ids"))
-        logs = log_likelihood(model, ids, offsets) / np.log(10)
-        out = {c: batch.column(c) for c in ("uid", "doc_id", "held_out", "n_tokens", "known", "base", "rare_n")}
-        yield pa.RecordBatch.from_pydict(out | {"score": pa.array(logs + batch.column("inner").to_numpy(), pa.float64())})
+    numbers = _Numbers(len(model.emit))
+    for table in _gathered(batches, SCORE_BYTES):
+        ids, offsets = _read_ids(table["ids"].chunk(0))
+        own, number = numbers.of(ids)
+        logs = log_likelihood(Model(model.start, model.move, model.emit[own]), number, offsets) / np.log(10)
+        out = {c: table[c].chunk(0) for c in ("uid", "doc_id", "held_out", "n_tokens", "known", "base", "rare_n")}
+        yield pa.RecordBatch.from_pydict(out | {"score": pa.array(logs + table["inner"].to_numpy(), pa.float64())})
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -398,6 +491,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held).alias("held_out"), "text")
     counts = count_words(source.filter("not held_out"))
     known = gather(counts)
+    unigram, known.unigram = known.unigram, None  # of no use to the workers
     shared = spark.sparkContext.broadcast(known)
 
     def encode(batches):
@@ -405,9 +499,10 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
 
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, ids binary, known long, base double, inner double, rare array<long>"
     encoded = materialise(source.mapInArrow(encode, schema.replace("inner", "`inner`")), "encoded")
-    training = encoded.filter("not held_out")
-    model = train(training, known.unigram)
-    final = spark.sparkContext.broadcast(model)
+    shared.destroy()
+    total = known.total
+    del known, shared
+    final = spark.sparkContext.broadcast(train(encoded.filter("not held_out"), unigram))
 
     def forward(batches):
         return _score(batches, final)
@@ -427,7 +522,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(known.total).cast("long").alias("train_tokens"),
+        F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + extra).alias("base_score"),
         (F.col("score") + extra).alias("score"),
     )

@@ -1,9 +1,9 @@
 import math
-import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from auditlake.llm import scoring
 from helpers import SPACED, lower
@@ -108,7 +108,47 @@ def test_rounds_raise_the_likelihood():
         last = now
         start, move, emit = scoring.expected_counts(model, ids, offsets)
         model = scoring.Model(start / start.sum(), move / move.sum(1, keepdims=True), (emit + 1e-9) / (emit + 1e-9).sum(0))
-    assert re.match("-", str(now)) and len(unigram) == 6
+
+
+def test_scores_equal_a_plain_forward_recursion(documents, monkeypatch):
+    """Every score, held out or not, from the text, the word counts and the trained model, state by state."""
+    held = {}
+    train = scoring.train
+    monkeypatch.setattr(scoring, "train", lambda encoded, unigram: held.setdefault("model", train(encoded, unigram)))
+    gather = scoring.gather
+    monkeypatch.setattr(scoring, "gather", lambda counts: held.setdefault("known", gather(counts)))
+    docs = documents.filter("doc_id < 60")
+    rows = {r.doc_id: r for r in scoring.score(docs).collect()}
+    model, known = held["model"], held["known"]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    counts = Counter(w for d, t in texts.items() if not rows[d].held_out for w in [*SPACED.findall(lower(t)), None])
+    rare = [w for w, n in counts.items() if n < scoring.LEAST_NAMED]
+    class_of = lambda w: int(scoring.token_hashes(pa.array([w]))[1][0])
+    total, distinct = Counter(), Counter()
+    for w in rare:
+        total[class_of(w)] += counts[w]
+        distinct[class_of(w)] += 1
+    for d, t in texts.items():
+        alpha, log = None, 0.0
+        for w in [*SPACED.findall(lower(t)), None]:
+            hashes, classes, _ = scoring.token_hashes(pa.array(["" if w is None else w]))
+            place = int(known.encode(hashes[:1], classes[:1])[0][0])
+            chance = [float(x) for x in model.emit[place]]
+            if counts[w] < scoring.LEAST_NAMED:
+                c = class_of(w)
+                assert place == known.words + c
+                chance = [x * (counts[w] + 0.1) / (total[c] + 0.1 * (distinct[c] + 1)) for x in chance]
+            before = model.start if alpha is None else [sum(a * model.move[i][j] for i, a in enumerate(alpha)) for j in range(len(chance))]
+            alpha = [b * e for b, e in zip(before, chance, strict=True)]
+            log += math.log10(sum(alpha))
+            alpha = [a / sum(alpha) for a in alpha]
+        assert abs(rows[d].score - log) < 1e-6 * max(1, abs(log))
+
+
+def test_sums_of_groups_of_tasks_equal_one_task(documents, monkeypatch):
+    """A round over 200 partitions, whose sums meet in groups, against the same round in one process."""
+    monkeypatch.setattr(scoring, "TOLERANCE", 1.0)
+    rounds_of(documents.repartition(200), monkeypatch)
 
 
 def rounds_of(docs, monkeypatch):
