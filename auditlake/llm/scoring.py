@@ -66,32 +66,71 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, classes, own
 
 
-def _count(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
+class _Tally:
+    """Counts of distinct words: (hashes, classes, counts), sorted by hash."""
 
-    def merged():
-        keys, classes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        return distinct, classes[first], np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+    def __init__(self):
+        self.held, self.size, self.least = [], 0, 1 << 18
+
+    def add(self, hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((hashes, classes, counts))
+        self.size += len(hashes)
+        if self.size > self.least:
+            self.held = [self.merged()]
+            self.size = len(self.held[0][0])
+            self.least = max(1 << 18, 2 * self.size)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes, classes, counts = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        counts = np.add.reduceat(counts[order], first) if len(first) else counts
+        return hashes[first], classes[order[first]], counts
+
+
+def _count(batches: Iterator[pa.RecordBatch], bits: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Words of a partition in blocks by the leading bits of their hashes; blocks, not words, are shuffled."""
+    tally = _Tally()
+
+    def blocks():
+        hashes, classes, counts = tally.merged()
+        raw = np.rec.fromarrays([hashes, classes.astype(np.int32), counts], dtype=_COUNTED)
+        edges = np.searchsorted(hashes >> (64 - bits), np.arange(-(1 << bits - 1), (1 << bits - 1) + 1))
+        some = np.flatnonzero(np.diff(edges))
+        return pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int32()), "words": pa.array([raw[edges[k] : edges[k + 1]].tobytes() for k in some.tolist()], pa.binary())})
 
     for batch in text_chunks(batches, limit=1 << 20):
         hashes, classes, _ = token_hashes(batch.column("text"))
         distinct, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-        held.append((distinct, classes[first], counts))
-        size += len(distinct)
-        if size > 2 * most:
-            held = [merged()]
-            size = len(held[0][0])
-            if size > most:
-                yield _rows(held[0])
-                held, size = [], 0
-    if held:
-        yield _rows(merged())
+        tally.add(distinct, classes[first], counts)
+        if tally.size > most and len(tally.held) == 1:
+            yield blocks()
+            tally = _Tally()
+    if tally.held:
+        yield blocks()
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block: the totals of each block's words."""
+    name, tally = None, _Tally()
+
+    def rows():
+        hashes, classes, counts = tally.merged()
+        return pa.RecordBatch.from_pydict({"h": pa.array(hashes), "s": pa.array(classes, pa.int32()), "c": pa.array(counts)})
+
+    for batch in batches:
+        for block, words in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
+            if block != name and tally.held:
+                yield rows()
+                tally = _Tally()
+            name, found = block, np.frombuffer(words.as_buffer(), _COUNTED)
+            tally.add(found["h"], found["s"], found["c"])
+    if tally.held:
+        yield rows()
 
 
-def _rows(found) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"h": pa.array(found[0]), "s": pa.array(found[1], pa.int32()), "c": pa.array(found[2])})
+_COUNTED = np.dtype([("h", "<i8"), ("s", "<i4"), ("c", "<i8")])
 
 
 class Counts:
@@ -327,44 +366,25 @@ def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-class _Sums:
-    """Expected emissions of the words that a partition holds, and no others."""
-
-    def __init__(self, states: int):
-        self.held, self.size, self.states = [], 0, states
-
-    def add(self, words: np.ndarray, sums: np.ndarray) -> None:
-        self.held.append((words, sums))
-        self.size += len(words)
-        if len(self.held) > 1 and self.size > 2 * len(self.held[0][0]) + (1 << 17):
-            self.held = [self.merged()]
-            self.size = len(self.held[0][0])
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.held:
-            return np.zeros(0, np.int64), np.zeros((0, self.states))
-        words, place = np.unique(np.concatenate([h[0] for h in self.held]), return_inverse=True)
-        sums = np.concatenate([h[1] for h in self.held])
-        return words, _emitted(np.ascontiguousarray(sums.T), place, len(words))
-
-
 def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     start, moves, reached = np.zeros(len(model.start)), np.zeros_like(model.move), 0.0
-    emitted, numbers, room = _Sums(len(model.start)), _Numbers(len(model.emit)), Room(len(model.start))
+    emitted, touched = np.zeros(model.emit.shape, np.float32), np.zeros(len(model.emit), bool)
+    numbers, room = _Numbers(len(model.emit)), Room(len(model.start))
     for table in _gathered(batches, EXPECT_BYTES):
         ids, offsets = _read_ids(table["ids"].chunk(0))
         own, number = numbers.of(ids)
         one, two, three, four = expectations(Model(model.start, model.move, model.emit[own]), number, _cut(offsets, CUT), room)
         start, moves, reached = start + one, moves + two, reached + four
-        emitted.add(own, three)
+        emitted[own] += three
+        touched[own] = True
     # block 0 holds the small sums; a block of words only those that occur here
-    at, sums = emitted.merged()
-    edges = np.searchsorted(at, np.arange(0, len(model.emit) + _BLOCK, _BLOCK))
+    at = np.flatnonzero(touched)
+    edges = np.searchsorted(at, np.arange(0, len(emitted) + _BLOCK, _BLOCK))
     blocks = [(0, b"", np.concatenate([start, moves.ravel(), [reached]]).astype("<f8").tobytes())]
     for k in np.flatnonzero(np.diff(edges)).tolist():
-        own = slice(edges[k], edges[k + 1])
-        blocks.append((k + 1, (at[own] - k * _BLOCK).astype("<u2").tobytes(), sums[own].astype("<f4").tobytes()))
+        own = at[edges[k] : edges[k + 1]]
+        blocks.append((k + 1, (own - k * _BLOCK).astype("<u2").tobytes(), emitted[own].astype("<f4", copy=False).tobytes()))
         if len(blocks) == 256:
             yield _block_rows(blocks)
             blocks = []
@@ -460,9 +480,15 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, s, c): every distinct token of docs, its class and its count."""
-    tune(docs.sparkSession)
-    found = docs.select("text").mapInArrow(_count, "h long, s int, c long")
-    return materialise(found.groupBy("h").agg(F.min("s").alias("s"), F.sum("c").alias("c")), "counts")
+    spark = tune(docs.sparkSession)
+    parts = table_partitions(spark)
+    bits = (4 * parts).bit_length()  # several blocks a task; a block's words, not its rows, are held
+
+    def count(batches):
+        return _count(batches, bits)
+
+    found = docs.select("text").mapInArrow(count, "block int, words binary").repartition(parts, "block").sortWithinPartitions("block")
+    return materialise(found.mapInArrow(_total, "h long, s int, c long"), "counts")
 
 
 def gather(counts: DataFrame, named: int = LEAST_NAMED, lookup: int = LOOKUP) -> Counts:
