@@ -2,7 +2,9 @@
 
 Texts of Latin script are cut by a vectorised form of the tokenizer's own split pattern; each
 distinct piece goes through the tokenizers library once per worker and its ids are looked up
-afterwards. Any other text goes through the library as a whole. Both ways give the same ids.
+afterwards. Pieces are found by a hash and then compared letter by letter. Any other text, and one
+that holds an added token such as `<|endoftext|>`, goes through the library as a whole. Both ways
+give the ids that the library gives with its defaults and add_special_tokens=False.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ class PieceTokenizer:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path if "/" in path else public_tokenizers.path(path))
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = self.library.model.end_of_word_suffix is not None  # lower case, white space dropped
         self.clear()
 
@@ -54,54 +56,69 @@ class PieceTokenizer:
         self.sizes = np.zeros(1 << 12, np.int32)
         self.arena = np.zeros(1 << 14, np.uint32)
         self.used = 0
+        self.letter_starts = np.zeros(1 << 12, np.int64)  # the known pieces themselves
+        self.letter_sizes = np.zeros(1 << 12, np.int32)
+        self.letters = np.zeros(1 << 14, np.uint16)
+        self.letters_used = 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text)."""
-        if self.words:
-            texts = [t.lower() if t.isascii() or _max(t) < LIMIT else t for t in texts]
-        sizes = np.array([len(t) for t in texts], np.int64)
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        bounds = prefix(sizes)
-        odd = np.zeros(len(texts), bool)
-        if len(points) and points.max() >= LIMIT:
-            odd = np.diff(prefix((points >= LIMIT).astype(np.int64))[bounds]) > 0
-        if not odd.any():
-            return self._pieces("".join(texts), points, bounds)
-        ids, offsets = [None] * len(texts), np.zeros(len(texts) + 1, np.int64)
+        odd = np.array([_max(t) >= LIMIT or any(a in t for a in self.added) for t in texts], bool)
         plain = np.flatnonzero(~odd)
-        if len(plain):
-            some = [texts[i] for i in plain]
-            joined = "".join(some)
-            flat, own = self._pieces(joined, np.frombuffer(joined.encode("utf-32-le"), np.uint32), prefix(sizes[plain]))
+        some = [texts[i].lower() if self.words else texts[i] for i in plain]
+        found = self._pieces("".join(some), prefix(np.array([len(t) for t in some], np.int64)))
+        if found is None:  # two pieces share a hash
+            odd[:] = True
+        elif not odd.any():
+            return found
+        ids, offsets = [None] * len(texts), np.zeros(len(texts) + 1, np.int64)
+        if found is not None:
             for k, i in enumerate(plain):
-                ids[i] = flat[own[k] : own[k + 1]]
+                ids[i] = found[0][found[1][k] : found[1][k + 1]]
         rest = np.flatnonzero(odd)
         for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             ids[i] = np.array(e.ids, np.uint32)
         offsets[1:] = np.cumsum([len(x) for x in ids])
         return np.concatenate(ids) if len(ids) else np.zeros(0, np.uint32), offsets
 
-    def _pieces(self, text: str, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, text: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, offsets) by known pieces, or None if a hash stands for two of them."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(points)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         starts, ends = self._split(points, bounds)
+        lengths = ends - starts
         up, down = powers(n + 1)
         sums = prefix((points.astype(np.uint64) + np.uint64(1)) * up[:-1])
-        keys = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        keys = mix((sums[ends] - sums[starts]) * down[starts] + lengths.astype(np.uint64))
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        shift = starts[first[inverse]] - starts
+        own = ragged(starts, lengths) if self.words else np.arange(n)  # there the pieces leave no letter out
+        if (lengths != lengths[first[inverse]]).any() or (points[own] != points[own + np.repeat(shift, lengths)]).any():
+            return None
         if len(self.keys) > self.MOST:
             self.clear()
         at, known = self._find(distinct)
+        old = np.flatnonzero(known)
+        if not self._same(at[old], points, starts[first[old]], lengths[first[old]]):
+            return None
         lost = np.flatnonzero(~known)
         if len(lost):
-            self._learn(distinct[lost], [text[s:e] for s, e in zip(starts[first[lost]].tolist(), ends[first[lost]].tolist(), strict=True)])
+            begin, size = starts[first[lost]], lengths[first[lost]]
+            self._learn(distinct[lost], [text[s : s + m] for s, m in zip(begin.tolist(), size.tolist(), strict=True)], points[ragged(begin, size)], size)
             at, _ = self._find(distinct)
         which = at[inverse]
         sizes = self.sizes[which].astype(np.int64)
         out = self.arena[ragged(self.starts[which], sizes)]
         return out, prefix(sizes)[np.searchsorted(starts, bounds)]
 
+    def _same(self, at: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bool:
+        """Whether the known pieces at `at` are the ones that stand at starts."""
+        if (self.letter_sizes[at] != lengths).any():
+            return False
+        return bool((self.letters[ragged(self.letter_starts[at], lengths)] == points[ragged(starts, lengths)]).all())
+
     def _find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of sorted hashes, whether they are known)."""
         if not len(self.keys):
@@ -109,11 +126,17 @@ class PieceTokenizer:
         at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
         return self.places[at].astype(np.int64), self.keys[at] == distinct
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[str], letters: np.ndarray, lengths: np.ndarray) -> None:
         have, need = len(self.keys), len(self.keys) + len(keys)
         if need > len(self.starts):
-            self.starts = np.resize(self.starts, need + need // 2)
-            self.sizes = np.resize(self.sizes, need + need // 2)
+            for name in ("starts", "sizes", "letter_starts", "letter_sizes"):
+                setattr(self, name, np.resize(getattr(self, name), need + need // 2))
+        if self.letters_used + len(letters) > len(self.letters):
+            self.letters = np.resize(self.letters, (self.letters_used + len(letters)) * 3 // 2)
+        self.letters[self.letters_used : self.letters_used + len(letters)] = letters
+        self.letter_starts[have:need] = self.letters_used + prefix(lengths)[:-1]
+        self.letter_sizes[have:need] = lengths
+        self.letters_used += len(letters)
         done = have
         for begin in range(0, len(pieces), self.STEP):
             encoded = [e.ids for e in self.library.encode_batch_fast(pieces[begin : begin + self.STEP], add_special_tokens=False)]
@@ -176,4 +199,4 @@ class PieceTokenizer:
 
 
 def _max(text: str) -> int:
-    return max(map(ord, text), default=0)
+    return 0 if text.isascii() else ord(max(text))

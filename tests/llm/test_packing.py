@@ -1,4 +1,5 @@
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -11,10 +12,9 @@ from auditlake.llm.tokenizing import PieceTokenizer
 from helpers import crc_ids
 
 
+@cache
 def library(name):
-    out = Tokenizer.from_file(public_tokenizers.path(name))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def check(rows, texts, capacity=2048):
@@ -89,14 +89,35 @@ def test_cut_puts_the_remainder_first():
 _ALPHABET = " \n\t'sstmdreveLl 12é!ñ. %ÉAa'' \r中¿́"
 
 
-@given(st.lists(st.text(_ALPHABET, max_size=40), max_size=20))
+_PARTS = st.one_of(st.text(_ALPHABET, max_size=40), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "|>"]))
+
+
+@given(st.lists(st.lists(_PARTS, max_size=4).map("".join), max_size=20))
 @settings(max_examples=150, deadline=None)
 def test_pieces_equal_the_library(texts):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         own = _CODERS.setdefault(name, PieceTokenizer(name))
         ids, offsets = own.encode(texts)
-        plain = [e.ids for e in own.library.encode_batch(texts, add_special_tokens=False)]
+        plain = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == plain
 
 
 _CODERS: dict = {}
+
+
+def test_added_tokens_are_the_librarys(spark):
+    texts = ["a<|endoftext|>b", "a <|endoftext|> b", "<|startoftext|> x", "plain text"]
+    check(pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), enumerate(texts))
+    assert PieceTokenizer("byte_bpe_50k.json").encode(texts[:1])[0].tolist() == [64, 50256, 65]
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    """Hashes of two values only: every piece is compared with the known one, and the library decides."""
+    from auditlake.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "mix", lambda x: x & np.uint64(1))
+    own = PieceTokenizer("byte_bpe_50k.json")
+    texts = ["some words that share a hash", "a b c d e f", "other words"]
+    for _ in range(2):
+        ids, offsets = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
