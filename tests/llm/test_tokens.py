@@ -1,10 +1,13 @@
+from functools import cache
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from auditlake.llm.common import fresh_path
 from auditlake.llm.token_binary import TokenFile, encode_file, read_documents, write
-from auditlake.llm.token_counts import allocate, token_counts
+from auditlake.llm.token_counts import allocate, field_counts, token_counts
 from helpers import crc_ids
 from test_packing import library
 
@@ -58,20 +61,85 @@ def test_counts_add_up(edge_docs, no_docs):
     assert token_counts(no_docs).collect() == []
 
 
-def test_lines_by_offsets(documents):
-    """Each line's count against the library's own offsets."""
+def allotted(coder, text, spans, rule):
+    """Token counts by section from the library's own offsets and byte lengths; spans: sorted, apart, in characters."""
+    counts, crossing = [0] * len(spans), [0] * len(spans)
+    lost = 0
+    size = [0]
+    for c in text:
+        size.append(size[-1] + len(c.encode()))
+    ids = coder.encode(text, add_special_tokens=False).ids
+    at = 0
+    lengths = sizes_of(coder)
+    for i in ids:
+        begin, at = at, at + lengths[i]
+        held = [max(0, min(at, size[e]) - max(begin, size[s])) for s, e in spans]
+        outside = at - begin - sum(held)
+        if rule == "largest":
+            k = held.index(max(held)) if held and max(held) and max(held) >= outside else -1
+        else:
+            k = next((k for k, (s, e) in enumerate(spans) if size[s] <= begin < size[e]), -1)
+        if k < 0:
+            lost += 1
+            continue
+        counts[k] += 1
+        crossing[k] += sum(h > 0 for h in held) > 1 or outside > 0
+    return counts, crossing, lost
+
+
+@cache
+def sizes_of(coder):
+    """Bytes of each id: one character of a byte-level token stands for one byte."""
+    return {i: len(t) for t, i in coder.get_vocab().items()}
+
+
+def lines(text):
+    bounds, at = [], 0
+    for line in text.split("\n"):
+        bounds.append((at, min(at + len(line) + 1, len(text))))
+        at = bounds[-1][1]
+    return [b for b in bounds if b[0] < b[1]]
+
+
+@pytest.mark.parametrize("rule", ["first", "largest"])
+def test_lines(documents, edge_docs, rule):
+    """Each line's tokens of the whole text, by brute force; the query's own rule is `largest`."""
+    coder = library("byte_bpe_50k.json")
+    for docs in (documents.filter("doc_id < 30"), edge_docs.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+        rows = {(r.doc_id, r.section): r for r in token_counts(docs, rule=rule).collect()}
+        for d in docs.collect():
+            text = d.text or ""
+            spans = lines(text)
+            counts, crossing, lost = allotted(coder, text[:20_000], spans, rule) if len(text) <= 20_000 else (None, None, None)
+            if counts is None:
+                continue
+            assert not lost and len([k for k in rows if k[0] == d.doc_id]) == max(len(spans), 1)
+            for k, (a, b) in enumerate(spans):
+                r = rows[d.doc_id, k]
+                assert (r.n_tokens, r.n_crossing, r.start_char, r.n_chars) == (counts[k], crossing[k], a, b - a)
+
+
+def test_spans_that_overlap_or_leave_the_text(spark):
+    kind = "doc_id long, text string, spans array<struct<start:long,end:long>>"
+    text = "é hello world of words"
+    given_spans = [[(5, 60), (-4, 7), (None, 3), None, (30, 40), (9, 9)], None, [], [(0, 400)]]
+    rows = [(i, text, s) for i, s in enumerate(given_spans)] + [(9, None, [(0, 5)])]
     coder = library("byte_bpe_50k.json")
-    some = documents.filter("doc_id < 40")
-    rows = {(r.doc_id, r.section): r for r in token_counts(some, rule="first").collect()}
-    for d in some.collect():
-        bounds, at = [], 0
-        for line in d.text.splitlines(keepends=True) if "\r" not in d.text else []:
-            bounds.append((at, at + len(line)))
-            at += len(line)
-        offsets = coder.encode(d.text, add_special_tokens=False).offsets
-        for k, (a, b) in enumerate(bounds):
-            assert rows[d.doc_id, k].n_tokens == sum(a <= s < b for s, _ in offsets)
-            assert (rows[d.doc_id, k].start_char, rows[d.doc_id, k].n_chars) == (a, b - a)
+    for rule in ("largest", "first"):
+        found = {(r.doc_id, r.section): (r.n_tokens, r.n_crossing) for r in token_counts(spark.createDataFrame(rows, kind).coalesce(1), rule=rule, spans="spans").collect()}
+        counts, crossing, lost = allotted(coder, text, [(0, 7), (7, len(text))], rule)
+        assert lost == 0
+        assert {k: v for (d, k), v in found.items() if d == 0} == {1: (counts[0], crossing[0]), 0: (counts[1], crossing[1]), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+        n = len(coder.encode(text, add_special_tokens=False).ids)
+        assert found[1, -1] == found[2, -1] == (n, 0) and found[3, 0] == (n, 0) and found[9, 0] == (0, 0)
+
+
+def test_fields(spark):
+    docs = spark.createDataFrame([(1, "A title", None, "some body text"), (2, None, None, None)], "doc_id long, title string, note string, body string")
+    found = {(r.doc_id, r.field): r.n_tokens for r in field_counts(docs, ["title", "note", "body"]).collect()}
+    counts, _, lost = allotted(library("byte_bpe_50k.json"), "A title\n\nsome body text", [(0, 7), (8, 8), (9, 23)], "largest")
+    assert (found[1, "title"], found[1, "note"], found[1, "body"], found.get((1, None), 0)) == (*counts, lost)
+    assert found[2, "title"] == 0
 
 
 @given(st.lists(st.integers(1, 5), min_size=1, max_size=30), st.lists(st.integers(1, 9), min_size=1, max_size=12), st.sampled_from(["largest", "first"]))
