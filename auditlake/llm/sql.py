@@ -8,17 +8,23 @@ _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS ws FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS ws FROM benchmark),
-items AS (SELECT item, ws, least(13, len(ws)) AS size FROM b WHERE len(ws) > 0),
-wanted AS (SELECT DISTINCT item, size, array_to_string(ws[i:i + size - 1], ' ') AS g FROM items, unnest(range(1, len(ws) - size + 2)) t(i)),
+b AS (SELECT row_number() OVER () AS bid, coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS ws FROM benchmark),
+items AS (SELECT bid, item, ws, least(13, len(ws)) AS size FROM b WHERE len(ws) > 0),
+wanted AS (SELECT bid, item, size, i AS j, array_to_string(ws[i:i + size - 1], ' ') AS g FROM items, unnest(range(1, len(ws) - size + 2)) t(i)),
 sizes AS (SELECT DISTINCT size FROM wanted),
 seen AS (SELECT rid, i, size, array_to_string(ws[i:i + size - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(ws) - size + 2)) t(i)),
-found AS (SELECT DISTINCT s.rid, s.i, s.size, w.item FROM seen s JOIN wanted w ON w.size = s.size AND w.g = s.g),
+met AS (SELECT s.rid, s.i, s.size, w.bid, w.item, w.j FROM seen s JOIN wanted w ON w.size = s.size AND w.g = s.g),
+found AS (SELECT DISTINCT rid, i, size, item FROM met),
 hits AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, size)) t(k) GROUP BY rid),
-named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid),
+-- windows that follow one another in a document and in an item are one match
+joined AS (SELECT *, i - row_number() OVER (PARTITION BY rid, bid, i - j ORDER BY i) AS island FROM met WHERE size = 13),
+matches AS (SELECT rid, min(i) AS i, count(*) + 12 AS words, any_value(item) AS item, min(j) AS j FROM joined GROUP BY rid, bid, i - j, island
+  UNION ALL SELECT rid, i, size, item, j FROM met WHERE size < 13),
+best AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY rid ORDER BY words DESC, i, item, j) = 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)"""
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(words, 0)::BIGINT AS longest_match, (i - 1)::BIGINT AS longest_at, best.item AS longest_item, (j - 1)::BIGINT AS longest_item_at
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid) LEFT JOIN best USING (rid)"""
 
 QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),

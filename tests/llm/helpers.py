@@ -56,6 +56,23 @@ def contamination(text, items, window=13):
     return len(words), len(hit), sorted(found)
 
 
+def longest_match(text, items, window=13):
+    """(words, word of the document, item, word of the item) of the longest match that begins with a window."""
+    words, best = ALNUM.findall(lower(text)), None
+    for item, content in items:
+        own = ALNUM.findall(lower(content))
+        size = min(window, len(own))
+        for i in range(len(words)):
+            for j in range(len(own) - size + 1) if own else ():
+                if words[i : i + size] == own[j : j + size]:
+                    n = size
+                    while n >= window and i + n < len(words) and j + n < len(own) and words[i + n] == own[j + n]:
+                        n += 1
+                    key = (-n, i, str(item), j)
+                    best = min(best, key) if best else key
+    return (-best[0], *best[1:]) if best else (0, None, None, None)
+
+
 def quality_base(text):
     text = text or ""
     words = SPACED.findall(text)
@@ -79,6 +96,24 @@ def quality_base(text):
     }
 
 
+def quality_verdict(text):
+    """Whether a text passes the base and every rule of the cascade."""
+    text, base = text or "", quality_base(text)
+    words = SPACED.findall(text)
+    n, lines = len(words), sum(bool(SPACED.search(x)) for x in text.split("\n"))
+    upper, letters = len(re.findall("[A-Z]", text)), len(re.findall("[A-Za-z]", text))
+    spelled, loud = sum(bool(re.search("[A-Za-z\x80-\U0010ffff]", w)) for w in words), sum(w.endswith("!") for w in words)
+    return not (
+        base["base_failed"]
+        or 10 * base["n_symbols"] > 3 * n
+        or not 2 * n <= base["word_chars"] <= 14 * n
+        or 10 * base["n_dup_lines"] > 3 * lines
+        or 10 * upper > 3 * letters
+        or 10 * spelled < 7 * n
+        or 10 * loud > 3 * n
+    )
+
+
 def crc_ids(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
 

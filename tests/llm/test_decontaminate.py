@@ -8,15 +8,17 @@ from auditlake.llm import decontaminate
 from auditlake.llm.decontaminate import SuffixArray, contamination, longest_matches
 from helpers import ALNUM, lower
 from helpers import contamination as plain
+from helpers import longest_match
 
 
 def check(spark, docs, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination(docs, bench).collect())
+    own = lambda r: (r.longest_match, r.longest_at, r.longest_item, r.longest_item_at)
+    found = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, str(own(r))) for r in contamination(docs, bench).collect())
     wanted = []
     for r in docs.collect():
         n, hit, own = plain(r.text, items)
-        wanted.append((r.doc_id is not None, r.doc_id or 0, n, hit, len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
+        wanted.append((r.doc_id is not None, r.doc_id or 0, n, hit, len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), hit > 0 and 20 * hit >= n, str(longest_match(r.text, items) if hit else (0, None, None, None))))
     assert found == sorted(wanted)
 
 
@@ -40,6 +42,19 @@ def test_blocks_of_the_benchmark(spark, edge_docs, monkeypatch):
     check(spark, edge_docs, ITEMS)
 
 
+def test_many_blocks(spark, edge_docs):
+    """40 items in 40 blocks: indexes of two of them at most live in a task."""
+    words = "The quick brown fox jumps over the lazy dog near the old river bank while seven small birds sing".split()
+    items = [(i, " ".join(words[i % 3 : 4 + i % 3])) for i in range(38)] + [(38, " ".join(words)), (39, " ".join(words[2:]))]
+    some = edge_docs.filter("doc_id between 5 and 8").coalesce(1)
+    default = decontaminate.read_blocks.__defaults__
+    decontaminate.read_blocks.__defaults__ = (1,)
+    try:
+        check(spark, some, items)
+    finally:
+        decontaminate.read_blocks.__defaults__ = default
+
+
 def test_all_columns_stay(spark, edge_docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = decontaminate.decontaminate(edge_docs, bench)
