@@ -6,13 +6,16 @@ a text's exact code length under each language is a sum of table entries; the sh
 names the language. All trees share one node table: a node is a context, and holds, for every
 language and next symbol, the code length with all escapes already resolved.
 
-Training takes whole labelled texts, about SAMPLE_BYTES of them per language, drawn by a hash
-of doc_id; the bound is a parameter. Prediction reads the text alone.
+Training takes whole labelled texts, about SAMPLE_BYTES of them per language (of all languages
+together at most ALL_BYTES), drawn by a hash of language and text: repeated texts count once, and
+each language has at least the text with its smallest hash, however long its texts are. The bounds
+are parameters. Contexts of the highest order seen fewer than LEAST_CONTEXT times are not kept.
+Prediction reads the text alone.
 
 Text form: lower case; ASCII bytes that are not letters become a space, runs of spaces one.
 
 Defined results: a null text, or one without a letter, gets `und` and score 0; a null lang is
-not learned from; a null doc_id counts as the empty string in the fold; repeated rows get the
+not learned from; a null doc_id counts as the empty string in the fold, and such rows are drawn by their texts like any others; repeated rows get the
 same result; without any labelled row every text is `und`; extra columns are ignored.
 """
 
@@ -23,17 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_chunks, tune
+from .common import materialise, text_chunks, tune
 from .textops import buffers, by_row, prefix, ragged
 
 ORDER = 3
 SAMPLE_BYTES = 1 << 20
 #: Contexts of the highest order seen fewer times than this in all languages are left out.
 LEAST_CONTEXT = 3
-MOST_LANGUAGES = 10_000
+#: Bytes of texts, and of the code table, that the driver may hold.
+ALL_BYTES = 128 << 20
+TABLE_BYTES = 1 << 30
 #: A text with a longer code than this, in bits a byte, is in no learned language.
 MOST_BITS = 6.0
 
@@ -85,6 +90,8 @@ class ContextTrees:
             total = np.bincount(inverse, weights, len(distinct))
             contexts.append(distinct[total >= LEAST_CONTEXT] if order == ORDER else distinct)
         bases = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
+        if 8 * int(bases[-1]) * n_languages * size > TABLE_BYTES:
+            raise ValueError(f"the code table of {n_languages} languages and {size} symbols is over TABLE_BYTES: train with fewer sample_bytes")
         chance = np.full((bases[-1], n_languages, size), 1.0 / size, np.float64)
         for order in range(ORDER + 1):
             at = slice(bases[order], bases[order + 1])
@@ -157,16 +164,32 @@ def fold(doc_id, folds: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def draw(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, all_bytes: int = ALL_BYTES) -> DataFrame:
+    """(lang, text): the distinct labelled texts that are learned from, as a table.
+
+    A text is drawn if its hash is among the first sample_bytes / bytes of its language; of the drawn ones, those
+    in the order of their hashes stay that begin within sample_bytes.
+    """
+    known = docs.filter("lang is not null and text is not null").select("lang", "text", F.shiftrightunsigned(F.xxhash64("lang", "text"), 1).alias("h"))
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min("h").alias("least"))
+    sizes = materialise(sizes, "languages")
+    languages = sizes.count()
+    each = min(sample_bytes, all_bytes // max(languages, 1))
+    share = sizes.select("lang", F.greatest(F.lit(2.0) * each / F.greatest("n", F.lit(1)) * float(1 << 63), F.col("least").cast("double")).alias("most"))
+    share = F.broadcast(share) if languages <= 10_000 else share
+    # twice the share, since what repeats counts once; copies of a drawn text meet by their hash, before the shuffle too
+    drawn = known.join(share, "lang").filter(F.col("h").cast("double") <= F.col("most"))
+    drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    drawn = materialise(drawn, "drawn")
+    order = Window.partitionBy("lang").orderBy("h")
+    begins = drawn.select("lang", "h", F.octet_length("text").alias("size")).withColumn("begin", F.sum("size").over(order) - F.col("size"))
+    return drawn.join(begins.filter(F.col("begin") < each).select("lang", "h"), ["lang", "h"]).select("lang", "text")
+
+
 def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> ContextTrees:
-    """Trees from about sample_bytes of whole texts per language of docs (doc_id, text, lang)."""
-    known = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"))
-    shares = sizes.select("lang", (F.lit(sample_bytes) / F.greatest("n", F.lit(1)) * 2**32).cast("long").alias("share"))
-    # one row a language: broadcast once their number is known to be small
-    shares = F.broadcast(shares) if shares.count() <= MOST_LANGUAGES else shares
-    draw = known.join(shares, "lang").filter(F.crc32(F.concat_ws(":", F.lit("ppm"), "doc_id").cast("binary")) < F.col("share"))
+    """Trees from about sample_bytes of whole texts per language of docs (text, lang)."""
     texts: dict[str, list[str]] = {}
-    for row in draw.select("lang", "text").toLocalIterator():
+    for row in draw(docs, sample_bytes).collect():
         texts.setdefault(row.lang, []).append(row.text)
     return ContextTrees({k: sorted(v) for k, v in texts.items()})
 

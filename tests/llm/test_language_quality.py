@@ -30,6 +30,44 @@ def test_language_edges(edge_docs, no_docs, documents):
     assert {r._lg_pred for r in language.predict(edge_docs, untaught, ["doc_id"]).collect()} == {"und"}
 
 
+def test_every_language_is_taught(spark, documents):
+    """A language of one very long text, null ids, 10,000 copies of a text and 200 partitions."""
+    long = "zwölf boxkämpfer jagen viktor quer über den großen sylter deich " * 40_000
+    rows = [(None, long, "de")] + [(None, "the same words again and again", "en")] * 10_000 + [(i, f"words of a text with a number {i} in it", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(200)
+    drawn = [(r.lang, r.text) for r in language.draw(docs, 2_000).collect()]
+    assert ("de", long) in drawn and len(set(drawn)) == len(drawn)
+    english = sum(len(t) for k, t in drawn if k == "en")
+    assert 0 < english <= 2_000 + 50
+    assert language.train(docs, 2_000).languages == ["de", "en"]
+    assert {r.lang for r in language.draw(documents, 1).collect()} == {r.lang for r in documents.filter("lang is not null").select("lang").distinct().collect()}
+
+
+def plain_code_bits(trees, text):
+    """Bits of a text under each language, by the code table symbol by symbol and context by context."""
+    data = bytes(language.folded(pa.array([text.lower()]))[0])
+    out = np.zeros(len(trees.languages))
+    for i in range(language.ORDER, len(data)):
+        context = 0
+        for k in range(i - language.ORDER, i):
+            context = context * trees.size + int(trees.symbol[data[k]])
+        out += trees.bits[int(trees.node[context]) * trees.size + int(trees.symbol[data[i]])]
+    return out, len(data) - language.ORDER
+
+
+def test_predictions_equal_a_plain_version(documents, edge_docs):
+    trees = language.train(documents)
+    for docs in (documents.filter("doc_id % 17 = 0"), edge_docs.filter("length(text) < 2000 or text is null")):
+        for r in language.predict(docs, trees, ["doc_id", "text"]).collect():
+            if not any(c.isalpha() for c in r.text or ""):
+                assert (r._lg_pred, r._lg_score) == ("und", 0.0)
+                continue
+            bits, size = plain_code_bits(trees, r.text)
+            assert r._lg_pred == trees.languages[int(bits.argmin())]
+            assert abs(r._lg_score - 1 / np.exp2(bits.min() - bits).sum()) < 1e-3
+            assert abs(r._lg_bits - bits.min() / max(size, 1)) < 1e-3
+
+
 def test_code_lengths_equal_the_definition():
     """Escape method C with exclusion, symbol by symbol."""
     text = "abracadabra abra"
