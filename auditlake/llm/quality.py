@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import text_chunks, tune
 from .textops import NON_SPACE, Words, buffers, by_row, covered, mix, rows_of, span_hashes, window_hashes
 
+#: Texts of the estimate, and bytes of one of them at most.
 SAMPLE_ROWS = 500
+SAMPLE_TEXT = 1 << 16
 REPEAT_WIDTH = 8
 
 _CONTINUES = np.zeros(256, bool)
@@ -209,9 +211,13 @@ def _judge(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], keep: lis
         yield pa.RecordBatch.from_pydict(out)
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
-    """At most `rows` texts for the estimate alone; no verdict depends on them. Reads only as far as it must."""
-    return [r.text for r in docs.select("text").filter("text is not null").take(rows)]
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_TEXT) -> list[str]:
+    """At most `rows` texts of at most `longest` bytes for the estimate alone; no verdict depends on them.
+
+    Every eighth row or so is taken, and partitions are read only until there are enough.
+    """
+    fit = docs.select("text").filter(F.octet_length("text") <= longest)
+    return [r.text for r in fit.filter(F.rand(7) < 0.125).take(rows)]
 
 
 def judge(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] | None = None, prefix: str = "_q_") -> DataFrame:
