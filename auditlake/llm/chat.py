@@ -48,9 +48,18 @@ class Template:
         return self.escape(role).replace("\n", "\\n")
 
     def pattern(self) -> re.Pattern:
-        named = {"role": "(?P<role>[^\n]*)", "text": "(?P<text>.*)"}
+        """A turn; the shortest match is the turn, since its closing marks hold a control string."""
+        named = {"role": "(?P<role>[^\n]*?)", "text": "(?P<text>.*?)"}
         return re.compile("".join(named.get(kind) or re.escape(value) for kind, value in self.pieces), re.DOTALL)
 
+    def closing(self) -> str:
+        """The marks after the last role or text, as one string."""
+        last = max(i for i, (kind, _) in enumerate(self.pieces) if kind != "mark")
+        marks = "".join(value for _, value in self.pieces[last + 1 :])
+        if not any(control in marks for control in self.controls):
+            raise ValueError("the marks that close a turn hold no control string")
+        return marks
+
 
 def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
@@ -114,36 +123,38 @@ def format_chats(rows: DataFrame, template: Template = DEFAULT) -> DataFrame:
 
 
 class _Reader:
-    """Running digests of one conversation, from its segments."""
+    """Running digests of one conversation, from its segments' text and loss flags alone.
+
+    Turns are found by the marks: no control string stands inside an escaped text or role, so a turn ends
+    where the template's closing marks do. At most one turn is held.
+    """
 
     def __init__(self, conv_id, template: Template):
         self.conv_id, self.template, self.pattern = conv_id, template, template.pattern()
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
-        self.valid, self.role, self.turn_no, self.held = True, "", None, []
+        self.valid, self.role, self.held = True, "", ""
+        self.closing = template.closing()
 
-    def add(self, turn_no, segment, loss, allowed, role):
-        if turn_no != self.turn_no:
-            self.close()
-            self.turn_no = turn_no
-        self.held.append(segment)
+    def add(self, segment: str, loss: bool) -> None:
+        self.held += segment
         self.chars += len(segment)
-        self.valid, self.role = self.valid and allowed, role
         if loss:
             text = unescape(segment)
             self.loss_chars += len(text)
             self.loss.update(text.encode("utf-8", "surrogatepass"))
-
-    def close(self):
-        if self.held:
-            found = self.pattern.fullmatch("".join(self.held))
-            turn = f"{unescape_role(found['role'])}\n{unescape(found['text'])}\n"
-            self.turns.update(turn.encode("utf-8", "surrogatepass"))
-            self.n_turns += 1
-            self.held = []
+        elif self.closing in segment:
+            while found := self.pattern.match(self.held):
+                role = unescape_role(found["role"])
+                turn = f"{role}\n{unescape(found['text'])}\n"
+                self.turns.update(turn.encode("utf-8", "surrogatepass"))
+                self.n_turns += 1
+                self.valid = self.valid and role in self.template.moves.get(self.role, ())
+                self.role, self.held = role, self.held[found.end() :]
 
     def row(self) -> tuple:
-        self.close()
+        if self.held:
+            raise ValueError(f"conversation {self.conv_id} does not end with a whole turn")
         valid = self.valid and self.role in self.template.ends
         return self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, valid
 
@@ -162,7 +173,7 @@ def _digest(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[p
 
     for batch in batches:
         done = []
-        columns = ("conv_id", "turn_no", "segment", "loss", "allowed", "last_role")
+        columns = ("conv_id", "segment", "loss")
         for conv_id, *rest in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
             if reader is None or reader.conv_id != conv_id:
                 if reader is not None:
@@ -177,7 +188,8 @@ def _digest(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[p
 def read_back(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """Per conversation, from its segments alone: turns, learned text and their digests."""
     spark = tune(segments.sparkSession)
-    ordered = segments.repartition(table_partitions(spark), "conv_id").sortWithinPartitions("conv_id", "place")
+    source = segments.select("conv_id", "place", "segment", "loss")
+    ordered = source.repartition(table_partitions(spark), "conv_id").sortWithinPartitions("conv_id", "place")
 
     def digest(batches):
         return _digest(batches, template)
