@@ -28,7 +28,8 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the setting is absent (tests, local mode) a local temporary folder is set.
+    Only where the setting is absent a local temporary folder is set, and only in local mode (as in
+    tests): executors on other machines would not see it.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="auditlake-"))
         folder = sc._jsc.sc().getCheckpointDir().get()
     return folder
@@ -140,42 +143,69 @@ def table_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Neighbours of a node at most that meet in one task; HUBS: nodes that may have more.
+HUB = 1024
+HUBS = 1 << 14
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as rows (a long, b long).
 
     Returns (node, root) for every node that has an edge; root is the component's smallest
     node. Alternating large-star and small-star steps (Kiveris et al., SoCC 2014) need a
     logarithmic number of rounds whatever the diameter. Each round is written to the shared
-    folder. Neighbour lists are never collected: both steps use a minimum per node and a join.
+    folder. Neighbour lists are never collected: both steps use a minimum per node and a join,
+    and a hub's rows stay where they are (see _with_least). Rounds end when every node has one
+    edge, to a node that has none.
     """
     current, path = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     spark = edges.sparkSession
-    before = None
+    n, before = current.count(), None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # large star: every larger neighbour is linked to the least of the neighbourhood
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = _with_least(both, least, 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large, large_path = stored(large.filter("a <> b").distinct(), "large")
         # small star: smaller neighbours and the node itself are linked to the least neighbour
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "a")
+            _with_least(large, low, large.count())
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .filter("a <> b")
             .distinct()
         )
         following, new_path = stored(small, "edges")
-        state = following.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        state = following.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("b", "a"))).first()
         remove(spark, path)
-        current, path = following, new_path
-        if tuple(state) == before:
+        remove(spark, large_path)
+        current, path, n = following, new_path, state[0]
+        if tuple(state) == before and _stars(current):
             break
         before = tuple(state)
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """rows (a, b; n of them) with m of their a, from least (a, m, n: rows of a).
+
+    Nodes with many rows are few, at most n / most of them by counting, and reach the rows by a broadcast; so
+    no key of the shuffled join has more than `most` rows.
+    """
+    most = max(HUB, -(-n // HUBS))
+    hubs = F.broadcast(least.filter(F.col("n") > most).select("a", F.col("m").alias("hub")))
+    found = rows.join(hubs, "a", "left")
+    rest = found.filter("hub is null").select("a", "b").join(least.filter(F.col("n") <= most).select("a", "m"), "a")
+    return found.filter("hub is not null").select("a", "b", F.col("hub").alias("m")).unionByName(rest)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every a has one edge, and no b has any."""
+    a = edges.groupBy("a").agg(F.count("*").alias("n"))
+    return a.filter("n > 1").isEmpty() and edges.select(F.col("b").alias("a")).distinct().join(a, "a", "left_semi").isEmpty()

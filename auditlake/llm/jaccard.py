@@ -51,6 +51,9 @@ RATIO = 1.5
 BLOCK_TOKENS = 1 << 20
 _SET = "cell long, cid long, n int, total long, content binary"
 FAN = 16
+#: Classes of a partition whose keys are remembered as given.
+SEEN = 1 << 18
+_NONE = np.zeros(0, np.int64)
 
 
 # --- shingle sets ---------------------------------------------------------------------------
@@ -79,10 +82,18 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(row, np.arange(len(column) + 1))
 
 
-def class_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set."""
-    sums = prefix(mix(values ^ np.uint64(0xA0761D6478BD642F)))[offsets]
-    return mix(np.diff(sums) + np.diff(offsets).astype(np.uint64)).view(np.int64)
+def class_ids(values: np.ndarray, offsets: np.ndarray, shared: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray]:
+    """(names, checks): a 64-bit name of each set, and a second one that tells sets of one name apart.
+
+    Sets whose name is in `shared` (sorted; names that different sets have) get one made of both.
+    """
+    sizes = np.diff(offsets).astype(np.uint64)
+    names = mix(np.diff(prefix(mix(values ^ np.uint64(0xA0761D6478BD642F)))[offsets]) + sizes).view(np.int64)
+    checks = mix(np.diff(prefix(mix(values ^ np.uint64(0x8EBC6AF09C88C6E3)))[offsets]) ^ sizes).view(np.int64)
+    if len(shared):
+        both = mix(names.view(np.uint64) * np.uint64(0x589965CC75374CC3) + checks.view(np.uint64)).view(np.int64)
+        names = np.where(np.isin(names, shared), both, names)
+    return names, checks
 
 
 # --- routing by parts -----------------------------------------------------------------------
@@ -151,16 +162,18 @@ def _level_keys(values, offsets, chosen, level, levels):
     return mix(total[used] + mix(salt + count[used].astype(np.uint64))), chosen[owner[used]]
 
 
-def _inform(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _inform(batches: Iterator[pa.RecordBatch], width: int, percent: int, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in text_chunks(batches):
         values, offsets = shingle_sets(batch.column("text"), width)
-        names, sizes = class_ids(values, offsets), np.diff(offsets)
+        (names, checks), sizes = class_ids(values, offsets, shared), np.diff(offsets)
         keys, key_offsets = part_keys(values, offsets, percent)
-        # a class gives its keys once a partition
+        # a class gives its keys once a partition, or again when more classes have been seen than are held
         first = np.zeros(len(names), bool)
         for i, name in enumerate(names.tolist()):
             if name not in seen and key_offsets[i + 1] > key_offsets[i]:
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(name)
                 first[i] = True
         counts = np.where(first, np.diff(key_offsets), 0)
@@ -171,6 +184,7 @@ def _inform(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
             "uid": batch.column("uid"),
             "n_shingles": pa.array(sizes, pa.int64()),
             "cid": pa.array(names, mask=sizes == 0),
+            "chk": pa.array(checks),
             "keys": lists,
         })
 
@@ -346,10 +360,10 @@ def unit_links(sides: np.ndarray, sizes: np.ndarray, maps: np.ndarray, percent:
     return links
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in text_chunks(batches):
         values, offsets = shingle_sets(batch.column("text"), width)
-        same = class_ids(values, offsets) == batch.column("cid").to_numpy()
+        same = class_ids(values, offsets, shared)[0] == batch.column("cid").to_numpy()
         raw = values.view(np.uint8).data
         sets = [raw[8 * a : 8 * b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         out = {c: batch.column(c) for c in ("cell", "cid", "n", "total")} | {"content": pa.array(sets, pa.binary())}
@@ -448,15 +462,24 @@ def _uid():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, uid, n_shingles, cid; links: a spanning forest of the links of classes)."""
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, shared: np.ndarray = _NONE) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, uid, n_shingles, cid; links: a spanning forest of the links of classes).
+
+    shared: names that different sets have. They are looked for among all classes; if there are any beyond the given
+    ones, the join begins anew with these sets named apart.
+    """
     spark = tune(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _uid().alias("uid"), "text")
 
     def inform(batches):
-        return _inform(batches, width, percent)
-
-    info, info_path = stored(source.mapInArrow(inform, "doc_id long, uid long, n_shingles long, cid long, keys array<long>"), "sets")
+        return _inform(batches, width, percent, shared)
+
+    info, info_path = stored(source.mapInArrow(inform, "doc_id long, uid long, n_shingles long, cid long, chk long, keys array<long>"), "sets")
+    named = info.filter("cid is not null").groupBy("cid").agg(F.min("chk").alias("low"), F.max("chk").alias("high"))
+    doubled = [r.cid for r in named.filter("low < high").select("cid").collect()]  # of 10^10 sets, about three names
+    if doubled:
+        remove(spark, info_path)
+        return classes(docs, width, percent, np.unique(np.concatenate([shared, np.array(doubled, np.int64)])))
     entries = info.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("n_shingles").cast("int").alias("n"), "cid")
 
     def chain(batches):
@@ -466,7 +489,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tupl
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     edges, edges_path = stored(ordered.mapInArrow(chain, "a long, b long").distinct(), "chains")
     tune(spark)
-    rows = materialise(info.drop("keys"), "rows")
+    rows = materialise(info.drop("keys", "chk"), "rows")
     remove(spark, info_path)  # the keys are the largest table of the join
     del info, entries, ordered
     release(spark)
@@ -480,7 +503,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tupl
     remove(spark, cells_path)
 
     def fetch(batches):
-        return _sets(batches, width)
+        return _sets(batches, width, shared)
 
     # only texts that may be chosen are shuffled
     asked = source.select("uid", "text").filter(maybe_in(chosen.select("uid"), "uid"))
@@ -510,9 +533,9 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tupl
     return rows, links
 
 
-def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, shared: np.ndarray = _NONE) -> DataFrame:
     """One row per document: doc_id, uid, n_shingles, component_id, n_class (rows of the set)."""
-    rows, links = classes(docs, width, percent)
+    rows, links = classes(docs, width, percent, shared)
     roots = connected_components(links).select(F.col("node").alias("cid"), "root")
     # the smallest doc_id names a component; null comes last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "uid"))
@@ -537,12 +560,16 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     p = free_prefix("_jc_", names)
     found = materialise(components(docs.select("doc_id", "text"), width, percent), "components")
     # the few rows that may have to go are looked at by a join; all others stay where they are
-    many = found.groupBy("uid").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"), F.min(F.col("uid") == F.col("component_uid")).alias("stays"))
-    suspects = materialise(many.filter("not stays or (n > 1 and size > 0)").select(F.col("uid").alias(f"{p}uid"), "stays"), "suspects")
+    same = (F.col("uid") == F.col("component_uid")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    many = found.groupBy("uid", "doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"), F.min(same).alias("stays"))
+    suspects = many.filter("not stays or (n > 1 and size > 0)").select(F.col("uid").alias(f"{p}uid"), F.col("doc_id").alias(f"{p}id"), F.col("stays").alias(f"{p}stays"))
+    suspects = materialise(suspects, "suspects")
     keyed = docs.withColumn(f"{p}uid", _uid()).withColumn(f"{p}maybe", maybe_in(suspects, f"{p}uid"))
-    asked = keyed.filter(f"{p}maybe").join(suspects.withColumnRenamed("stays", f"{p}stays").hint("shuffle_hash"), f"{p}uid", "left")
+    asked = keyed.filter(f"{p}maybe").withColumn(f"{p}key", F.col("doc_id").cast("long")).withColumnRenamed(f"{p}uid", f"{p}own")
+    on = (F.col(f"{p}own") == F.col(f"{p}uid")) & F.col(f"{p}key").eqNullSafe(F.col(f"{p}id"))
+    asked = asked.join(suspects.hint("shuffle_hash"), on, "left")
     innocent = asked.filter(F.col(f"{p}stays").isNull()).select(*names)
-    single = asked.filter(f"{p}stays").dropDuplicates([f"{p}uid"]).select(*names)
+    single = asked.filter(f"{p}stays").dropDuplicates([f"{p}own", "doc_id", "text"]).select(*names)
     return keyed.filter(~F.col(f"{p}maybe")).select(*names).unionByName(innocent).unionByName(single)
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from auditlake.llm import jaccard
@@ -109,3 +110,36 @@ def test_components_of_a_long_chain(spark):
     roots = {r.node: r.root for r in connected_components(edges).collect()}
     assert len(roots) == 303
     assert {roots[n] for n in range(301)} == {0} and roots[1001] == 1000
+
+
+def test_sets_that_share_a_name(documents, edge_docs):
+    """Sets whose names are said to be shared are named by both hashes, and the result is the same."""
+    for docs in (documents, edge_docs.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+        values, offsets = jaccard.shingle_sets(pa.array([r.text or "" for r in docs.collect()]), 4)
+        names, checks = jaccard.class_ids(values, offsets)
+        assert len(set(names.tolist())) == len(set(checks.tolist())) == len(set(zip(names.tolist(), checks.tolist(), strict=True)))
+        shared = np.unique(names)[::2]
+        again, _ = jaccard.class_ids(values, offsets, shared)
+        assert ((again == names) == ~np.isin(names, shared)).all()
+        rows = lambda found: sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
+        assert rows(components(docs, shared=shared)) == rows(components(docs))
+
+
+def test_a_hub_is_not_dealt_to_one_task(spark, monkeypatch):
+    from auditlake.llm import common
+
+    monkeypatch.setattr(common, "HUB", 3)
+    rng = random.Random(5)
+    edges = [(0, i) for i in range(1, 300)] + [(7, 1000 + i) for i in range(200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert found == {x: find(x) for a, b in edges if a != b for x in (a, b)}
