@@ -1,8 +1,11 @@
 """The pipeline's stages against plain versions, each on what the stage before has kept."""
 
+import numpy as np
+
 import corpus_pipeline
 from auditlake.llm import language
-from helpers import contamination, jaccard_components, quality_base
+from helpers import contamination, jaccard_components, quality_verdict
+from test_language_quality import plain_code_bits
 from test_packing import check
 
 
@@ -20,10 +23,16 @@ def test_stages(spark, sf_dir):
             kept = {r.doc_id for r in after}
             assert len(kept) == len(after) and kept <= set(before)
         if name == "language_id":
-            assert all(any(c.isalpha() for c in before[d]) for d in kept)
+            trees = language.train(held)
+            for d, t in before.items():
+                if len(t or "") > 5_000:
+                    continue
+                bits, size = plain_code_bits(trees, t or "")
+                good = any(c.isalpha() for c in t or "") and 1 / np.exp2(bits.min() - bits).sum() >= 0.5 and bits.min() / max(size, 1) <= language.MOST_BITS
+                assert (d in kept) == good
             assert len(kept) > 0.97 * len(before)
         elif name == "quality_rules":
-            assert not any(quality_base(before[d])["base_failed"] for d in kept)
+            assert kept == {d for d, t in before.items() if quality_verdict(t)}
         elif name == "near_duplicates":
             assert kept == {d for d, (_, c) in jaccard_components(before.items(), 5, 80).items() if d == c}
         elif name == "decontamination":
@@ -36,7 +45,6 @@ def test_stages(spark, sf_dir):
         else:
             check(after, before.items())
         held = out
-    assert language.MOST_BITS > 0
 
 
 def test_edges(spark, sf_dir, edge_docs, no_docs):
