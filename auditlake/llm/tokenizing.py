@@ -29,6 +29,7 @@ for _c in range(LIMIT):
     elif _kind[0] == "N":
         _CLASS[_c] = 2
 
+_BREAK = chr(0x10A)  # the line break in a byte-level vocabulary
 _CACHE: dict[str, PieceTokenizer] = {}
 
 
@@ -41,17 +42,24 @@ def load(path: str) -> PieceTokenizer:
 
 class PieceTokenizer:
     MOST = 1 << 19  # distinct pieces kept before the cache starts anew; about 40 bytes each
+    BITS = 21  # slots of the table, four times as many
     STEP = 1 << 13  # pieces encoded at once
+    JOINED = 512  # pieces that the library gets as one text
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path if "/" in path else public_tokenizers.path(path))
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = self.library.model.end_of_word_suffix is not None  # lower case, white space dropped
+        suffix = self.library.model.end_of_word_suffix
+        self.words = suffix is not None  # lower case, white space dropped
+        # ids that end a piece when pieces are encoded together: a line break between them, or a word's last token
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if (t.endswith(suffix) if self.words else t == _BREAK)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # hashes of known pieces, sorted
-        self.places = np.zeros(0, np.int32)  # their places in starts and sizes
+        self.known = 0
+        self.table = np.full(1 << self.BITS, -1, np.int32)  # the piece of a slot, by open addressing
+        self.keys = np.zeros(1 << 12, np.uint64)  # hashes of known pieces
         self.starts = np.zeros(1 << 12, np.int64)
         self.sizes = np.zeros(1 << 12, np.int32)
         self.arena = np.zeros(1 << 14, np.uint32)
@@ -92,44 +100,37 @@ class PieceTokenizer:
         up, down = powers(n + 1)
         sums = prefix((points.astype(np.uint64) + np.uint64(1)) * up[:-1])
         keys = mix((sums[ends] - sums[starts]) * down[starts] + lengths.astype(np.uint64))
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        shift = starts[first[inverse]] - starts
-        own = ragged(starts, lengths) if self.words else np.arange(n)  # there the pieces leave no letter out
-        if (lengths != lengths[first[inverse]]).any() or (points[own] != points[own + np.repeat(shift, lengths)]).any():
-            return None
-        if len(self.keys) > self.MOST:
+        if self.known > self.MOST:
             self.clear()
-        at, known = self._find(distinct)
-        old = np.flatnonzero(known)
-        if not self._same(at[old], points, starts[first[old]], lengths[first[old]]):
-            return None
-        lost = np.flatnonzero(~known)
+        which, _ = self._find(keys)
+        lost = np.flatnonzero(which < 0)
         if len(lost):
-            begin, size = starts[first[lost]], lengths[first[lost]]
-            self._learn(distinct[lost], [text[s : s + m] for s, m in zip(begin.tolist(), size.tolist(), strict=True)], points[ragged(begin, size)], size)
-            at, _ = self._find(distinct)
-        which = at[inverse]
+            distinct, first = np.unique(keys[lost], return_index=True)
+            begin, size = starts[lost[first]], lengths[lost[first]]
+            self._learn(distinct, [text[s : s + m] for s, m in zip(begin.tolist(), size.tolist(), strict=True)], points[ragged(begin, size)], size)
+            which[lost], _ = self._find(keys[lost])
+        letters = points[ragged(starts, lengths)] if self.words else points  # there the pieces leave no letter out
+        if (self.letter_sizes[which] != lengths).any() or (self.letters[ragged(self.letter_starts[which], lengths)] != letters).any():
+            return None
         sizes = self.sizes[which].astype(np.int64)
         out = self.arena[ragged(self.starts[which], sizes)]
         return out, prefix(sizes)[np.searchsorted(starts, bounds)]
 
-    def _same(self, at: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bool:
-        """Whether the known pieces at `at` are the ones that stand at starts."""
-        if (self.letter_sizes[at] != lengths).any():
-            return False
-        return bool((self.letters[ragged(self.letter_starts[at], lengths)] == points[ragged(starts, lengths)]).all())
-
-    def _find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of sorted hashes, whether they are known)."""
-        if not len(self.keys):
-            return np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
-        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        return self.places[at].astype(np.int64), self.keys[at] == distinct
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known piece of each hash or -1, the slot where it is or would be)."""
+        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        at = self.table[slot]
+        live = np.flatnonzero((at >= 0) & (self.keys[at] != keys))
+        while len(live):
+            slot[live] = (slot[live] + 1) & (len(self.table) - 1)
+            at[live] = found = self.table[slot[live]]
+            live = live[(found >= 0) & (self.keys[found] != keys[live])]
+        return at, slot
 
     def _learn(self, keys: np.ndarray, pieces: list[str], letters: np.ndarray, lengths: np.ndarray) -> None:
-        have, need = len(self.keys), len(self.keys) + len(keys)
+        have, need = self.known, self.known + len(keys)
         if need > len(self.starts):
-            for name in ("starts", "sizes", "letter_starts", "letter_sizes"):
+            for name in ("keys", "starts", "sizes", "letter_starts", "letter_sizes"):
                 setattr(self, name, np.resize(getattr(self, name), need + need // 2))
         if self.letters_used + len(letters) > len(self.letters):
             self.letters = np.resize(self.letters, (self.letters_used + len(letters)) * 3 // 2)
@@ -139,9 +140,7 @@ class PieceTokenizer:
         self.letters_used += len(letters)
         done = have
         for begin in range(0, len(pieces), self.STEP):
-            encoded = [e.ids for e in self.library.encode_batch_fast(pieces[begin : begin + self.STEP], add_special_tokens=False)]
-            sizes = np.array([len(e) for e in encoded], np.int64)
-            fresh = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+            fresh, sizes = self._encoded(pieces[begin : begin + self.STEP])
             if self.used + len(fresh) > len(self.arena):
                 self.arena = np.resize(self.arena, (self.used + len(fresh)) * 3 // 2)
             self.arena[self.used : self.used + len(fresh)] = fresh
@@ -149,10 +148,40 @@ class PieceTokenizer:
             self.sizes[done : done + len(sizes)] = sizes
             self.used += len(fresh)
             done += len(sizes)
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged, kind="stable")  # two sorted runs
-        self.keys = merged[order]
-        self.places = np.concatenate([self.places, np.arange(have, need, dtype=np.int32)])[order]
+        self.keys[have:need], self.known = keys, need
+        numbers, left = np.arange(have, need, dtype=np.int32), np.arange(len(keys))
+        while len(left):  # of two pieces that want a slot, one moves on
+            _, slot = self._find(keys[left])
+            self.table[slot] = numbers[left]
+            left = left[self.table[slot] != numbers[left]]
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each)."""
+        apart = np.array([p.isspace() for p in pieces], bool)  # white space would join the break between pieces
+        together = [pieces[i] for i in np.flatnonzero(~apart)]
+        texts = [("" if self.words else "\n") + (" " if self.words else "\n").join(together[k : k + self.JOINED]) for k in range(0, len(together), self.JOINED)]
+        encoded = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, sum(map(len, encoded)))
+        marks = np.flatnonzero(self.ends[flat])
+        if len(marks) != len(together):  # the pieces do not stand apart: one by one
+            apart[:], marks = True, marks[:0]
+        sizes = np.zeros(len(pieces), np.int64)
+        if self.words:
+            sizes[~apart] = np.diff(marks, prepend=-1)
+            own = flat
+        else:
+            sizes[~apart] = np.diff(np.append(marks, len(flat)))[: len(marks)] - 1
+            own = flat[~self.ends[flat]]
+        rest = np.flatnonzero(apart)
+        if not len(rest):
+            return own, sizes
+        alone = [e.ids for e in self.library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+        sizes[rest] = [len(x) for x in alone]
+        out, starts = np.zeros(sizes.sum(), np.uint32), prefix(sizes)[:-1]
+        if len(rest) < len(pieces):
+            out[ragged(starts[~apart], sizes[~apart])] = own
+        out[ragged(starts[rest], sizes[rest])] = np.fromiter(itertools.chain.from_iterable(alone), np.uint32, int(sizes[rest].sum()))
+        return out, sizes
 
     def _split(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces that the tokenizer's pattern finds."""
