@@ -172,7 +172,7 @@ def draw(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, all_bytes: int = ALL
     """
     known = docs.filter("lang is not null and text is not null").select("lang", "text", F.shiftrightunsigned(F.xxhash64("lang", "text"), 1).alias("h"))
     sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min("h").alias("least"))
-    sizes = materialise(sizes, "languages")
+    sizes = materialise(sizes.coalesce(1), "languages")
     languages = sizes.count()
     each = min(sample_bytes, all_bytes // max(languages, 1))
     share = sizes.select("lang", F.greatest(F.lit(2.0) * each / F.greatest("n", F.lit(1)) * float(1 << 63), F.col("least").cast("double")).alias("most"))
