@@ -68,13 +68,14 @@ def normalize_input(raw: Column) -> Column:
 
 
 def _pairs(url: Column) -> Column:
-    """Decoded (key, value) pairs of the query, blank values kept."""
+    """Decoded (key, value) pairs of the query, blank values kept; what holds a malformed escape stays as it is."""
+    decoded = lambda t: F.coalesce(F.try_url_decode(t), t)
     parts = F.filter(F.split(query(url), "&"), lambda p: F.length(p) > 0)
     return F.transform(
         parts,
         lambda p: F.struct(
-            F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"),
-            F.when(F.instr(p, "=") > 0, F.try_url_decode(F.regexp_replace(p, r"^[^=]*=", ""))).otherwise(F.lit("")).alias("v"),
+            decoded(F.substring_index(p, "=", 1)).alias("k"),
+            F.when(F.instr(p, "=") > 0, decoded(F.regexp_replace(p, r"^[^=]*=", ""))).otherwise(F.lit("")).alias("v"),
         ),
     )
 
@@ -193,11 +194,14 @@ def is_suppressed(at: Column) -> Column:
 def is_safe(url: Column) -> Column:
     """Whether the address policy lets a URL be fetched, as far as its text tells (no name lookup)."""
     place = netloc(url)
-    name = F.regexp_replace(host(url), r"^\[|\]$", "")
+    name = F.regexp_replace(F.lower(host(url)), r"^\[|\]$|\.$", "")
     given = F.regexp_extract(place, r":(\d*)$", 1)
     octets = F.split(name, r"\.")
     number = lambda i: F.try_element_at(octets, F.lit(i)).cast("int")
-    is_v4 = name.rlike(r"^(\d{1,3})(\.\d{1,3}){3}$")
+    is_v4 = name.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$")
+    # other numeric forms (one number, hex, octal, fewer parts) may name a private address
+    is_number = name.rlike(r"^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+))*$")
+    too_large = F.exists(octets, lambda o: o.cast("int") > 255)
     a, b = number(1), number(2)
     private = (
         a.isin(0, 10, 127)
@@ -216,5 +220,5 @@ def is_safe(url: Column) -> Column:
         & ~F.contains(place, F.lit("@"))
         & (given.isin("", "80", "443") | F.contains(place, F.lit("]")) & ~place.rlike(r"\]:\d+$"))
         & (name != "")
-        & ~F.when(is_v4, private).when(is_v6, closed_v6).otherwise(name.isin("localhost"))
+        & ~F.when(is_v4, private | too_large).when(is_v6, closed_v6).otherwise(is_number | (name == "localhost") | name.endswith(".localhost"))
     )

@@ -67,14 +67,18 @@ def dedupe(findings: DataFrame) -> DataFrame:
 
 
 def collapse(findings: DataFrame) -> DataFrame:
-    """The same issue on several pages becomes its first finding, which names the pages.
+    """The same issue on several pages becomes its first finding, which counts the pages and names the first six.
 
-    A partial aggregate keeps, per issue, the first row and each URL's first place.
+    A partial aggregate keeps, per issue, the first row and each URL's first place; the named pages come from
+    a ranked window whose limit Spark pushes below the shuffle, so no list of an issue's pages is held.
     """
     keys = ["site", "skill", "severity", "title", "action"]
     rest = [c for c in COLUMNS if c not in keys]
     urls = findings.filter(F.length("url") > 0).groupBy(*keys, "url").agg(F.min("seq").alias("at"))
-    pages = urls.groupBy(*keys).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("at", "url"))).alias("_urls"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "url"))
+    named = urls.withColumn("_r", place).filter("_r <= 6").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "url"))).alias("_urls"))
+    total = urls.groupBy(*keys).agg(F.count("*").alias("_n"))
+    pages = total.join(named.select(*[F.col(k).alias(f"_{k}") for k in keys], "_urls"), [total[k].eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, "_n", "_urls")
     first = findings.groupBy(*keys).agg(F.min(F.struct("seq", *[c for c in rest if c != "seq"])).alias("f"))
     null_safe = [first[k].eqNullSafe(pages[k]) for k in keys]
     joined = first.join(pages, null_safe, "left").select(*[first[k] for k in keys], "f", "_n", "_urls")

@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the session's checkpoint folder and read back, with attributes of its own."""
+    """df written as Parquet into the session's checkpoint folder and read back, with attributes of its own.
+
+    Without spark.checkpoint.dir a temporary folder serves in local mode, and only there. The table is removed
+    when the driver's process ends.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="auditlake-"))
         folder = sc._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/auditlake-tables/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended; the folder's owner clears it
+        pass

@@ -16,7 +16,7 @@ from auditlake.functions import fixed, text, urls
 from auditlake.operators import findings, graph, robots, selection, sitemaps
 from auditlake.sources import html
 
-from . import crawl, engagement, freshness, render, report, structured
+from . import crawl, engagement, freshness, render, report, rules, structured
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -335,11 +335,28 @@ query("src_sitemap_parse", "SELECT * FROM (VALUES ('a.xml', 'urlset', 2, 'https:
     lambda spark, sf: sitemaps.parse(values(spark, _XML, "sitemap_url, content")).select("sitemap_url", "kind", F.size("entries").alias("n"), F.array_join(F.transform("entries", lambda e: F.concat(e["loc"], F.lit("|"), F.coalesce(e["lastmod"], F.lit("")))), ",").alias("entries")))
 
 
-@query("src_sitemap_expand", "SELECT * FROM (VALUES ('s', 'a', 0), ('s', 'b', 1), ('s', 'c', 1), ('s', 'd', 2)) t(site, url, depth)")
+def sitemap_tree(spark, sf):
+    """Roots and children of sitemaps: a site a nation, a tree of its customers with shared children and a cycle."""
+    rows = read(spark, sf, "customer").withColumn("site", F.concat(F.lit("n"), F.col("c_nationkey")))
+    name = lambda c: F.concat(F.lit("map"), c)
+    roots = rows.groupBy("site").agg(F.min("c_custkey").alias("k")).select("site", name(F.col("k")).alias("url"))
+    edges = [(F.col("c_custkey"), F.floor(F.col("c_custkey") * 7 / 3 + k).cast("long")) for k in (1, 5, 9)] + [(F.col("c_custkey"), F.floor(F.col("c_custkey") / 2).cast("long"))]
+    children = rows.select(F.explode(F.array(*[F.struct(name(a).alias("parent"), name(b).alias("child")) for a, b in edges])).alias("e")).select("e.*")
+    return roots, children
+
+
+_SITEMAP_TREE = """
+WITH RECURSIVE r AS (SELECT 'n' || c_nationkey AS site, 'map' || min(c_custkey) AS url FROM customer GROUP BY c_nationkey),
+c AS (SELECT 'map' || c_custkey AS parent, 'map' || CAST(floor(c_custkey * 7 / 3 + k) AS BIGINT) AS child FROM customer, (VALUES (1), (5), (9)) t(k)
+  UNION SELECT 'map' || c_custkey, 'map' || CAST(floor(c_custkey / 2) AS BIGINT) FROM customer),
+walk(site, url, depth) AS (SELECT site, url, 0 FROM r UNION SELECT w.site, c.child, w.depth + 1 FROM walk w JOIN c ON c.parent = w.url WHERE w.depth < 6),
+best AS (SELECT site, url, min(depth) AS depth FROM walk GROUP BY ALL)
+SELECT site, url, depth FROM best QUALIFY row_number() OVER (PARTITION BY site ORDER BY depth, url) <= {most}"""
+
+
+@query("src_sitemap_expand", _SITEMAP_TREE.format(most=20))
 def _(spark, sf):
-    values(spark, "('s', 'a')", "site, url").createOrReplaceTempView("_roots")
-    values(spark, "('a', 'b'), ('a', 'c'), ('c', 'd'), ('x', 'y')", "parent, child").createOrReplaceTempView("_children")
-    return sitemaps.expand(spark, "_roots", "_children")
+    return sitemaps.expand(*sitemap_tree(spark, sf))
 
 
 query("src_sitemap_discover", "SELECT * FROM (VALUES ('a', 'p1'), ('b', 'r1'), ('c', 's1')) t(site, sitemap_url)")(
@@ -500,7 +517,7 @@ UNION ALL SELECT page_id, 'sd-' || substr(sha1('Missing meta description tag||'
 def _(spark, sf):
     rows = structured.tag_rules(parsed_pages(spark, sf))
     found = findings.make(rows.filter("check_id like 'Title%' or check_id like 'Missing <title%' or check_id = 'Missing meta description tag'"))
-    return found.select(((F.col("seq") / 1000).cast("long") % 10**10).alias("page_id"), "id", "title", "severity")
+    return found.select(F.floor(F.pmod("seq", F.lit(rules.PART)) / rules.PAGE).alias("page_id"), "id", "title", "severity")
 
 
 query("sd_social_rules", f"""WITH {_U.replace('u AS (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES ' + _URLS + ') t(url))', 'u AS (SELECT url FROM pages)')}, ok AS (SELECT url FROM p WHERE NOT ({_contains('lower(query)', ('q=', 'query=', 'search=', 's='))} OR regexp_matches(rtrim(lower(path), '/'), '{_anyre(fixed.UTILITY_SOCIAL)}')))
@@ -607,7 +624,7 @@ query("agg_site_entities", "SELECT 'shop' || (p_partkey % 4) || '.example' AS si
     lambda spark, sf: product_parsed(spark, sf).groupBy("site").agg(F.sum(F.size(structured.entities())).cast("long").alias("total")))
 query("agg_missing_breadcrumb", "SELECT 'shop' || (p_partkey % 4) || '.example' AS site, 'BreadcrumbList schema missing on ' || count(*) || ' interior page(s)' AS title FROM part GROUP BY ALL")(
     lambda spark, sf: structured.presence_rules(product_parsed(spark, sf)).filter("check_id = 'SD-01-breadcrumb'").select("site", "title"))
-query("agg_entity_claims", "SELECT 'shop' || (p_partkey % 4) || '.example' AS site, least(count(*) FILTER (p_partkey % 7 <> 0), 64) AS n_products FROM part GROUP BY ALL")(
+query("agg_entity_claims", "SELECT 'shop' || (p_partkey % 4) || '.example' AS site, count(*) FILTER (p_partkey % 7 <> 0) AS n_products FROM part GROUP BY ALL")(
     lambda spark, sf: freshness.site_entity(freshness.entity_data(product_parsed(spark, sf))).select("site", F.size("products").cast("long").alias("n_products")))
 query("win_primary_identity", "SELECT * FROM (VALUES (1, 'News Co'), (2, 'Full Org'), (3, 'Page brand')) t(page_id, brand)")(
     lambda spark, sf: freshness.entity_data(html.parse(report.with_sites(spark.createDataFrame([
@@ -634,3 +651,30 @@ query("set_jaccard_nav", "SELECT * FROM (VALUES (1, 0.5), (2, 0.0)) t(k, share)"
     lambda spark, sf: values(spark, "(1, array('a', 'b', 'c'), array('b', 'c', 'd')), (2, array('a'), array('b'))", "k, a, b").select("k", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("share")))
 
 from . import catalog_more  # noqa: E402, F401  registers the rest
+
+
+# --- untrusted pages ----------------------------------------------------------------------------
+
+#: Endings that break careless parsers; page k gets the one of k modulo their number.
+HOSTILE = (
+    "<a href=\"http://[x\">a</a>",
+    "<link rel=\"canonical\" href=\"//[1\">",
+    "<script type=\"application/ld+json\">" + "[" * 20_000 + "</script>",
+    "<script type=\"application/ld+json\">{\"@type\": \"Thing\", \"name\": \"\\\\ud800\"}</script>".replace("\\\\", "\\"),
+    "<script type=\"application/ld+json\">{\"n\": " + "9" * 5_000 + "}</script>",
+    "<video src=\"v\"></video><audio></audio>" * 2_500,
+)
+
+
+@query("html_hostile_pages", """
+WITH p AS (SELECT page_id, url, page_id % 6 AS k FROM pages)
+SELECT page_id, false AS failed, CASE WHEN k = 5 THEN 5000 ELSE 0 END AS n_media, k = 0 AS has_bad_link, k IN (2, 4) AS has_bad_block FROM p""")
+def _(spark, sf):
+    pages = read(spark, sf, "pages")
+    ending = F.element_at(F.array(*map(F.lit, HOSTILE)), (F.col("page_id") % len(HOSTILE) + 1).cast("int"))
+    own = report.with_sites(pages.select("page_id", "url", F.concat(F.lit("<html><body>"), ending, F.lit("</body></html>")).alias("html")))
+    found = html.parse(own.select("page_id", "url", "html"))
+    return found.select(
+        "page_id", F.col("page.error").isNotNull().alias("failed"), F.size("page.media").alias("n_media"),
+        F.exists("page.anchors", lambda a: a["full"] == "http://[x").alias("has_bad_link"), F.exists("page.json_ld", lambda b: b["error"].isNotNull()).alias("has_bad_block"),
+    )

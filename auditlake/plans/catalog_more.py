@@ -8,7 +8,7 @@ from auditlake.functions import fixed, text, urls
 from auditlake.operators import findings, robots, selection, sitemaps
 from auditlake.sources import html, tables
 
-from . import crawl, engagement, freshness, render, report, structured
+from . import catalog, crawl, engagement, freshness, render, report, structured
 from .catalog import _FETCH_SQL, _FINDINGS_SQL, _U, as_of, derived_findings, fetch_log, parsed_pages, product_parsed, query, read, robots_bodies, url_rows, values
 
 
@@ -167,8 +167,7 @@ query("json_entity_data", "SELECT * FROM (VALUES (1, '555', 'https://x.com/a', '
     lambda spark, sf: freshness.entity_data(pages_of(spark, (1, "https://a/1", '<script type="application/ld+json">{"@type":"Organization","name":"N","telephone":"555","sameAs":["https://x.com/a"],"founders":[{"name":"Ann"},"Bob"]}</script>'))).select(F.col("ord").cast("int").alias("page_id"), "telephone", F.array_join("same_as", ",").alias("same_as"), F.array_join("leaders", ",").alias("leaders")))
 query("json_ld_entities", "SELECT * FROM (VALUES (1, 'WebPage,Article,Person'), (2, 'Article,Person')) t(page_id, types)")(
     lambda spark, sf: pages_of(spark, (1, "https://a/1", '<script type="application/ld+json">{"@type":"WebPage","mainEntity":{"@type":"Article","author":[{"@type":"Person"}]}}</script>'), (2, "https://a/2", '<script type="application/ld+json">{"@type":"WebPage","@graph":[{"@type":"Article","author":{"@type":"Person"}}]}</script>')).select(F.col("page_id").cast("int").alias("page_id"), F.array_join(F.flatten(F.transform(structured.entities("loose"), lambda e: e["types"])), ",").alias("types")))
-query("graph_sitemap_tree", "SELECT * FROM (VALUES ('s', 'root', 0), ('s', 'k1', 1)) t(site, url, depth)")(
-    lambda spark, sf: (values(spark, "('s', 'root')", "site, url").createOrReplaceTempView("_tree_roots"), values(spark, "('root', 'k1'), ('root', 'k2')", "parent, child").createOrReplaceTempView("_tree_children"), sitemaps.expand(spark, "_tree_roots", "_tree_children", 2))[-1])
+query("graph_sitemap_tree", catalog._SITEMAP_TREE.format(most=7))(lambda spark, sf: sitemaps.expand(*catalog.sitemap_tree(spark, sf), 7))
 query("fc_entity_rules", "SELECT * FROM (VALUES ('Core brand claims exist in isolation with no independent corroboration (1 claims)', 'high'), ('External sources report conflicting information for core brand facts', 'medium')) t(title, severity)")(
     lambda spark, sf: freshness.compile_findings(p := pages_of(spark, (1, "https://a.example/", "<title>A</title><body>x</body>")), report.sites_of(p), as_of(), claims=values(spark, "('a.example', 1, 'hq', 'Oslo', 'isolated', ''), ('a.example', 2, 'year', '1999', 'Inconsistent', '2001')", "site, ord, type, value, status, external_value")).filter("title like 'Core brand%' or title like 'External sources%'").select("title", "severity"))
 query("ca_sitemap_graph_rules", "SELECT * FROM (VALUES ('CA-05-malformed'), ('CA-05-status'), ('CA-06-depth'), ('CA-06-broken'), ('CA-06-orphans'), ('CA-05-notdeclared'), ('CA-05-duplicates'), ('CA-05-params'), ('CA-05-deadurls')) t(check_id)")(

@@ -9,7 +9,7 @@ from auditlake.functions import fixed, urls
 from auditlake.operators import findings
 from auditlake.sources import html
 
-from .rules import affected, percent, text
+from .rules import PART, affected, percent, text
 
 SKILL = "engagement-audit"
 
@@ -77,7 +77,7 @@ def extract(parsed: DataFrame) -> DataFrame:
     in_menu = F.filter(p("anchors"), lambda a: a["menu"] > 0)
     container = F.when(p("nav_landmarks") > 0, in_landmark).otherwise(in_menu)
     primary = F.when(F.size(container) > 0, container).otherwise(F.filter(p("anchors"), lambda a: a["header"]))
-    images, later = p("images"), F.slice(p("images"), 3, 100_000)
+    images, later = p("images"), F.slice(p("images"), F.lit(3), F.greatest(F.size(p("images")), F.lit(0)))
     bare = F.filter(images, lambda i: ~((F.length(i["width"]) > 0) & (F.length(i["height"]) > 0)) | i["width"].isNull() | i["height"].isNull())
     eager = F.filter(later, lambda i: F.lower(F.coalesce(i["loading"], F.lit(""))) != "lazy")
     plain = lambda u: F.regexp_replace(F.lower(urls.netloc(u)), r"^www\.", "")
@@ -259,7 +259,7 @@ def site_rules(signals: DataFrame) -> DataFrame:
     rank = findings.severity_rank(c("severity"))
     made = findings.finding_id(c("skill"), c("check_id"), c("locator"), c("url"))
     order = F.conv(F.substring(made, 4, 6), 16, 10).cast("long")
-    return rows.withColumn("seq", F.lit(40 * 10**14) + rank * 10**10 + order)
+    return rows.withColumn("seq", F.lit(40 * PART) + rank * 10**10 + order)
 
 
 def compile_findings(pages: DataFrame) -> DataFrame:

@@ -104,11 +104,11 @@ def entity_data(pages: DataFrame) -> DataFrame:
     )
 
 
-def site_entity(data: DataFrame, most: int = 64) -> DataFrame:
+def site_entity(data: DataFrame) -> DataFrame:
     """Per site: the first page's brand, the first year and place, the links, products and leaders of all pages.
 
-    Lists are joined from each page's distinct values after a distinct per site, and hold the
-    first `most` values by page, so that a site of any size stays bounded.
+    A list holds a site's distinct values, in the order of their first pages; each page's values meet
+    those of others only as partial aggregates of (site, value).
     """
     scalar = data.groupBy("site").agg(
         F.min_by("brand", "ord").alias("brand"),
@@ -118,8 +118,7 @@ def site_entity(data: DataFrame, most: int = 64) -> DataFrame:
     out = scalar
     for column in ("same_as", "products", "leaders"):
         each = data.select("site", "ord", F.posexplode(column).alias("pos", "v")).groupBy("site", "v").agg(F.min(F.struct("ord", "pos")).alias("at"))
-        first = each.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy("at"))).filter(F.col("r") <= most)
-        listed = first.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias(column))
+        listed = each.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(column))
         out = out.join(listed, "site", "left")
     empty = F.array().cast("array<string>")
     return out.select("site", "brand", "founding_year", "hq", *[F.coalesce(c, empty).alias(c) for c in ("same_as", "products", "leaders")])

@@ -256,13 +256,13 @@ def llms_record(files: DataFrame) -> DataFrame:
 
 
 def llms_rules(sites: DataFrame) -> DataFrame:
-    """sites (site, site_url, llms_present, llms_url, llms_length)."""
+    """sites (site, site_url, llms_present, llms_url, llms_length); where presence is null nothing was looked for."""
     c = F.col
     root = F.concat(F.regexp_replace("site_url", "/+$", ""), F.lit("/llms.txt"))
     at = F.coalesce("llms_url", root)
     there, n = F.coalesce(c("llms_present"), F.lit(False)), F.coalesce(c("llms_length"), F.lit(0))
     rules = [
-        rule("SD-06-llms", ~there, "low", "Missing /llms.txt machine-facing summary file", "Create an /llms.txt markdown file at the domain root with an H1 brand title, a blockquote summary, and links to core docs.", "llms_txt", text("No /llms.txt file was found at ", root, ". Emerging AI web agents use llms.txt to quickly parse site purpose, structure, and documentation."), url=root),
+        rule("SD-06-llms", c("llms_present").isNotNull() & ~there, "low", "Missing /llms.txt machine-facing summary file", "Create an /llms.txt markdown file at the domain root with an H1 brand title, a blockquote summary, and links to core docs.", "llms_txt", text("No /llms.txt file was found at ", root, ". Emerging AI web agents use llms.txt to quickly parse site purpose, structure, and documentation."), url=root),
         rule("SD-06-llms-thin", there & (n < 50), "low", "/llms.txt file is too brief or empty", "Expand /llms.txt with a project summary, key product offerings, and curated links.", "llms_txt", text("An /llms.txt file was found at ", c("site_url"), "/llms.txt, but it only contains ", n, " characters."), url=root),
         rule("SD-06-llms-valid", there & (n >= 50), "info", "Valid /llms.txt machine-facing summary detected", "Keep /llms.txt updated with current brand, product, and canonical doc references.", "llms_txt", text("Valid /llms.txt found at ", at, " (", n, " characters). Provides structured context for AI agents."), url=at),
     ]

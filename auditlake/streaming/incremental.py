@@ -13,12 +13,14 @@ from auditlake.plans import report
 def audit_stream(pages: DataFrame, path: str, checkpoint: str, time_column: str = "fetched_at", delay: str = "1 hour", as_of=None) -> StreamingQuery:
     """Start the query: pages (page_id, url, html, fetched_at) in, Parquet findings with batch_id out.
 
-    A batch is written under its own id, so that a batch repeated after a failure replaces itself.
+    A batch is written under its own id, so that a batch repeated after a failure replaces itself. Each batch is
+    judged by itself, and as of its newest page unless as_of is given, so that a repeated one gives the same rows.
     """
     unique = pages.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["url"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = report.all_findings(report.with_sites(batch), as_of if as_of is not None else F.current_timestamp())
+        now = as_of if as_of is not None else F.lit(batch.agg(F.max(time_column)).first()[0]).cast("timestamp")
+        found = report.all_findings(report.with_sites(batch), now)
         found.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

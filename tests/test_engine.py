@@ -294,3 +294,83 @@ def test_stream(spark, sf_dir, tmp_path):
     audit_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), as_of=as_of()).awaitTermination(180)
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert rows.count() > 0 and rows.filter("title = 'Missing meta description tag'").count() == 6
+
+
+def test_hostile_pages(spark):
+    """Pages that break careless parsers keep their row; 5,000 media take linear time."""
+    import time
+
+    from auditlake.sources import html
+
+    pages = [
+        (1, '<a href="http://[x">a</a>'), (2, '<link rel="canonical" href="//[1">'), (3, '<script type="application/ld+json">' + "[" * 50_000 + "</script>"),
+        (4, '<script type="application/ld+json">{"@type": "Thing", "name": "\\ud800"}</script>'), (5, '<script type="application/ld+json">{"n": ' + "9" * 5_000 + "}</script>"),
+        (6, "<video></video><a href=transcript>t</a>" * 5_000), (7, None), (8, "<div>" * 3_000 + "x"),
+    ]
+    made = spark.createDataFrame([(k, f"https://s.example/{k}", h) for k, h in pages], "page_id long, url string, html string")
+    began = time.perf_counter()
+    rows = {r.page_id: r.page for r in html.parse(made).collect()}
+    assert time.perf_counter() - began < 30
+    assert len(rows) == len(pages) and all(p.error is None for p in rows.values())
+    assert rows[1].anchors[0].full == "http://[x" and rows[2].canonical == "//[1"
+    assert rows[3].json_ld[0].error
+    assert rows[5].json_ld[0].error and rows[4].json_ld[0].error is None
+    assert len(rows[6].media) == 5_000 and rows[6].media[0].transcript
+
+
+def test_a_page_that_cannot_be_parsed_is_reported(spark, monkeypatch):
+    from auditlake.sources import html
+
+    found = html.facts("http://[broken", "<a href='x'>x</a>")
+    assert found["error"].startswith("ValueError") and found["anchors"] == []
+    pages = spark.createDataFrame([(1, "https://s.example/", "<title>Home page of the site</title>"), (2, "https://s.example/x", "<title>Other page</title>")], "page_id long, url string, html string")
+    real = report.parse_once
+    broken = lambda own: real(own).withColumn("page", F.col("page").withField("error", F.when(F.col("url").endswith("/x"), F.lit("ValueError: no"))))
+    monkeypatch.setattr(report, "parse_once", broken)
+    _, reports = report.audit(pages, as_of(), "2026-09-13T00:00:00+00:00")
+    row = reports.first()
+    assert (row.pages_audited, row.coverage.pages_selected, row.coverage.pages_failed) == (1, 2, 1)
+    assert row.coverage.errors == ["https://s.example/x: ValueError: no"]
+    assert not any(f.evidence.url.endswith("/x") for f in row.findings)
+
+
+def test_the_audit_runs_every_skill_and_says_what_it_covered(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "https://s.example/", "<title>x</title>"), (2, "https://s.example/login", "x"), (3, "https://s.example/docs/a", "<p>y</p>"), (4, "https://s.example/private", "z")], "page_id long, url string, html string")
+    table = lambda rows, kind: spark.createDataFrame(rows, kind)
+    inputs = report.Inputs(
+        robots=table([("s.example", "https://s.example/robots.txt", 200, "User-agent: *\nDisallow: /\nDisallow: /a\\E(b")], "site string, robots_url string, status int, body string"),
+        llms=table([("s.example", False, None, 0)], "site string, llms_present boolean, llms_url string, llms_length int"),
+        homes=table([("s.example", "https://s.example/")], "site string, home string"),
+        listed=table([(u,) for u in ("https://s.example/login", "https://s.example/docs/a", "https://s.example/private")], "url string"),
+        blocked=table([("https://s.example/private",)], "url string"),
+    )
+    found, reports = report.audit(pages, as_of(), "2026-09-13T00:00:00+00:00", inputs)
+    row = reports.first()
+    assert row.coverage.checks_run == ["crawl-access-audit", "render-extraction-audit", "structured-data-audit", "freshness-corroboration-audit", "engagement-audit"]
+    assert (row.coverage.pages_selected, row.coverage.skipped_auth_action, row.coverage.skipped_by_robots) == (2, 1, 1)
+    titles = {f.title for f in row.findings}
+    assert "robots.txt blocks all crawlers on every path" in titles and "Missing /llms.txt machine-facing summary file" in titles
+    # without the file's record nothing is said of it; a skill that fails leaves the others alone
+    monkeypatch.setattr(report.render, "compile_findings", lambda parsed: parsed.select(F.raise_error(F.lit("boom")).alias("site")))
+    _, reports = report.audit(pages, as_of(), "2026-09-13T00:00:00+00:00")
+    row = reports.first()
+    assert "Missing /llms.txt machine-facing summary file" not in {f.title for f in row.findings}
+    assert row.coverage.incomplete == ["render-extraction-audit"] and len(row.coverage.errors) == 1
+    assert row.summary.total_findings == len(row.findings) > 0
+
+
+def test_addresses(spark):
+    urls_of = lambda f, *given: [r[0] for r in spark.createDataFrame([(u,) for u in given], "url string").select(f(F.col("url"))).collect()]
+    closed = ("http://2130706433/", "http://127.1/", "http://0x7f000001/", "http://0177.0.0.1/", "http://a.localhost/", "http://localhost./", "http://999.1.1.1/", "http://127.0.0.1./")
+    assert not any(urls_of(urls.is_safe, *closed))
+    assert all(urls_of(urls.is_safe, "http://93.184.216.34/", "https://1password.com/", "https://3.example/"))
+    assert urls_of(urls.normalize, "https://a.example/p?a=100%&b=1", "https://a.example/p?b=1") == ["https://a.example/p?a=100%25&b=1", "https://a.example/p?b=1"]
+
+
+def test_the_issue_of_many_pages_names_six(spark):
+    rows = [("s", i, "c", "low", "t", "a", f"https://s.example/{i}", "html", "o", "crawl-access-audit") for i in range(5_000)]
+    made = findings.make(spark.createDataFrame(rows, "site string, seq long, check_id string, severity string, title string, action string, url string, source string, observed string, skill string"))
+    row = findings.collapse(made).first()
+    assert row.observed == "o  Affects 5000 pages: " + ", ".join(f"https://s.example/{i}" for i in range(6)) + " …."
+    plan = findings.collapse(made)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
