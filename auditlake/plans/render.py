@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +57,41 @@ CLOSED_FRAMES = (
 )
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between its outermost bars."""
+    parts, depth, start = [], 0, 0
+    for i, c in enumerate(pattern):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            parts.append(pattern[start:i])
+            start = i + 1
+    return [*parts, pattern[start:]]
+
+
+def mentions(lower: Column, tokens: Column, pattern: str) -> Column:
+    """As lower.rlike(pattern): single words are looked up among the text's words, plain strings searched for, and
+    only what is left is a regular expression."""
+    single, plain, rest = [], [], []
+    for part in _alternatives(pattern):
+        if bare := re.fullmatch(r"\\b([a-z]+)\\b", part):
+            single.append(bare[1])
+        elif optional := re.fullmatch(r"\\b([a-z]+)\?\\b", part):
+            single += [optional[1], optional[1][:-1]]
+        elif re.fullmatch(r"(?:[^\\.^$*+?{}\[\]|()]|\\\$)+", part):
+            plain.append(part.replace("\\$", "$"))
+        else:
+            rest.append(part)
+    out = F.arrays_overlap(tokens, F.array(*map(F.lit, single))) if single else F.lit(False)
+    for text in plain:
+        out = out | F.contains(lower, F.lit(text))
+    return out | lower.rlike("|".join(rest)) if rest else out
+
+
 def key_facts(body: Column) -> Column:
     """Labels of the fact categories that the text mentions, in the list's order."""
     lower = F.lower(F.coalesce(body, F.lit("")))
-    return F.array_compact(F.array(*[F.when(lower.rlike(pattern), F.lit(label)) for _, label, pattern in KEY_FACTS]))
+    tokens = F.split(lower, r"[^\p{L}\p{N}_]+")
+    return F.array_compact(F.array(*[F.when(mentions(lower, tokens, pattern), F.lit(label)) for _, label, pattern in KEY_FACTS]))
 
 
 def alt_quality(alt: Column, decorative: Column) -> Column:
