@@ -9,13 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the session's checkpoint folder and read back, with attributes of its own.
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the session's checkpoint folder, removed when the driver's process ends.
 
-    Without spark.checkpoint.dir a temporary folder serves in local mode, and only there. The table is removed
-    when the driver's process ends.
+    Without spark.checkpoint.dir a temporary folder serves in local mode, and only there.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
@@ -26,8 +24,14 @@ def stored(df: DataFrame) -> DataFrame:
         folder = sc._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/auditlake-tables/{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet under a fresh path and read back, with attributes of its own."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

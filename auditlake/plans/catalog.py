@@ -372,36 +372,49 @@ _ROBOTS = [
 ]
 
 
-def robots_bodies(spark):
-    return spark.createDataFrame(_ROBOTS, "site string, body string")
+def robots_bodies(spark, sf):
+    """(site, body): a site a supplier, with one of the bodies by its key."""
+    body = F.element_at(F.array(*[F.lit(b) for _, b in _ROBOTS]), (F.col("s_suppkey") % len(_ROBOTS) + 1).cast("int"))
+    return read(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("site"), body.alias("body"))
+
+
+def per_supplier(sql: str) -> str:
+    """sql by kind of site (a, b, c, d) to rows of all suppliers."""
+    return f"SELECT 's' || s_suppkey AS site, v.* EXCLUDE (site) FROM supplier JOIN ({sql}) v ON v.site = chr(CAST(97 + s_suppkey % 4 AS INT))"
 
 
 _ASKED = "('googlebot'), ('chatgpt-user'), ('applebot-extended'), ('bingbot'), ('gptbot'), ('ccbot')"
 _PATHS = "('/'), ('/private/x'), ('/docs'), ('/blog/a.html'), ('/blog/a'), ('/tmp/z')"
 
 
-query("join_bot_group", "SELECT * FROM (VALUES ('a','googlebot',2),('a','chatgpt-user',1),('a','applebot-extended',1),('a','bingbot',1),('a','gptbot',1),('a','ccbot',1),('b','googlebot',2),('b','chatgpt-user',1),('b','applebot-extended',2),('b','bingbot',2),('b','gptbot',2),('b','ccbot',2),('c','applebot-extended',1),('c','bingbot',1),('c','gptbot',2),('d','googlebot',1),('d','chatgpt-user',1),('d','applebot-extended',1),('d','bingbot',1),('d','gptbot',1),('d','ccbot',1)) t(site, bot, group_id)")(
-    lambda spark, sf: robots.matching_groups(robots.tables(robots_bodies(spark))[0], values(spark, _ASKED, "bot")).select("site", "bot", F.col("group_id").cast("int").alias("group_id")))
+query("join_bot_group", per_supplier("SELECT * FROM (VALUES ('a','googlebot',2),('a','chatgpt-user',1),('a','applebot-extended',1),('a','bingbot',1),('a','gptbot',1),('a','ccbot',1),('b','googlebot',2),('b','chatgpt-user',1),('b','applebot-extended',2),('b','bingbot',2),('b','gptbot',2),('b','ccbot',2),('c','applebot-extended',1),('c','bingbot',1),('c','gptbot',2),('d','googlebot',1),('d','chatgpt-user',1),('d','applebot-extended',1),('d','bingbot',1),('d','gptbot',1),('d','ccbot',1)) t(site, bot, group_id)"))(
+    lambda spark, sf: robots.matching_groups(robots.tables(robots_bodies(spark, sf))[0], values(spark, _ASKED, "bot")).select("site", "bot", F.col("group_id").cast("int").alias("group_id")))
 
 
-@query("join_rule_path", """SELECT site, bot, path, CASE
+@query("join_rule_path", per_supplier("""SELECT site, bot, path, CASE
   WHEN site = 'a' AND bot = 'googlebot' THEN path = '/private/x' WHEN site = 'a' THEN true
   WHEN site = 'b' AND bot = 'chatgpt-user' THEN true WHEN site = 'b' THEN path IN ('/tmp/z', '/blog/a.html')
   WHEN site = 'c' AND bot = 'gptbot' THEN true ELSE false END AS blocked
-FROM (VALUES ('a'), ('b'), ('c'), ('d')) s(site), (VALUES %s) b(bot), (VALUES %s) p(path) WHERE NOT (site = 'c' AND bot IN ('googlebot', 'chatgpt-user', 'ccbot'))""" % (_ASKED, _PATHS))
+FROM (VALUES ('a'), ('b'), ('c'), ('d')) s(site), (VALUES %s) b(bot), (VALUES %s) p(path) WHERE NOT (site = 'c' AND bot IN ('googlebot', 'chatgpt-user', 'ccbot'))""" % (_ASKED, _PATHS)))
 def _(spark, sf):
-    agents, rules, _delays = robots.tables(robots_bodies(spark))
+    agents, rules, _delays = robots.tables(robots_bodies(spark, sf))
     return robots.blocked(agents, rules, values(spark, _ASKED, "bot"), values(spark, _PATHS, "path"))
 
 
-query("src_robots", "SELECT * FROM (VALUES ('a', true, 9, 12, 'googlebot:12.0:medium'), ('b', false, 1, 0, ''), ('c', false, 0, 1, 'applebot:45.0:high,bingbot:45.0:high'), ('d', false, 0, 0, '')) t(site, wildcard, search, training, delays)")(
-    lambda spark, sf: robots.analysis(robots_bodies(spark)).select("site", F.col("wildcard_disallow_all").alias("wildcard"), F.size("search_blocked").alias("search"), F.size("training_blocked").alias("training"), F.array_join(F.transform("delay_issues", lambda d: F.concat_ws(":", d["bot"], d["crawl_delay"].cast("string"), d["severity"])), ",").alias("delays")))
+query("src_robots", per_supplier("SELECT * FROM (VALUES ('a', true, 9, 12, 'googlebot:12.0:medium'), ('b', false, 1, 0, ''), ('c', false, 0, 1, 'applebot:45.0:high,bingbot:45.0:high'), ('d', false, 0, 0, '')) t(site, wildcard, search, training, delays)"))(
+    lambda spark, sf: robots.analysis(robots_bodies(spark, sf)).select("site", F.col("wildcard_disallow_all").alias("wildcard"), F.size("search_blocked").alias("search"), F.size("training_blocked").alias("training"), F.array_join(F.transform("delay_issues", lambda d: F.concat_ws(":", d["bot"], d["crawl_delay"].cast("string"), d["severity"])), ",").alias("delays")))
 query("join_bot_registry", "SELECT * FROM (VALUES ('GPTBot', 'training_bot', 'OpenAI'), ('Mozilla googlebot/2.1', 'search_bot', 'Google'), ('applebot-extended', 'training_bot', 'Apple'), ('nobody', 'unknown', 'unknown')) t(agent, category, operator)")(
     lambda spark, sf: robots.classify(values(spark, "('GPTBot'), ('Mozilla googlebot/2.1'), ('applebot-extended'), ('nobody')", "agent"), spark).select("agent", "category", "operator"))
-query("src_robots_sitemaps", "SELECT * FROM (VALUES ('a', 'https://a/s.xml'), ('d', 'https://d/1.xml'), ('d', 'https://d/2.xml')) t(site, sitemap_url)")(
-    lambda spark, sf: robots.sitemap_lines(robots_bodies(spark)).select("site", "sitemap_url"))
-query("join_bot_path_cross", "SELECT * FROM (VALUES ('b', 0), ('c', 0), ('a', 0), ('d', 0)) t(site, n)")(
-    lambda spark, sf: robots.analysis(robots_bodies(spark)).select("site", F.size("critical_blocks").alias("n")))
+query("src_robots_sitemaps", per_supplier("SELECT * FROM (VALUES ('a', 'https://a/s.xml'), ('d', 'https://d/1.xml'), ('d', 'https://d/2.xml')) t(site, sitemap_url)"))(
+    lambda spark, sf: robots.sitemap_lines(robots_bodies(spark, sf)).select("site", "sitemap_url"))
+@query("join_bot_path_cross", "SELECT 's' || s_suppkey AS site, CASE s_suppkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 0 ELSE 20 END AS n FROM supplier")
+def _(spark, sf):
+    # one critical path closed to all, none, two closed to all; ten bots of the registry search
+    own = ("User-agent: *\nDisallow: /pricing", "User-agent: *\nDisallow: /tmp", "User-agent: *\nDisallow: /pricing\nDisallow: /docs")
+    body = F.element_at(F.array(*map(F.lit, own)), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    bodies = read(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("site"), body.alias("body"))
+    return robots.analysis(bodies).select("site", F.size("critical_blocks").alias("n"))
+
 
 # --- the crawl graph, over links derived from lineitem ------------------------------------------
 
@@ -428,7 +441,11 @@ query("graph_broken_links", f"{_BFS_SQL} SELECT site, url, depth, CASE CAST(subs
     lambda spark, sf: graph.broken_links(r := crawled(spark, sf), r.select("site", "url", F.element_at(F.array(*[F.lit(x) for x in (200, 404, 503, 410, 403, 200, 200, 301, 429)]), F.substring("url", 2, 9).cast("int") % 9 + 1).alias("status"))))
 query("join_orphans", f"{_BFS_SQL} SELECT DISTINCT site, url FROM (SELECT 's' || (o_custkey % 3) AS site, 'n' || (o_orderkey % 12000) AS url FROM orders) o WHERE NOT EXISTS (SELECT 1 FROM reached r WHERE r.site = o.site AND r.url = o.url)")(
     lambda spark, sf: graph.orphans(read(spark, sf, "orders").select(F.concat(F.lit("s"), F.col("o_custkey") % 3).alias("site"), F.concat(F.lit("n"), F.col("o_orderkey") % 12000).alias("url")), crawled(spark, sf)))
-query("set_except_orphans", ORACLES["join_orphans"])(QUERIES["join_orphans"])
+query("set_except_orphans", "SELECT 'n' || c_nationkey AS site, 'https://n' || c_nationkey || '.example/' || c_custkey AS url FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(
+    lambda spark, sf: (lambda known: graph.orphans(known, known.join(read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")))(
+        read(spark, sf, "customer").select("c_custkey", F.concat(F.lit("n"), "c_nationkey").alias("site"), F.concat(F.lit("https://n"), "c_nationkey", F.lit(".example/"), "c_custkey").alias("url"))))
+
+
 query("graph_redirect_chain", "SELECT * FROM (VALUES ('a', 'c', 2, false, false), ('c', 'c', 0, false, false), ('x', 'y', 2, true, false), ('k0', 'k11', 11, false, true)) t(url, final_url, hops, looped, too_long)")(
     lambda spark, sf: graph.redirect_chains(values(spark, "('a'), ('c'), ('x'), ('k0')", "url"), values(spark, "('a', 'b'), ('b', 'c'), ('x', 'y'), ('y', 'x')", "src, dst").unionByName(spark.range(14).select(F.concat(F.lit("k"), F.col("id")).alias("src"), F.concat(F.lit("k"), F.col("id") + 1).alias("dst")))))
 
@@ -500,10 +517,43 @@ def parsed_pages(spark, sf):
 
 query("html_meta", f"SELECT page_id, {_TITLE} AS title, regexp_extract(html, '(?i)<meta name=\"description\" content=\"([^\"]*)\"', 1) AS description FROM pages")(
     lambda spark, sf: parsed_pages(spark, sf).select("page_id", F.col("page.title").alias("title"), structured.named_meta("description").alias("description")))
-query("html_page_meta", f"SELECT page_id, {_TITLE} AS title, NULL::VARCHAR AS canonical, 0::BIGINT AS canonical_count, NULL::VARCHAR AS meta_robots FROM pages")(
-    lambda spark, sf: parsed_pages(spark, sf).select("page_id", F.col("page.title").alias("title"), F.col("page.canonical").alias("canonical"), F.col("page.canonical_count").alias("canonical_count"), F.col("page.meta_robots").alias("meta_robots")))
-query("html_orientation", "SELECT page_id, len(regexp_extract_all(html, '<h1[ >]'))::BIGINT AS h1_count, false AS breadcrumb FROM pages")(
-    lambda spark, sf: parsed_pages(spark, sf).select("page_id", F.size("page.h1").cast("long").alias("h1_count"), F.col("page.breadcrumb").alias("breadcrumb")))
+def crafted_pages(spark, sf):
+    """Pages whose parts follow from p_partkey, so that their facts can be told from the key alone."""
+    k = F.col("p_partkey")
+    some = lambda n, text: F.repeat(F.lit(text), n.cast("int"))
+    parts = [
+        F.lit("<html><head><title>Part "), k, F.lit("</title>"),
+        F.when(k % 2 == 1, F.concat(F.lit('<link rel="canonical" href="/c/'), k, F.lit('">'))).otherwise(F.lit("")),
+        F.when(k % 3 == 0, F.lit('<meta name="robots" content="noindex">')).otherwise(F.lit("")),
+        some(k % 4, '<script src="/a.js"></script>'), some(k % 3, '<script src="/b.js" defer></script>'), some(k % 5, '<link rel="stylesheet" href="/s.css">'),
+        F.lit("</head><body>"), F.when(k % 5 == 0, F.lit('<div class="breadcrumb">Home</div>')).otherwise(F.lit("")),
+        some(k % 3, "<h1>Part</h1>"), some(k % 6, '<img src="/i.png" alt="x" width="1" height="1">'), some(k % 4, '<img src="/j.png">'),
+        some(k % 3, '<video autoplay muted loop></video>'), some(k % 4, '<audio src="/m"></audio>'), F.when(k % 8 > 3, F.lit('<a href="/t/transcript">text</a>')).otherwise(F.lit("")),
+        some(k % 2, '<iframe src="https://www.youtube.com/embed/1"></iframe>'), some(k % 3, '<iframe src="https://other.example/f"></iframe>'), some(k % 5, '<iframe src="/own"></iframe>'),
+        F.when(k % 7 == 0, F.lit('<div class="list infinite-scroll"></div>')).when(k % 7 == 1, F.lit("<div data-load-more></div>")).otherwise(F.lit("")),
+        some(k % 3, '<a href="/doc.PDF?v=1">Price list</a>'), F.lit("<p>text</p></body></html>"),
+    ]
+    made = read(spark, sf, "part").select(k.alias("page_id"), F.concat(F.lit("https://made"), k % 4, F.lit(".example/p/"), k).alias("url"), F.concat(*parts).alias("html"))
+    return html.parse(report.with_sites(made).select("page_id", "site", "ord", "url", F.col("html").alias("raw"), "html")).withColumnRenamed("raw", "html")
+
+
+_MADE = "'https://made' || (p_partkey % 4) || '.example"
+query("html_page_meta", f"SELECT p_partkey AS page_id, 'Part ' || p_partkey AS title, CASE WHEN p_partkey % 2 = 1 THEN {_MADE}/c/' || p_partkey END AS canonical, (p_partkey % 2)::BIGINT AS canonical_count, CASE WHEN p_partkey % 3 = 0 THEN 'noindex' END AS meta_robots FROM part")(
+    lambda spark, sf: crafted_pages(spark, sf).select("page_id", F.col("page.title").alias("title"), F.col("page.canonical").alias("canonical"), F.col("page.canonical_count").alias("canonical_count"), F.col("page.meta_robots").alias("meta_robots")))
+query("html_orientation", "SELECT p_partkey AS page_id, (p_partkey % 3)::BIGINT AS h1_count, p_partkey % 5 = 0 AS breadcrumb FROM part")(
+    lambda spark, sf: crafted_pages(spark, sf).select("page_id", F.size("page.h1").cast("long").alias("h1_count"), F.col("page.breadcrumb").alias("breadcrumb")))
+query("html_transcript_link", "SELECT p_partkey AS page_id, (p_partkey % 4)::BIGINT AS n_audio, (CASE WHEN p_partkey % 8 > 3 AND p_partkey % 4 > 0 THEN 1 ELSE 0 END)::BIGINT AS n_told FROM part")(
+    lambda spark, sf: crafted_pages(spark, sf).select("page_id", F.size(F.filter("page.media", lambda m: m["kind"] == "audio")).cast("long").alias("n_audio"), F.size(F.filter("page.media", lambda m: (m["kind"] == "audio") & m["transcript"])).cast("long").alias("n_told")))
+query("html_background_video", "SELECT p_partkey AS page_id, (p_partkey % 3)::BIGINT AS n FROM part")(
+    lambda spark, sf: crafted_pages(spark, sf).select("page_id", F.size(F.filter("page.media", render.is_background)).cast("long").alias("n")))
+query("html_iframe_class", "SELECT p_partkey AS page_id, (p_partkey % 3 + p_partkey % 5)::BIGINT AS n_content, p_partkey % 3 > 0 AS cross_origin FROM part")(
+    lambda spark, sf: crafted_pages(spark, sf).select("page_id", F.size(render.content_frames()).cast("long").alias("n_content"), render.is_cross_origin(render.content_frames()).alias("cross_origin")))
+query("html_infinite_scroll", "SELECT p_partkey AS page_id, p_partkey % 7 < 2 AS marked FROM part")(
+    lambda spark, sf: crafted_pages(spark, sf).select("page_id", F.exists("page.elements", render.is_scroll_marker).alias("marked")))
+query("html_pdf_link", "SELECT p_partkey AS page_id, (p_partkey % 3)::BIGINT AS n FROM part")(
+    lambda spark, sf: crafted_pages(spark, sf).select("page_id", F.size("page.pdf_links").cast("long").alias("n")))
+query("html_perf", "SELECT p_partkey AS page_id, (p_partkey % 4)::BIGINT AS blocking_scripts, (p_partkey % 5)::BIGINT AS stylesheets, (p_partkey % 6 + p_partkey % 4)::BIGINT AS images, (p_partkey % 4)::BIGINT AS images_bare, greatest(p_partkey % 6 + p_partkey % 4 - 2, 0)::BIGINT AS images_eager FROM part")(
+    lambda spark, sf: engagement.extract(crafted_pages(spark, sf).withColumn("at", F.col("url"))).select(F.col("ord").alias("page_id"), "blocking_scripts", "stylesheets", "images", "images_bare", "images_eager"))
 query("html_mobile", "SELECT page_id, regexp_matches(html, '(?i)<meta[^>]*name=.?viewport') AS has_viewport FROM pages")(
     lambda spark, sf: parsed_pages(spark, sf).select("page_id", engagement.viewport(F.col("page.viewport"))["has_viewport"].alias("has_viewport")))
 query("html_navigation", "SELECT page_id, contains(html, '<nav') AS has_landmark, len(list_distinct(list_filter(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '<a href=\"([^\"]*)\"', 1), lambda x: x <> '')))::BIGINT AS nav_links FROM pages")(
@@ -523,8 +573,20 @@ def _(spark, sf):
 query("sd_social_rules", f"""WITH {_U.replace('u AS (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES ' + _URLS + ') t(url))', 'u AS (SELECT url FROM pages)')}, ok AS (SELECT url FROM p WHERE NOT ({_contains('lower(query)', ('q=', 'query=', 'search=', 's='))} OR regexp_matches(rtrim(lower(path), '/'), '{_anyre(fixed.UTILITY_SOCIAL)}')))
 SELECT url, 'Missing all essential Open Graph meta tags' AS title FROM ok UNION ALL SELECT url, 'Missing Twitter Card tags (twitter:card, twitter:title, twitter:description)' FROM ok""")(
     lambda spark, sf: structured.tag_rules(parsed_pages(spark, sf)).filter("title like '%Open Graph%' or title like '%Twitter%'").select("url", "title"))
-query("re_text_ratio", "SELECT page_id, true AS consistent FROM pages")(
-    lambda spark, sf: parsed_pages(spark, sf).select("page_id", ((render.text_ratio()["full_length"] > 500) | (F.length(F.regexp_replace("html", r"(?s)<(?:script|style|title).*?</(?:script|style|title)>|<[^>]*>", "")) <= 1500)).alias("consistent")))
+def sized_pages(spark, sf):
+    """Parsed pages whose navigation and main text have lengths that follow from c_custkey."""
+    k = F.col("c_custkey")
+    text = lambda n: F.repeat(F.lit("a"), n.cast("int"))
+    body = F.concat(F.lit("<html><body><nav>"), text(k % 61 * 9), F.lit("</nav><main><p>"), text(k % 47 * 13), F.lit("</p></main><footer>"), text(k % 5), F.lit("</footer></body></html>"))
+    made = read(spark, sf, "customer").select(k.alias("page_id"), F.concat(F.lit("https://sized.example/"), k).alias("url"), body.alias("html"))
+    return html.parse(report.with_sites(made).select("page_id", "site", "ord", "url", "html"))
+
+
+query("re_text_ratio", """WITH n AS (SELECT c_custkey AS page_id, c_custkey % 61 * 9 AS nav, c_custkey % 47 * 13 AS main, c_custkey % 5 AS foot FROM customer),
+f AS (SELECT *, nav + main + foot + greatest((nav > 0)::INT + (main > 0)::INT + (foot > 0)::INT - 1, 0) AS full_length FROM n)
+SELECT page_id, full_length::BIGINT AS full_length, main::BIGINT AS main_length, full_length > 0 AND main > 100 AS main_identified, full_length > 500 AND main > 100 AND round(main / full_length, 3) < 0.3 AS boilerplate FROM f""")(
+    lambda spark, sf: sized_pages(spark, sf).select("page_id", *(render.text_ratio()[c].alias(c) for c in ("full_length", "main_length", "main_identified")),
+        ((render.text_ratio()["full_length"] > 500) & render.text_ratio()["main_identified"] & (render.text_ratio()["ratio"] < 0.3)).alias("boilerplate")))
 
 
 @query("eg_viewport_rule", """WITH s AS (SELECT regexp_replace(lower(regexp_extract(url, '//([^/:?#]+)', 1)), '^www\\.', '') AS site, page_id, url FROM pages)
@@ -581,10 +643,25 @@ def _(spark, sf):
     return rows.select(findings.finding_id(F.col("skill"), F.col("check_id"), F.col("locator"), F.col("url")).alias("id"), "check_id", "severity", "url")
 
 
-query("ca_transport_rules", "SELECT * FROM (VALUES ('a', 'CA-13-tls-invalid', 'critical'), ('b', 'CA-13-tls-unverified', 'low'), ('c', 'CA-13-tls-expiring', 'high'), ('c', 'CA-13-no-https-redirect', 'medium')) t(site, check_id, severity)")(
-    lambda spark, sf: crawl.transport_rules(values(spark, "('a', true, 'bad', false, null, true), ('b', false, 'timeout', false, null, true), ('c', false, null, true, 20, false), ('d', false, null, true, 90, true)", "site, vf, err, ok, days, redirects").select("site", F.concat(F.lit("https://"), "site", F.lit("/")).alias("site_root"), F.struct(F.col("vf").alias("verification_failed"), F.col("err").cast("string").alias("error"), F.col("ok").alias("valid"), F.col("days").cast("int").alias("days_until_expiry"), F.lit("2026-10-03").alias("expires")).alias("tls"), F.col("redirects").alias("https_redirects"), F.lit(None).cast("string").alias("https_error"), F.lit("http://x/").alias("https_final_url"))).select("site", "check_id", "severity"))
-query("ca_robots_rules", "SELECT * FROM (VALUES ('a', 'CA-01-wildcard', 'critical'), ('a', 'CA-01-searchbots', 'critical'), ('a', 'CA-01-trainingbots', 'info'), ('a', 'CA-04-crawldelay', 'medium'), ('b', 'CA-01-searchbots', 'critical'), ('c', 'CA-01-trainingbots', 'info'), ('c', 'CA-04-crawldelay', 'high'), ('c', 'CA-04-crawldelay', 'high')) t(site, check_id, severity)")(
-    lambda spark, sf: crawl.robots_rules(robots.analysis(robots_bodies(spark)).withColumn("robots_url", F.concat(F.lit("https://"), "site", F.lit("/robots.txt")))).select("site", "check_id", "severity"))
+def transport(spark, sf):
+    """A TLS and redirect record a supplier: failed verification, no answer, valid for 0 to 59 days."""
+    k = F.col("s_suppkey")
+    days = F.when(k % 5 > 1, (k % 60).cast("int"))
+    tls = F.struct((k % 5 == 0).alias("verification_failed"), F.when(k % 5 == 0, "bad").when(k % 5 == 1, "timeout").alias("error"), (k % 5 > 1).alias("valid"), days.alias("days_until_expiry"), F.lit("2026-10-03").alias("expires"))
+    return read(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), k).alias("site"), F.concat(F.lit("https://s"), k, F.lit(".example/")).alias("site_root"), tls.alias("tls"), (k % 3 > 0).alias("https_redirects"),
+        F.when(k % 7 == 0, "refused").alias("https_error"), F.lit("http://x/").alias("https_final_url"),
+    )
+
+
+_TLS = """SELECT 's' || s_suppkey AS site, CASE s_suppkey % 5 WHEN 0 THEN 'CA-13-tls-invalid' WHEN 1 THEN 'CA-13-tls-unverified' ELSE 'CA-13-tls-expiring' END AS check_id,
+  CASE s_suppkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'low' ELSE 'high' END AS severity FROM supplier WHERE s_suppkey % 5 < 2 OR s_suppkey % 60 <= 30"""
+_TO_HTTPS = "SELECT 's' || s_suppkey AS site, 'CA-13-no-https-redirect' AS check_id, 'medium' AS severity FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 7 > 0"
+query("ca_transport_rules", f"{_TLS} UNION ALL {_TO_HTTPS}")(lambda spark, sf: crawl.transport_rules(transport(spark, sf)).select("site", "check_id", "severity"))
+query("src_tls", _TLS)(lambda spark, sf: crawl.transport_rules(transport(spark, sf)).filter("check_id like '%tls%'").select("site", "check_id", "severity"))
+query("src_http_to_https", _TO_HTTPS)(lambda spark, sf: crawl.transport_rules(transport(spark, sf)).filter("check_id like '%https%'").select("site", "check_id", "severity"))
+query("ca_robots_rules", per_supplier("SELECT * FROM (VALUES ('a', 'CA-01-wildcard', 'critical'), ('a', 'CA-01-searchbots', 'critical'), ('a', 'CA-01-trainingbots', 'info'), ('a', 'CA-04-crawldelay', 'medium'), ('b', 'CA-01-searchbots', 'critical'), ('c', 'CA-01-trainingbots', 'info'), ('c', 'CA-04-crawldelay', 'high'), ('c', 'CA-04-crawldelay', 'high')) t(site, check_id, severity)"))(
+    lambda spark, sf: crawl.robots_rules(robots.analysis(robots_bodies(spark, sf)).withColumn("robots_url", F.concat(F.lit("https://"), "site", F.lit("/robots.txt")))).select("site", "check_id", "severity"))
 query("html_challenge", "SELECT * FROM (VALUES (1, true, 'cloudflare'), (2, true, 'cloudflare'), (3, true, 'js_redirect'), (4, false, NULL), (5, true, 'captcha')) t(k, detected, provider)")(
     lambda spark, sf: values(spark, "(1, '<title>Just a moment...</title>', 200, ''), (2, 'no', 403, 'cloudflare'), (3, '<script>window.location=1</script>', 200, ''), (4, '<p>fine</p>', 200, 'cloudflare'), (5, '<div class=g-recaptcha>', 200, '')", "k, body, status, server").select("k", crawl.challenge(F.col("body"), F.create_map(F.lit("server"), F.col("server"), F.lit("cf-ray"), F.lit("")), F.col("status")).alias("c")).select("k", "c.detected", "c.provider"))
 query("html_soft404", "SELECT * FROM (VALUES (1, NULL), (2, NULL), (3, 'Title contains ''not found'''), (4, 'Body contains ''does not exist'''), (5, NULL)) t(k, rule)")(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import fixed, text, urls
 from auditlake.operators import findings, robots, selection, sitemaps
+from auditlake.operators.store import fresh_path
 from auditlake.sources import html, tables
 
 from . import catalog, crawl, engagement, freshness, render, report, structured
@@ -27,22 +28,25 @@ query("src_audit_robots", "SELECT * FROM (VALUES ('a', 'enforced'), ('b', 'unava
     lambda spark, sf: robots.policy(values(spark, "('a', 200, 'x'), ('b', 404, ''), ('c', 503, ''), ('d', null, ''), ('e', 403, '')", "site, status, body")).select("site", "policy"))
 query("src_html_raw", "SELECT page_id, length(html) > 0 AS has_html, contains(html, '<article') AS has_article FROM pages")(
     lambda spark, sf: parsed_pages(spark, sf).select("page_id", (F.length("html") > 0).alias("has_html"), F.col("page.has_article").alias("has_article")))
-query("src_body_cap", "SELECT page_id, least(length(html), 3000) AS n FROM pages")(
-    lambda spark, sf: read(spark, sf, "pages").select("page_id", F.length(F.substring("html", 1, 3000)).cast("long").alias("n")))
+query("src_body_cap", "SELECT page_id, least(strlen(html) * CASE WHEN page_id % 500 = 0 THEN 4000 ELSE 1 END, 3000000)::BIGINT AS n FROM pages WHERE html IS NOT NULL")(
+    lambda spark, sf: read(spark, sf, "pages").filter("html is not null").select("page_id", F.octet_length(tables.capped(F.repeat("html", F.when(F.col("page_id") % 500 == 0, 4000).otherwise(1)))).cast("long").alias("n")))
 query("src_ref_json", "SELECT * FROM (VALUES ('search_bot', 10), ('training_bot', 12)) t(category, n)")(
     lambda spark, sf: robots.bots(spark).groupBy("category").agg(F.count("*").cast("int").alias("n")))
 query("src_engagement", "SELECT page_id, split_part(url, '#', 1) AS url FROM pages QUALIFY row_number() OVER (PARTITION BY split_part(url, '#', 1) ORDER BY page_id) = 1")(
     lambda spark, sf: read(spark, sf, "pages").groupBy(urls.defrag(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id")).select("page_id", "url"))
 query("src_http_get", "SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL")(
     lambda spark, sf: read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id")))
-query("src_http_to_https", f"WITH {_U} SELECT url, scheme = 'https' AS secure FROM p")(
-    lambda spark, sf: url_rows(spark, sf).select("url", (urls.scheme(F.col("url")) == "https").alias("secure")))
 query("sink_report_json", f"WITH {_FINDINGS_SQL} SELECT site, count(*) AS n, min(id) AS least_id FROM collapsed GROUP BY site")(
     lambda spark, sf: (lambda found: findings.report(found, found.select("site").distinct().withColumn("audited_at", F.lit("2026-09-13T00:00:00Z")).withColumn("pages_audited", F.lit(1))))(derived_findings(spark, sf))
     .select("site", F.from_json(F.to_json(F.struct("summary", "findings")), "summary struct<total_findings: bigint>, findings array<struct<id: string>>").alias("r"))
     .select("site", F.col("r.summary.total_findings").alias("n"), F.array_min("r.findings.id").alias("least_id")))
-query("src_json_files", "SELECT * FROM (VALUES ('claims', 6), ('pages', 7), ('robots', 3), ('sitemaps', 3)) t(kind, n_fields)")(
-    lambda spark, sf: spark.createDataFrame([(k, len(spark.createDataFrame([], s).columns)) for k, s in tables.SCHEMAS.items()], "kind string, n_fields int"))
+@query("src_json_files", "SELECT page_id, url, 200 AS status_code, strlen(html)::BIGINT AS size, last_modified IS NULL AS unset FROM (SELECT *, NULL AS last_modified FROM pages)")
+def _(spark, sf):
+    # the pages, written as JSON lines into the shared folder and read back by the reader of that kind
+    path = fresh_path(spark)
+    read(spark, sf, "pages").select("page_id", "url", F.lit(200).alias("status_code"), "html").write.json(path)
+    return tables.read_json(spark, path, "pages", lines=True).select("page_id", "url", "status_code", F.octet_length("html").cast("long").alias("size"), F.col("last_modified").isNull().alias("unset"))
+
 
 # --- filters and predicates ---------------------------------------------------------------------
 
@@ -104,7 +108,7 @@ query("html_visible_cues", "SELECT * FROM (VALUES (1, '10 USD', 'USD', 'in stock
 query("agg_hsts_missing", f"WITH {_FETCH_SQL} SELECT site, arg_min(url, event_id) AS url, count(*) || ' page(s) without HSTS' AS observed FROM fetched WHERE error IS NULL AND hsts IS NULL GROUP BY site")(
     lambda spark, sf: crawl.page_rules(fetch_log(spark, sf)).filter("check_id = 'CA-13-hsts'").select("site", "url", "observed"))
 query("agg_blocked_bots", "SELECT * FROM (VALUES ('b', 'chatgpt-user')) t(site, bots)")(
-    lambda spark, sf: robots.analysis(robots_bodies(spark)).filter("site = 'b'").select("site", F.array_join("search_blocked", ", ").alias("bots")))
+    lambda spark, sf: robots.analysis(values(spark, "('b', 'User-agent: ChatGPT-User\\nDisallow: /')", "site, body")).select("site", F.array_join("search_blocked", ", ").alias("bots")))
 query("agg_bot_paths", "SELECT * FROM (VALUES ('Blocked crawler/path pairs: bingbot: /docs, /pricing')) t(observed)")(
     lambda spark, sf: crawl.robots_rules(robots.analysis(spark.createDataFrame([("s", "User-agent: bingbot\nDisallow: /pricing\nDisallow: /docs\nDisallow: /search")], "site string, body string")).withColumn("robots_url", F.lit("r"))).filter("check_id = 'CA-02-critpath'").select("observed"))
 query("agg_text_ratio", "SELECT * FROM (VALUES (1, 17, 9, 7, 0.529)) t(page_id, full_length, main_length, boilerplate_length, ratio)")(
@@ -114,8 +118,6 @@ query("agg_cta_counts", "SELECT * FROM (VALUES (1, 4, 2, 1)) t(page_id, ctas, ct
 query("agg_perf_counts", "SELECT * FROM (VALUES (1, 1, 1, 2, 2, 3, 1, 1)) t(page_id, blocking_scripts, stylesheets, third_parties, images_bare, images, images_later, images_eager)")(
     lambda spark, sf: engagement.extract(pages_of(spark, (1, "https://a.example/1", "<head><script src=https://cdn.example/a.js></script><script async src=/b.js></script><script type=module src=/c.js></script><link rel=stylesheet href=https://f.example/x.css></head><img src=/1><img src=/2 width=1 height=1><img src=https://s.a.example/3>")).withColumn("at", F.col("url")))
     .select(F.col("ord").cast("int").alias("page_id"), *[F.col(c).cast("int").alias(c) for c in ("blocking_scripts", "stylesheets", "third_parties", "images_bare", "images", "images_later", "images_eager")]))
-query("html_perf", "SELECT page_id, 0::BIGINT AS blocking_scripts, 0::BIGINT AS images FROM pages WHERE NOT contains(html, '<img')")(
-    lambda spark, sf: engagement.extract(parsed_pages(spark, sf).withColumn("at", F.col("url"))).filter("images = 0").select(F.col("ord").alias("page_id"), "blocking_scripts", "images"))
 query("win_section_diversity", "SELECT * FROM (VALUES ('https://a/blog/1', 1), ('https://a/news/1', 2), ('https://a/blog/2', 3)) t(url, place)")(
     lambda spark, sf: selection.ranked(values(spark, "('https://a/blog/1'), ('https://a/blog/2'), ('https://a/news/1')", "url").withColumn("site", F.lit("a"))).select("url", F.col("place").cast("int").alias("place")))
 query("win_longest_match", "SELECT * FROM (VALUES ('/a/b', true), ('/a/b/c', false), ('/x', false)) t(path, blocked)")(
@@ -157,8 +159,6 @@ query("html_site_search", "SELECT page_id, contains(lower(html), 'type=\"search\
     lambda spark, sf: parsed_pages(spark, sf).select("page_id", (F.col("page.search.inputs") > 0).alias("has_search")))
 query("html_spa_shell", "SELECT * FROM (VALUES (1, 'high')) t(page_id, severity)")(
     lambda spark, sf: render.compile_findings(pages_of(spark, (1, "https://a/1", "<script src=/a.js></script><div id=root></div>"), (2, "https://a/2", "<div id=root>" + "w " * 200 + "</div>"))).filter("check_id = 'RE-02-shell'").select(F.substring_index("url", "/", -1).cast("int").alias("page_id"), "severity"))
-query("html_pdf_link", "SELECT * FROM (VALUES (1, 'https://a/x.PDF?v=1')) t(page_id, href)")(
-    lambda spark, sf: pages_of(spark, (1, "https://a/1", "<a href='/x.PDF?v=1'>p</a><a href=/pdf>q</a>")).select(F.col("page_id").cast("int").alias("page_id"), F.array_join("page.pdf_links.href", ",").alias("href")))
 query("html_context_retention", "SELECT * FROM (VALUES (1, true), (2, true), (3, false)) t(k, retains)")(
     lambda spark, sf: engagement.extract(pages_of(spark, (1, "https://a/1", "<a href=/w>Wishlist</a>"), (2, "https://a/2", "<script>localStorage.x=1</script>"), (3, "https://a/3", "<a href=/x>y</a>")).withColumn("at", F.col("url"))).select(F.col("ord").cast("int").alias("k"), "retains"))
 query("json_context_valid", "SELECT * FROM (VALUES (1, 1), (2, 0), (3, 0)) t(page_id, n)")(

@@ -140,6 +140,21 @@ def is_scroll_marker(element: Column) -> Column:
     return by_data | urls.contains_any(F.lower(F.coalesce(element["class"], F.lit(""))), SCROLL_CLASSES)
 
 
+def is_background(medium: Column) -> Column:
+    """A video that only decorates."""
+    return (medium["kind"] == "video") & medium["autoplay"] & medium["muted"] & medium["loop"] & ~medium["controls"]
+
+
+def content_frames() -> Column:
+    """Frames that may hold content: not those of known players, maps, widgets and trackers."""
+    return F.filter("page.iframes", lambda f: (F.length(f["src"]) > 0) & ~urls.contains_any(F.lower(f["src"]), CLOSED_FRAMES))
+
+
+def is_cross_origin(frames: Column) -> Column:
+    own = F.lower(urls.netloc(F.col("url")))
+    return F.exists(frames, lambda f: F.when(urls.netloc(f["src"]) != "", F.lower(urls.netloc(f["src"])) != own).otherwise(f["src"].rlike("^(about|javascript):")))
+
+
 def text_segments(raw: Column, rendered: Column) -> Column:
     """Runs of rendered words that the raw text lacks, longer than three characters, joined by ' [...] '.
 
@@ -191,11 +206,9 @@ def compile_findings(pages: DataFrame, rendered: DataFrame | None = None) -> Dat
     no_facts = F.size(key_facts(p("full_text"))) == 0
     canvas = F.filter(p("canvases"), lambda x: ~x["fallback"])
     named = lambda x: F.lower(F.concat_ws(" ", F.coalesce(x["id"], F.lit("")), F.coalesce(x["class"], F.lit(""))))
-    background = lambda m: (m["kind"] == "video") & m["autoplay"] & m["muted"] & m["loop"] & ~m["controls"]
-    silent = F.filter(p("media"), lambda m: ~background(m) & ~m["captions"] & ~m["transcript"])
-    frames = F.filter(p("iframes"), lambda f: (F.length(f["src"]) > 0) & ~urls.contains_any(F.lower(f["src"]), CLOSED_FRAMES))
-    own = F.lower(urls.netloc(c("url")))
-    cross = F.exists(frames, lambda f: F.when(urls.netloc(f["src"]) != "", F.lower(urls.netloc(f["src"])) != own).otherwise(f["src"].rlike("^(about|javascript):")))
+    silent = F.filter(p("media"), lambda m: ~is_background(m) & ~m["captions"] & ~m["transcript"])
+    frames = content_frames()
+    cross = is_cross_origin(frames)
     markers = F.filter(p("elements"), is_scroll_marker)
     more = F.coalesce(c("load_more"), F.lit(0))
     ligatures = F.filter(p("elements"), lambda e: icon_library(e["class"]) == "material_icons")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGES = "page_id long, url string, final_url string, status_code int, content_type string, last_modified string, html string"
@@ -12,9 +12,21 @@ CLAIMS = "site string, ord long, type string, value string, status string, exter
 SCHEMAS = {"pages": PAGES, "robots": ROBOTS, "sitemaps": SITEMAPS, "claims": CLAIMS}
 
 
-def read_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A JSON or JSON-lines file of one of the kinds of SCHEMAS; missing fields are null."""
-    return spark.read.schema(SCHEMAS[kind]).option("multiLine", True).json(path)
+#: Bytes of a response body that are read.
+BODY_BYTES = 3_000_000
+
+
+def read_json(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """JSON files of one of the kinds of SCHEMAS: a value or an array a file, or with `lines` a value a line.
+
+    Missing fields are null. Files of lines are split among tasks; a file of one value is read by one.
+    """
+    return spark.read.schema(SCHEMAS[kind]).option("multiLine", not lines).json(path)
+
+
+def capped(body: Column, most: int = BODY_BYTES) -> Column:
+    """The first `most` bytes of a body; a character that the cap cuts becomes a replacement character."""
+    return F.when(F.octet_length(body) <= most, body).otherwise(F.decode(F.substring(F.encode(body, "UTF-8"), 1, most), "UTF-8"))
 
 
 def skill_json(findings: DataFrame) -> DataFrame:

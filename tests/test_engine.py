@@ -374,3 +374,16 @@ def test_the_issue_of_many_pages_names_six(spark):
     assert row.observed == "o  Affects 5000 pages: " + ", ".join(f"https://s.example/{i}" for i in range(6)) + " …."
     plan = findings.collapse(made)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_dates_without_an_offset_are_utc(spark):
+    given_dates = ("2026-01-02", "2026-01-02T03:04:05", "January 2, 2026", "2 Jan 2026", "2026-01-02T03:04:05+02:00", "Fri, 02 Jan 2026 03:04:05 GMT")
+    rows = spark.createDataFrame([(d,) for d in given_dates], "d string")
+    seconds = lambda: [tuple(r) for r in rows.select(F.unix_timestamp(text.parse_date(F.col("d"))), F.unix_timestamp(text.parse_lastmod(F.col("d")))).collect()]
+    utc, zone = seconds(), spark.conf.get("spark.sql.session.timeZone")
+    assert utc[0][0] == 1767312000 and utc[1][0] == utc[5][0] == 1767323045
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert seconds() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
