@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import sql
 from .chat import op9_chat_formatting
 from .decontaminate import op3_decontamination
@@ -30,8 +28,6 @@ QUERIES = {
         op9_chat_formatting,
         op10_lm_scoring,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 #: SQL where it can express the result; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = dict(sql.ORACLES)
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
