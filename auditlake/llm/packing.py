@@ -4,7 +4,9 @@ Method: hierarchical residual packing. Each partition tokenises its documents an
 pieces by best fit, longest first. Bins that are nearly full are emitted. The others become the
 items of the next round, in which fewer partitions, each fed by several earlier ones, pack bins
 into bins by the same best fit, until one partition holds what is left. Only the rows of open
-bins (a few numbers per piece) are shuffled; text and ids are not.
+bins (a few numbers per piece) are shuffled; text and ids are not. Where there are more open bins
+than a task may get and a round combines almost none, the next one deals bins that hold f together
+with bins that have f free; if that combines almost none either, the bins stay as they are.
 
 Defined results: a null or empty text is one piece with the end id alone; repeated rows and
 repeated or null doc_ids are packed as rows of their own; an empty table gives no rows; extra
@@ -154,6 +156,13 @@ def _merge_round(batches, level, capacity, last):
     yield _Emitter(level, capacity, last).emit(columns, group, table["offset"].to_numpy(), sizes)
 
 
+def _mates(opened: DataFrame, capacity: int, parts: int) -> DataFrame:
+    """opened, dealt so that bins that hold f and bins that have f free stand together."""
+    fills = opened.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
+    mate = F.least("fill", F.lit(capacity) - F.col("fill"))
+    return opened.join(fills, "sequence_id").repartitionByRange(parts, mate, "sequence_id").select(opened.columns)
+
+
 def pack(
     docs: DataFrame,
     capacity: int = 2048,
@@ -173,7 +182,7 @@ def pack(
 
     table = materialise(source.mapInArrow(first, schema), "packed")
     results = [table.filter("closed")]
-    parts, before, level = None, None, 1
+    parts, before, level, paired = None, None, 1, False
     while True:
         opened = table.filter("not closed")
         bins, sources = opened.filter("offset = 0").agg(F.count("*"), F.countDistinct(F.shiftright("sequence_id", 28))).first()
@@ -181,16 +190,19 @@ def pack(
             break
         level += 1
         parts = max(-(-(parts or sources) // FAN_IN), -(-bins // MERGE_ITEMS), 1)
-        stuck = before is not None and bins > 0.99 * before and parts > 1
-        last = parts == 1 or stuck
-        if stuck:  # what is left does not combine: bins over half of the capacity
+        last = parts == 1
+        # many bins that no longer combine where they are: bins that would fill one another are brought together
+        stuck = before is not None and bins > 0.99 * before and not last
+        if stuck and paired:
             results.append(opened)
             break
+        paired = stuck
 
         def merge(batches, level=level, last=last):
             return _merge_round(batches, level, capacity, last)
 
-        table = materialise(opened.repartition(parts, "sequence_id").mapInArrow(merge, schema), "packed")
+        dealt = _mates(opened, capacity, parts) if stuck else opened.repartition(parts, "sequence_id")
+        table = materialise(dealt.mapInArrow(merge, schema), "packed")
         results.append(table.filter("closed"))
         before = bins
         if last:

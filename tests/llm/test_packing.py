@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from auditlake.llm.packing import best_fit, cut, pack
@@ -121,3 +122,26 @@ def test_pieces_that_share_a_hash(monkeypatch):
     for _ in range(2):
         ids, offsets = own.encode(texts)
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bins_that_fill_one_another_meet(spark):
+    """Bins of two pieces: those that hold f stand with those that have f free, and no bin is divided."""
+    from auditlake.llm.packing import _mates
+
+    fills = [100 + 7 * k for k in range(120)]
+    bins = list(enumerate([*fills, *(2048 - f for f in fills)]))
+    rows = [(b, at, n) for b, f in bins for at, n in ((0, f // 2), (f // 2, f - f // 2))]
+    opened = spark.createDataFrame(rows, "sequence_id long, offset long, length long").repartition(9)
+    part = F.spark_partition_id().alias("part")
+    found = _mates(opened, 2048, 8).select("sequence_id", part).distinct().collect()
+    place = {r.sequence_id: r.part for r in found}
+    assert len(found) == len(bins) and len(set(place.values())) > 4
+    apart = sum(place[k] != place[k + len(fills)] for k in range(len(fills)))
+    assert apart <= 8  # only where a range ends
+
+
+def test_many_open_bins_end(documents, texts, monkeypatch):
+    from auditlake.llm import packing
+
+    monkeypatch.setattr(packing, "MERGE_ITEMS", 4)
+    check(pack(documents.repartition(12)).collect(), texts.items())
