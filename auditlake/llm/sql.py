@@ -73,7 +73,36 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length('<|turn|>') + length(replace({_escaped("role")}, chr(10), '\\n')) + 1 + length({_escaped("text")}) + length('<|end|>') + 1)::BIGINT AS formatted_chars, bool_and(good) AS valid
 FROM v GROUP BY conv_id"""
 
+COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM w, unnest(range(1, 5)) x(k), unnest(range(1, len(ws) - k + 2)) y(i) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, (2000000 * c.a::HUGEINT) // (x.f + y.f) AS score FROM c, unnest(range(1, c.k)) t(cut)
+  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:cut], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+parts AS (SELECT lang, a, array_to_string(ws[i:i + size - 1], ' ') AS phrase FROM c, unnest(range(2, k)) s(size), unnest(range(1, k - size + 2)) t(i)),
+within AS (SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN within USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS us FROM d),
+n AS (SELECT *, len(us) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p"""
+
 ORACLES = {
+    "op11_collocations": COLLOCATIONS,
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
     "op3_decontamination": DECONTAMINATION,
     "op6_quality_rules": QUALITY,
     "op7_ngram_jaccard": JACCARD,
