@@ -59,11 +59,46 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Places of a span whose numbers are looked up; beyond them they are computed.
+_PLACES = 64
+_SEED = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of spans that are hashed at once.
+_AT_ONCE = 1 << 20
+
+
+def _numbers(at: np.ndarray) -> np.ndarray:
+    return mix(at.astype(np.uint64) * BASE + _SEED)
+
+
+_LOOKUP = _numbers(np.arange(_PLACES << 8))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end): equal bytes, equal hash."""
-    up, down = powers(len(data) + 1)
-    sums = prefix((data.astype(np.uint64) + np.uint64(1)) * up[:-1])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte spans [start, end): equal bytes, equal hash.
+
+    Tabulation: every byte at every place of a span has a number of its own, and a span's hash is
+    mixed from their sum. Unlike a polynomial, no pattern of letters makes terms cancel.
+    """
+    lengths = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    filled = np.flatnonzero(lengths > 0)
+    begin, whole = 0, np.cumsum(lengths[filled])
+    while begin < len(filled):
+        until = max(begin + 1, int(np.searchsorted(whole, (whole[begin - 1] if begin else 0) + _AT_ONCE, "right")))
+        some = filled[begin:until]
+        size = lengths[some]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        key = (place << 8) | data[place + np.repeat(starts[some], size)]
+        if size.max() <= _PLACES:
+            values = _LOOKUP[key]
+        else:
+            values = _LOOKUP[np.minimum(key, len(_LOOKUP) - 1)]
+            far = np.flatnonzero(place >= _PLACES)
+            values[far] = _numbers(key[far])
+        out[some] = np.add.reduceat(values, first)
+        begin = until
+    return mix(out + lengths.astype(np.uint64))
 
 
 class Words:

@@ -71,9 +71,10 @@ class PieceTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text)."""
-        odd = np.array([_max(t) >= LIMIT or any(a in t for a in self.added) for t in texts], bool)
+        split = [t.lower() for t in texts] if self.words else texts  # capitals below the limit may have small letters beyond it
+        odd = np.array([_max(s) >= LIMIT or any(a in t or a in s for a in self.added) for s, t in zip(split, texts, strict=True)], bool)
         plain = np.flatnonzero(~odd)
-        some = [texts[i].lower() if self.words else texts[i] for i in plain]
+        some = [split[i] for i in plain]
         found = self._pieces("".join(some), prefix(np.array([len(t) for t in some], np.int64)))
         if found is None:  # two pieces share a hash
             odd[:] = True
