@@ -28,13 +28,6 @@ def fetch_status(status: Column, content_type: Column, body: Column, text_length
     )
 
 
-def _unique(links: Column) -> Column:
-    """First link of each target; anchors, scripts, mail and phone links left out."""
-    held = F.filter(links, lambda a: (a["href"] != "") & ~F.lower(a["href"]).rlike(r"^(#|javascript:|mailto:|tel:)"))
-    targets = F.transform(held, lambda a: a["full"])
-    return F.filter(held, lambda a, i: F.array_position(targets, a["full"]) == i + 1)
-
-
 def _destination(links: Column, terms: tuple[str, ...]) -> Column:
     words = "|".join(t.replace("-", r"\-") for t in terms)
     pattern = rf"(?iU)(?:^|[\W_-])(?:{words})(?:$|[\W_-])"
@@ -72,11 +65,10 @@ def extract(parsed: DataFrame) -> DataFrame:
     url = F.col("at")
     hints = F.concat_ws(" ", F.lower(urls.path(url)), p("body_class"), F.lower(p("title")))
     kind, _ = profile(hints, p("has_article"))
-    # the containers are landmarks if there are any, else menus by class, else the header's links
-    in_landmark = F.filter(p("anchors"), lambda a: a["nav"] > 0)
-    in_menu = F.filter(p("anchors"), lambda a: a["menu"] > 0)
-    container = F.when(p("nav_landmarks") > 0, in_landmark).otherwise(in_menu)
-    primary = F.when(F.size(container) > 0, container).otherwise(F.filter(p("anchors"), lambda a: a["header"]))
+    # the containers are landmarks if there are any, else menus by class, else the header's links; the parse marks each target's first link there
+    of = lambda flag: F.filter(p("anchors"), lambda a: a[flag])
+    held = F.when(p("nav_landmarks") > 0, F.exists(p("anchors"), lambda a: a["nav"] > 0)).otherwise(F.exists(p("anchors"), lambda a: a["menu"] > 0))
+    primary = F.when(held, F.when(p("nav_landmarks") > 0, of("first_nav")).otherwise(of("first_menu"))).otherwise(of("first_header"))
     images, later = p("images"), F.slice(p("images"), F.lit(3), F.greatest(F.size(p("images")), F.lit(0)))
     bare = F.filter(images, lambda i: ~((F.length(i["width"]) > 0) & (F.length(i["height"]) > 0)) | i["width"].isNull() | i["height"].isNull())
     eager = F.filter(later, lambda i: F.lower(F.coalesce(i["loading"], F.lit(""))) != "lazy")
@@ -93,7 +85,7 @@ def extract(parsed: DataFrame) -> DataFrame:
     retention = "|".join(x.replace("-", "[-_ ]?") for x in fixed.RETENTION)
     account = F.exists(p("anchors"), lambda a: a["href"].rlike(r"(?i)/(?:account|profile|login|signin)(?:/|$)"))
     view = viewport(p("viewport"))
-    first = parsed.select("site", "ord", "url", "at", "page", _unique(p("anchors")).alias("_links"), _unique(primary).alias("_primary"), ctas.alias("_ctas"))
+    first = parsed.select("site", "ord", "url", "at", "page", of("first").alias("_links"), primary.alias("_primary"), ctas.alias("_ctas"))
     n = lambda c: F.size(c).cast("long")
     labels = F.array_sort(F.array_distinct(F.filter(F.transform("_primary", lambda a: F.lower(F.trim(a["text"]))), lambda t: t != "")))
     return first.select(

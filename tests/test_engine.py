@@ -1,6 +1,7 @@
 """Behaviour on crafted inputs: the contract, the policies, each skill's rules, the report."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -296,6 +297,40 @@ def test_stream(spark, sf_dir, tmp_path):
     assert rows.count() > 0 and rows.filter("title = 'Missing meta description tag'").count() == 6
 
 
+HOSTILE = {
+    "links": "<a href=x>" * 100_000, "menus": '<div class="menu">' * 100_000 + "<a href=x>x</a>" * 100, "figures": "<figure><img src=x>" * 100_000 + "<figcaption>c", "headings": "<h1>t" * 25_000,
+    "headings deep": "<div><h2>t" * 12_000, "buttons": "<button class=search>x" * 12_000, "headers": "<header class='nav menu'>" * 12_000 + "<a href=y>" * 1000, "templates": "<template>x" * 12_000,
+    "unmatched": "<div>" * 25_000 + "</p>" * 25_000, "footers": "<footer><nav>" * 12_000 + "<a href=q.pdf>z" * 8_000, "captions": "<figure><figcaption>x" * 12_000 + "<img>" * 8_000, "comments": "<!--" * 25_000 + "<p>",
+    "comments apart": "<!--<p>" * 12_000, "sections": "<![CDATA[<p>" * 12_000, "end tags": "</x" * 25_000, "start tags": "<a " * 25_000, "script": "<script>" + "</" * 25_000, "media": "<video><track><a href=transcript>" * 8_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_parse_is_linear(name):
+    page, seconds = HOSTILE[name], []
+    for part in (page[: len(page) // 4], page):
+        began = time.process_time()
+        assert html.facts("https://x.example/", part)["error"] is None
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 20 and seconds[1] < 8 * seconds[0] + 1  # four times the page; the square would be sixteen times
+
+
+def test_unclosed_elements_and_ancestors():
+    page = """<header><div class="menu nav"><a href="/1">one<a href="/1">again</div><a href=/h>h</a></header><nav><a href="/1#f">1</a><nav><a href="/2">2 <b>bold</b></nav></nav>
+    <footer><nav><a href="/3">3</a></nav></footer><footer><nav><a href="mailto:x">m</a></nav></footer><h1>a<h1>b</h1><template><h1>t</h1></template>
+    <figure><figure><img src=i></figure><figcaption>cap</figcaption></figure><script type=x>s < 1</script> tail < 3 <b"""
+    found = html.signals("https://x.example/", page)
+    of = lambda f: [a[f] for a in found["anchors"]]
+    assert of("text") == ["one", "again", "h", "1", "2 bold", "3", "m"]
+    assert of("nav") == [0, 0, 0, 1, 2, 0, 1] and of("menu") == [1, 1, 0, 0, 0, 0, 0]
+    assert of("header") == [True] * 3 + [False] * 4 and of("footer") == [False] * 5 + [True, False]
+    assert of("first") == [True, False, True, False, True, True, False]
+    assert of("first_nav") == [False, False, False, True, True, False, False] and of("first_menu") == [True] + [False] * 6
+    assert of("first_header") == [True, False, True] + [False] * 4
+    assert found["h1"] == ["a", "b", "t"] and found["images"][0]["figcaption"] is None  # the caption stands outside the inner figure
+    assert found["full_text"].endswith("cap tail < 3 <b") and found["script_text"] == "s < 1"
+
+
 def test_hostile_pages(spark):
     """Pages that break careless parsers keep their row; 5,000 media take linear time."""
     import time
