@@ -40,6 +40,49 @@ def defrag(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)#.*$", "")
 
 
+_ABSOLUTE = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def join(base: Column, reference: Column) -> Column:
+    """The address that a reference on the page `base` (http or https) means, by RFC 3986, section 5.
+
+    Dot segments are folded over a stack of segments. Tabs and line breaks and leading blanks of a reference
+    count for nothing, as do an empty query and an empty fragment; empty segments inside a path that is relative to
+    the page's are dropped. A reference of another scheme is kept as it is. Null if either is null.
+    """
+    ref = F.regexp_replace(F.regexp_replace(reference, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    part = lambda text, k: F.regexp_extract(text, _ABSOLUTE, k)
+    scheme_, place, given = F.lower(part(ref, 1)), part(ref, 2), part(ref, 3)
+    own = F.lower(part(base, 1))
+    cut = F.split(part(base, 3), "/")
+    above = F.when(F.element_at(cut, -1) == "", cut).otherwise(F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0))))
+    named = F.split(given, "/")
+    joined_ = F.concat(above, named)
+    last = F.element_at(named, -1)
+    inner = F.filter(F.slice(joined_, 2, F.greatest(F.size(joined_) - 2, F.lit(0))), lambda x: x != "")
+    below = F.when(F.size(joined_) < 2, joined_).otherwise(F.concat(F.slice(joined_, 1, 1), inner, F.array(last)))
+    segments_ = F.when(given.startswith("/"), named).otherwise(below)
+    folded = F.aggregate(
+        segments_,
+        F.array().cast("array<string>"),
+        lambda stack, x: F.when(x == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).when(x == ".", stack).otherwise(F.array_append(stack, x)),
+    )
+    resolved = F.array_join(F.when(last.isin(".", ".."), F.array_append(folded, F.lit(""))).otherwise(folded), "/")
+    rooted = lambda path_: F.when((path_ == "") | path_.startswith("/"), path_).otherwise(F.concat(F.lit("/"), path_))
+    tail = lambda mark, text: F.when(text == "", F.lit("")).otherwise(F.concat(F.lit(mark), text))
+    fragment = tail("#", part(ref, 5))
+    there = F.concat(own, F.lit("://"), part(base, 2))
+    same = (scheme_ == "") | (scheme_ == own)
+    return (
+        F.when(base.isNull() | reference.isNull(), F.lit(None))
+        .when(reference == "", base)
+        .when(~same, reference)
+        .when(place != "", F.concat(own, F.lit("://"), place, rooted(given), tail("?", part(ref, 4)), fragment))
+        .when(given == "", F.concat(there, rooted(part(base, 3)), F.when(part(ref, 4) == "", tail("?", part(base, 4))).otherwise(tail("?", part(ref, 4))), fragment))
+        .otherwise(F.concat(there, rooted(F.when(resolved == "", F.lit("/")).otherwise(resolved)), tail("?", part(ref, 4)), fragment))
+    )
+
+
 def registered_host(url: Column) -> Column:
     return F.regexp_replace(host(url), r"^www\.", "")
 

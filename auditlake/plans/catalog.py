@@ -446,10 +446,6 @@ query("set_except_orphans", "SELECT 'n' || c_nationkey AS site, 'https://n' || c
         read(spark, sf, "customer").select("c_custkey", F.concat(F.lit("n"), "c_nationkey").alias("site"), F.concat(F.lit("https://n"), "c_nationkey", F.lit(".example/"), "c_custkey").alias("url"))))
 
 
-query("graph_redirect_chain", "SELECT * FROM (VALUES ('a', 'c', 2, false, false), ('c', 'c', 0, false, false), ('x', 'y', 2, true, false), ('k0', 'k11', 11, false, true)) t(url, final_url, hops, looped, too_long)")(
-    lambda spark, sf: graph.redirect_chains(values(spark, "('a'), ('c'), ('x'), ('k0')", "url"), values(spark, "('a', 'b'), ('b', 'c'), ('x', 'y'), ('y', 'x')", "src, dst").unionByName(spark.range(14).select(F.concat(F.lit("k"), F.col("id")).alias("src"), F.concat(F.lit("k"), F.col("id") + 1).alias("dst")))))
-
-
 @query("graph_confidence", f"{_BFS_SQL} SELECT site, CASE WHEN count(*) >= 50 OR max(depth) >= 6 THEN 'bounded_crawl' ELSE 'high' END AS confidence FROM reached GROUP BY site")
 def _(spark, sf):
     return graph.crawl_confidence(crawled(spark, sf), 50, 6)
@@ -727,7 +723,7 @@ query("html_page_profile", "SELECT * FROM (VALUES (1, 'editorial'), (2, 'commerc
 query("set_jaccard_nav", "SELECT * FROM (VALUES (1, 0.5), (2, 0.0)) t(k, share)")(
     lambda spark, sf: values(spark, "(1, array('a', 'b', 'c'), array('b', 'c', 'd')), (2, array('a'), array('b'))", "k, a, b").select("k", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("share")))
 
-from . import catalog_more  # noqa: E402, F401  registers the rest
+from . import catalog_fetch, catalog_more  # noqa: E402, F401  registers the rest
 
 
 # --- untrusted pages ----------------------------------------------------------------------------

@@ -34,8 +34,6 @@ query("src_ref_json", "SELECT * FROM (VALUES ('search_bot', 10), ('training_bot'
     lambda spark, sf: robots.bots(spark).groupBy("category").agg(F.count("*").cast("int").alias("n")))
 query("src_engagement", "SELECT page_id, split_part(url, '#', 1) AS url FROM pages QUALIFY row_number() OVER (PARTITION BY split_part(url, '#', 1) ORDER BY page_id) = 1")(
     lambda spark, sf: read(spark, sf, "pages").groupBy(urls.defrag(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id")).select("page_id", "url"))
-query("src_http_get", "SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL")(
-    lambda spark, sf: read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id")))
 query("sink_report_json", f"WITH {_FINDINGS_SQL} SELECT site, count(*) AS n, min(id) AS least_id FROM collapsed GROUP BY site")(
     lambda spark, sf: (lambda found: findings.report(found, found.select("site").distinct().withColumn("audited_at", F.lit("2026-09-13T00:00:00Z")).withColumn("pages_audited", F.lit(1))))(derived_findings(spark, sf))
     .select("site", F.from_json(F.to_json(F.struct("summary", "findings")), "summary struct<total_findings: bigint>, findings array<struct<id: string>>").alias("r"))
