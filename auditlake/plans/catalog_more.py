@@ -22,8 +22,6 @@ def pages_of(spark, *rows):
 
 # --- sources and sinks --------------------------------------------------------------------------
 
-query("src_page_set", f"""WITH {_FETCH_SQL} SELECT url, status IS NOT NULL AND status = 200 AS ok FROM fetched""")(
-    lambda spark, sf: fetch_log(spark, sf).select("url", F.coalesce(F.col("status_code") == 200, F.lit(False)).alias("ok")))
 query("src_audit_robots", "SELECT * FROM (VALUES ('a', 'enforced'), ('b', 'unavailable-allow'), ('c', 'unavailable-fail-closed'), ('d', 'unavailable-fail-closed'), ('e', 'unavailable-allow')) t(site, policy)")(
     lambda spark, sf: robots.policy(values(spark, "('a', 200, 'x'), ('b', 404, ''), ('c', 503, ''), ('d', null, ''), ('e', 403, '')", "site, status, body")).select("site", "policy"))
 query("src_html_raw", "SELECT page_id, length(html) > 0 AS has_html, contains(html, '<article') AS has_article FROM pages")(
