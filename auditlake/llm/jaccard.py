@@ -91,7 +91,7 @@ def class_ids(values: np.ndarray, offsets: np.ndarray, shared: np.ndarray = _NON
     names = mix(np.diff(prefix(mix(values ^ np.uint64(0xA0761D6478BD642F)))[offsets]) + sizes).view(np.int64)
     checks = mix(np.diff(prefix(mix(values ^ np.uint64(0x8EBC6AF09C88C6E3)))[offsets]) ^ sizes).view(np.int64)
     if len(shared):
-        both = mix(names.view(np.uint64) * np.uint64(0x589965CC75374CC3) + checks.view(np.uint64)).view(np.int64)
+        both = mix(names.view(np.uint64) * np.uint64(0x589965CC75374CC3) + checks.view(np.uint64) + np.uint64(0x1D8E4E27C47D124F)).view(np.int64)
         names = np.where(np.isin(names, shared), both, names)
     return names, checks
 
