@@ -42,7 +42,10 @@ FRAMEWORKS = (
     ("Remix", ("__remix", "__remixcontext"), ("remix", "__remixmanifest"), ("__remixcontext",)),
 )
 SCROLL_DATA = ("data-infinite-scroll", "data-load-more", "infinite-scroll-component", "data-infinite", "data-paginate", "data-next-page")
-SCROLL_CLASSES = ("infinite-scroll", "load-more", "infinite-loader", "scroll-sentinel", "waypoint", "lazy-load-trigger", "pagination-more", "show-more")
+SCROLL_CLASSES = (
+    "infinite-scroll", "infinite-scroll-container", "load-more", "load-more-btn", "load-more-button", "infinite-loader",
+    "scroll-sentinel", "waypoint", "lazy-load-trigger", "pagination-more", "show-more",
+)
 GENERIC_ALTS = (
     "image", "photo", "picture", "img", "untitled", "placeholder", "banner", "hero", "screenshot", "graphic", "icon", "logo", "default",
     "thumbnail", "thumb", "pic", "figure",
