@@ -495,10 +495,6 @@ query("json_clean", "SELECT * FROM (VALUES ('<!-- {\"a\":1} -->', '{\"a\":1}'),
     lambda spark, sf: values(spark, "('<!-- {\"a\":1} -->'), ('<![CDATA[{}]]>')", "raw").withColumn("clean", text.json_clean(F.col("raw"))))
 query("prd_looks_like_org", "SELECT * FROM (VALUES ('a <b>software</b> firm', true), ('a fruit', false), ('company disambiguation page', false)) t(d, flag)")(
     lambda spark, sf: values(spark, "('a <b>software</b> firm'), ('a fruit'), ('company disambiguation page')", "d").withColumn("flag", freshness.looks_like_organization(F.col("d"))))
-query("join_wiki_name", "SELECT * FROM (VALUES ('Acme Inc', 'The Acme', true), ('Apple', 'Apple Records', false)) t(brand, title, same)")(
-    lambda spark, sf: values(spark, "('Acme Inc', 'The Acme'), ('Apple', 'Apple Records')", "brand, title").withColumn("same", freshness.name_matches(F.col("brand"), F.col("title"))))
-query("win_text_segments", "SELECT * FROM (VALUES ('a b c', 'a new words b x c tail end', 'new words [...] tail end'), ('', 'all new', 'all new'), ('a', 'a', '')) t(raw, rendered, diff)")(
-    lambda spark, sf: values(spark, "('a b c', 'a new words b x c tail end'), ('', 'all new'), ('a', 'a')", "raw, rendered").withColumn("diff", render.text_segments(F.col("raw"), F.col("rendered"))))
 query("join_key_facts", "SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}') THEN '{label};' ELSE '' END" for _n, label, p in render.KEY_FACTS) + " AS facts FROM documents")(
     lambda spark, sf: read(spark, sf, "documents").select("doc_id", F.concat(F.array_join(F.transform(render.key_facts(F.col("text")), lambda x: F.concat(x, F.lit(";"))), "")).alias("facts")))
 
@@ -723,7 +719,7 @@ query("html_page_profile", "SELECT * FROM (VALUES (1, 'editorial'), (2, 'commerc
 query("set_jaccard_nav", "SELECT * FROM (VALUES (1, 0.5), (2, 0.0)) t(k, share)")(
     lambda spark, sf: values(spark, "(1, array('a', 'b', 'c'), array('b', 'c', 'd')), (2, array('a'), array('b'))", "k, a, b").select("k", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("share")))
 
-from . import catalog_fetch, catalog_more  # noqa: E402, F401  registers the rest
+from . import catalog_fetch, catalog_more, catalog_rendered  # noqa: E402, F401  registers the rest
 
 
 # --- untrusted pages ----------------------------------------------------------------------------

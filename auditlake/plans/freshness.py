@@ -124,25 +124,49 @@ def site_entity(data: DataFrame) -> DataFrame:
     return out.select("site", "brand", "founding_year", "hq", *[F.coalesce(c, empty).alias(c) for c in ("same_as", "products", "leaders")])
 
 
-def name_matches(brand: Column, candidate: Column) -> Column:
-    bare = lambda n: F.regexp_replace(words.normalize_name(n), r"^the\s+", "")
-    return (words.normalize_name(brand) != "") & (words.normalize_name(candidate) != "") & (bare(brand) == bare(candidate))
-
-
 def looks_like_organization(description: Column) -> Column:
     plain = F.lower(F.regexp_replace(F.coalesce(description, F.lit("")), r"<[^>]+>", " "))
     return urls.contains_any(plain, _ORGANIZATION_WORDS) & ~F.contains(plain, F.lit("disambiguation page"))
 
 
+def name_key(name: Column) -> Column:
+    """The form under which names are equal: normalised, without a leading article; may be empty."""
+    return F.regexp_replace(words.normalize_name(name), r"^the\s+", "")
+
+
+def name_entries(candidates: DataFrame) -> DataFrame:
+    """(key, rank, source, title, qid, description): a row for each name of an entry; rank 0 is its title, 1 an alias.
+
+    candidates: (source, title, qid, description[, aliases array<string>]); entries that do not describe an
+    organisation are left out.
+    """
+    aliases = F.col("aliases") if "aliases" in candidates.columns else F.array().cast("array<string>")
+    named = F.concat(F.array("title"), F.coalesce(aliases, F.array().cast("array<string>")))
+    good = candidates.filter(looks_like_organization(F.col("description")))
+    keyed = good.select("source", "title", "qid", "description", F.posexplode(named).alias("place", "name"))
+    return keyed.select(name_key(F.col("name")).alias("key"), F.least("place", F.lit(1)).alias("rank"), "source", "title", "qid", "description").filter("key <> ''")
+
+
+def alias_index(candidates: DataFrame) -> DataFrame:
+    """(key, w_title, d struct<rank, qid, description>): for each key of a title or alias, its best entries.
+
+    Titles go before aliases, then the smallest title, or the smallest QID with its description. Both are minima,
+    combined before the shuffle, so that a name that many entries share is one row.
+    """
+    return name_entries(candidates).groupBy("key").agg(
+        F.min(F.when(F.col("source") == "wikipedia", F.struct("rank", "title")))["title"].alias("w_title"),
+        F.min(F.when(F.col("source") == "wikidata", F.struct("rank", "qid", "description"))).alias("d"),
+    )
+
+
 def grounding(entity: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(site, has_wikipedia, wikipedia_title, has_wikidata, qid, description): from sameAs links, else by name
-    among candidates (source, title, qid, description). The join is on the normalised name."""
-    key = lambda n: F.regexp_replace(words.normalize_name(n), r"^the\s+", "")
-    good = candidates.filter(looks_like_organization(F.col("description"))).withColumn("_key", key(F.col("title"))).filter("_key <> ''")
-    by_name = entity.select("site", key(F.col("brand")).alias("_key")).join(good, "_key").groupBy("site").agg(
-        F.max(F.when(F.col("source") == "wikipedia", F.col("title"))).alias("w_title"),
-        F.min(F.when(F.col("source") == "wikidata", F.struct("qid", "description"))).alias("d"),
-    )
+    """(site, has_wikipedia, wikipedia_title, has_wikidata, qid, description): from sameAs links, else by name or alias.
+
+    Each key of the index is one row, so a brand that very many sites bear meets one row in a skewed join, which
+    adaptive execution splits.
+    """
+    index = alias_index(candidates)
+    by_name = entity.select("site", name_key(F.col("brand")).alias("key")).filter("key <> ''").join(index, "key").drop("key")
     link = lambda part: F.try_element_at(F.filter("same_as", lambda s: F.contains(s, F.lit(part))), F.lit(-1))
     wiki, data = link("wikipedia.org/wiki/"), link("wikidata.org/wiki/Q")
     joined = entity.join(by_name, "site", "left")

@@ -143,6 +143,23 @@ def is_scroll_marker(element: Column) -> Column:
     return by_data | urls.contains_any(F.lower(F.coalesce(element["class"], F.lit(""))), SCROLL_CLASSES)
 
 
+def folds(elements: Column) -> Column:
+    """array<struct<type, tag, id, open, target, target_tag>> of tabs, panels and folding sections.
+
+    An element counts by its role, else its class, else as details or summary and by its toggle attribute, which may
+    both hold; target is the id that it controls and target_tag the element of that id, null if the page has none.
+    """
+
+    def named(e: Column) -> Column:
+        by_toggle = F.coalesce(e["toggle"].isin(*fixed.FOLD_TOGGLES), F.lit(False)) | F.coalesce(e["bs_toggle"].isin(*fixed.FOLD_TOGGLES), F.lit(False))
+        kinds = F.array_compact(F.array(F.when(e["tag"].isin(*fixed.FOLD_TAGS), F.lit("details_summary")), F.when(by_toggle, F.lit("tab_accordion"))))
+        role = F.when(e["role"] == "tabpanel", F.array(F.lit("tabpanel"))).when(e["role"].isin("tablist", "tab"), F.array(F.lit("tab")))
+        return F.coalesce(role, F.when(urls.contains_any(e["class"], tuple(c.lower() for c in fixed.FOLD_CLASSES)), F.array(F.lit("tab_accordion"))), kinds)
+
+    row = lambda e: F.transform(named(e), lambda k: F.struct(k.alias("type"), e["tag"].alias("tag"), e["id"].alias("id"), e["open"].alias("open"), e["target"].alias("target"), e["target_tag"].alias("target_tag")))
+    return F.flatten(F.transform(elements, row))
+
+
 def is_background(medium: Column) -> Column:
     """A video that only decorates."""
     return (medium["kind"] == "video") & medium["autoplay"] & medium["muted"] & medium["loop"] & ~medium["controls"]
@@ -158,24 +175,6 @@ def is_cross_origin(frames: Column) -> Column:
     return F.exists(frames, lambda f: F.when(urls.netloc(f["src"]) != "", F.lower(urls.netloc(f["src"])) != own).otherwise(f["src"].rlike("^(about|javascript):")))
 
 
-def text_segments(raw: Column, rendered: Column) -> Column:
-    """Runs of rendered words that the raw text lacks, longer than three characters, joined by ' [...] '.
-
-    A fold over the words with the open run and the finished ones as its state.
-    """
-    split = lambda t: F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
-    known = F.array_distinct(split(raw))
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
-    closed = lambda s: F.when(F.length(s["open"]) > 3, F.array_append(s["done"], s["open"])).otherwise(s["done"])
-    longer = lambda s, w: F.when(s["open"] == "", w).otherwise(F.concat(s["open"], F.lit(" "), w))
-    return F.aggregate(
-        split(rendered),
-        start,
-        lambda s, w: F.when(F.array_contains(known, w), F.struct(F.lit("").alias("open"), closed(s).alias("done"))).otherwise(F.struct(longer(s, w).alias("open"), s["done"].alias("done"))),
-        lambda s: F.array_join(closed(s), " [...] "),
-    )
-
-
 def text_ratio() -> dict[str, Column]:
     full, main = F.length("page.full_text"), F.col("page.main_length")
     return {
