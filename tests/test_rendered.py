@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from auditlake.functions import fixed
-from auditlake.operators import documents
+from auditlake.operators import documents, findings
+from auditlake.operators.store import stored
 from auditlake.plans import freshness, render, rendered, report
 from auditlake.plans.catalog import as_of
 from auditlake.sources import html
@@ -60,15 +61,16 @@ def test_the_last_rendering_counts_and_nulls_are_empty(spark):
 
 
 def test_a_report_says_what_only_a_browser_saw(spark):
-    pages = spark.createDataFrame([(1, "https://s.example/", "<title>x</title><body>words</body>")], "page_id long, url string, html string")
+    pages = parsed(spark, ("https://s.example/", "<title>x</title><body>words</body>"))
     seen = spark.createDataFrame([("https://s.example/", 1, "words " + "late price " * 60, 10, [("x-card", 80)], 0)], SNAPSHOT)
-    _, reports = report.audit(pages, as_of(), "2026-09-13T00:00:00+00:00", report.Inputs(snapshots=seen))
-    written = spark.createDataFrame([reports.select("*", F.to_json(F.struct("*")).alias("json")).first()], reports.select("*", F.lit("").alias("json")).schema)
-    row = written.first()
-    assert {"Content appears only after JavaScript execution", "Large content block loads late via AJAX", "Key content lives inside Shadow DOM"} <= {f.title for f in row.findings}
-    assert row.coverage.render_available
+    found = stored(findings.make(report.skills(pages, as_of(), report.Inputs(snapshots=seen))[render.SKILL]()))
+    known = report.coverage(pages, pages, None, [render.SKILL], [], True)
+    sites = known.select("site", "coverage", "pages_audited", F.lit("2026-09-13T00:00:00+00:00").alias("audited_at"))
+    row = stored(findings.report(found, sites).join(sites.select("site", "coverage"), "site").select("*", F.to_json(F.struct("*")).alias("json")))
+    assert {"Content appears only after JavaScript execution", "Large content block loads late via AJAX", "Key content lives inside Shadow DOM"} <= {f.title for f in row.first().findings}
+    assert row.first().coverage.render_available
     # what is written holds, and a document that was tampered with does not
-    written = written.select("site", "json")
+    written = row.select("site", "json")
     assert documents.violations(written).collect() == []
     wrong = written.withColumn("json", F.regexp_replace("json", '"severity":"high"', '"severity":"dire"'))
     assert {r.rule for r in documents.violations(wrong).collect()} == {"enum"}
