@@ -3,10 +3,11 @@
 Method: hierarchical residual packing. Each partition tokenises its documents and packs the
 pieces by best fit, longest first. Bins that are nearly full are emitted. The others become the
 items of the next round, in which fewer partitions, each fed by several earlier ones, pack bins
-into bins by the same best fit, until one partition holds what is left. Only the rows of open
-bins (a few numbers per piece) are shuffled; text and ids are not. Where there are more open bins
-than a task may get and a round combines almost none, the next one deals bins that hold f together
-with bins that have f free; if that combines almost none either, the bins stay as they are.
+into bins by the same best fit. The root of the tree, reached when what is left would fit one task
+or a round combines almost none, compares all open bins at once, however many there are: a bin
+matters to best fit only by its fill, so the bins are a histogram of at most `capacity` numbers,
+which is packed with multiplicities, and each bin finds its place by its rank among those of its
+fill. Only the rows of open bins (a few numbers per piece) are shuffled; text and ids are not.
 
 Defined results: a null or empty text is one piece with the end id alone; repeated rows and
 repeated or null doc_ids are packed as rows of their own; an empty table gives no rows; extra
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_chunks, tune
@@ -33,10 +34,13 @@ from .tokenizing import load
 COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: A bin with at most this share of its capacity free counts as nearly full.
 NEARLY_FULL = 1 / 64
-#: Pieces that a partition packs at once, and open bins that a merging task may get.
+#: Pieces that a partition packs at once, and open bins and their pieces that a merging task may get.
 LOCAL_ITEMS = 1 << 17
 MERGE_ITEMS = 1 << 16
+MERGE_ROWS = 1 << 21
 FAN_IN = 8
+#: Ranks of bins of one fill are taken in at least so many parts.
+RANK_PARTS = 64
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +71,39 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
+def best_fit_counts(fills: list[int], counts: list[int], capacity: int) -> tuple[dict[str, np.ndarray], int]:
+    """Best fit of counts[i] items of size fills[i], largest first: (slots, number of bins).
+
+    A slot says that the items of one fill with ranks from `low` go to the bins from `first`, one each, at `base`.
+    Items of a size are placed together in as many bins as are alike, so the work and the number of slots grow with
+    the number of different fills, not with that of the items.
+    """
+    by_space: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    slots: list[tuple[int, int, int, int]] = []
+    mask = made = 0
+    for fill, left in sorted(zip(fills, counts, strict=True), reverse=True):
+        rank = 0
+        while left:
+            fitting = mask >> fill
+            if fitting:
+                free = fill + (fitting & -fitting).bit_length() - 1
+                first, n = by_space[free].pop()
+                take = min(left, n)
+                if n > take:
+                    by_space[free].append((first + take, n - take))
+                elif not by_space[free]:
+                    mask ^= 1 << free
+            else:
+                free, first, take = capacity, made, max(1, left // (capacity // fill))
+                made += take
+            slots.append((fill, rank, first, capacity - free))
+            if free > fill:
+                by_space[free - fill].append((first, take))
+                mask |= 1 << (free - fill)
+            rank, left = rank + take, left - take
+    return dict(zip(("fill", "low", "first", "base"), np.array(slots, np.int64).reshape(-1, 4).T, strict=True)), made
+
+
 def cut(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document's index, piece, start, length) of the pieces of documents with so many ids."""
     pieces = -(-counts // capacity)
@@ -79,10 +116,10 @@ def cut(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class _Emitter:
-    def __init__(self, level: int, capacity: int, last: bool):
+    def __init__(self, level: int, capacity: int):
         context = TaskContext.get()
         self.base = (level << 56) | ((context.partitionId() if context else 0) << 28)
-        self.capacity, self.last, self.made = capacity, last, 0
+        self.capacity, self.made = capacity, 0
 
     def emit(self, columns: dict[str, np.ndarray], group: np.ndarray, within: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         """columns: of the pieces; group: a piece's item; within: its place in the item; sizes: of the items."""
@@ -90,7 +127,7 @@ class _Emitter:
         bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         bins[order], offsets[order] = best_fit(sizes[order], self.capacity)
         fill = np.bincount(bins, sizes).astype(np.int64)
-        closed = np.full(len(fill), True) if self.last else self.capacity - fill <= self.capacity * NEARLY_FULL
+        closed = self.capacity - fill <= self.capacity * NEARLY_FULL
         names = self.base + self.made + np.arange(len(fill))
         self.made += len(fill)
         of = bins[group]
@@ -122,7 +159,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int,
 
 
 def _first_round(batches, tokenizer, capacity, end_id, with_ids):
-    emitter, held, rows = _Emitter(1, capacity, False), [], 0
+    emitter, held, rows = _Emitter(1, capacity), [], 0
 
     def flush():
         columns = {k: pa.concat_arrays([pa.array(h[k]) if isinstance(h[k], np.ndarray) else _flat(h[k]) for h in held]) for k in held[0]}
@@ -143,7 +180,7 @@ def _flat(column):
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _merge_round(batches, level, capacity, last):
+def _merge_round(batches, level, capacity):
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -153,14 +190,41 @@ def _merge_round(batches, level, capacity, last):
     group = np.cumsum(first) - 1
     sizes = np.bincount(group, table["length"].to_numpy()).astype(np.int64)
     columns = {k: _flat(table[k]) for k in table.column_names if k not in ("sequence_id", "offset", "closed")}
-    yield _Emitter(level, capacity, last).emit(columns, group, table["offset"].to_numpy(), sizes)
-
-
-def _mates(opened: DataFrame, capacity: int, parts: int) -> DataFrame:
-    """opened, dealt so that bins that hold f and bins that have f free stand together."""
-    fills = opened.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-    mate = F.least("fill", F.lit(capacity) - F.col("fill"))
-    return opened.join(fills, "sequence_id").repartitionByRange(parts, mate, "sequence_id").select(opened.columns)
+    yield _Emitter(level, capacity).emit(columns, group, table["offset"].to_numpy(), sizes)
+
+
+def _place(batches: Iterator[pa.RecordBatch], shared, level: int) -> Iterator[pa.RecordBatch]:
+    slots = shared.value
+    order = np.lexsort((slots["low"], slots["fill"]))
+    fill, low, first, base = (slots[k][order] for k in ("fill", "low", "first", "base"))
+    keys = (fill << 44) | low
+    for batch in batches:
+        rank = batch.column("rank").to_numpy()
+        at = np.searchsorted(keys, (batch.column("fill").to_numpy() << 44) | rank, "right") - 1
+        names = (level << 56) | (first[at] + rank - low[at])
+        yield pa.RecordBatch.from_pydict({"sequence_id": batch.column("sequence_id"), "name": names, "base": base[at]})
+
+
+def _root(opened: DataFrame, capacity: int, n_bins: int, level: int) -> DataFrame:
+    """opened with the sequences that best fit over all its bins gives; at most `capacity` rows reach the driver."""
+    bins = materialise(opened.groupBy("sequence_id").agg(F.sum("length").alias("fill")), "bins")
+    histogram = bins.groupBy("fill").count().collect()
+    slots, _ = best_fit_counts([r.fill for r in histogram], [r["count"] for r in histogram], capacity)
+    shared = opened.sparkSession.sparkContext.broadcast(slots)
+    # the rank of a bin among those of its fill: bins in earlier parts of the fill, then its place in its own part
+    part = F.pmod(F.xxhash64("sequence_id"), F.lit(max(RANK_PARTS, -(-n_bins // MERGE_ITEMS)))).alias("part")
+    parted = bins.select("sequence_id", "fill", part)
+    cells = parted.groupBy("fill", "part").agg(F.count("*").alias("n"))
+    before = cells.select("fill", "part", (F.sum("n").over(Window.partitionBy("fill").orderBy("part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("fill", "part").orderBy("sequence_id")) - 1
+    ranked = parted.withColumn("own", own).join(before, ["fill", "part"]).select("sequence_id", "fill", (F.col("before") + F.col("own")).cast("long").alias("rank"))
+
+    def place(batches):
+        return _place(batches, shared, level)
+
+    placed = ranked.mapInArrow(place, "sequence_id long, name long, base long")
+    moved = opened.join(placed, "sequence_id").withColumn("offset", F.col("offset") + F.col("base")).withColumn("sequence_id", F.col("name"))
+    return moved.select(opened.columns)
 
 
 def pack(
@@ -182,31 +246,24 @@ def pack(
 
     table = materialise(source.mapInArrow(first, schema), "packed")
     results = [table.filter("closed")]
-    parts, before, level, paired = None, None, 1, False
+    parts, before, level = None, None, 1
     while True:
         opened = table.filter("not closed")
-        bins, sources = opened.filter("offset = 0").agg(F.count("*"), F.countDistinct(F.shiftright("sequence_id", 28))).first()
+        bins, rows, sources = opened.agg(F.count_if(F.col("offset") == 0), F.count("*"), F.countDistinct(F.shiftright("sequence_id", 28))).first()
         if not bins:
             break
         level += 1
-        parts = max(-(-(parts or sources) // FAN_IN), -(-bins // MERGE_ITEMS), 1)
-        last = parts == 1
-        # many bins that no longer combine where they are: bins that would fill one another are brought together
-        stuck = before is not None and bins > 0.99 * before and not last
-        if stuck and paired:
-            results.append(opened)
+        parts = max(-(-(parts or sources) // FAN_IN), -(-bins // MERGE_ITEMS), -(-rows // MERGE_ROWS), 1)
+        if parts == 1 or before is not None and bins > 0.99 * before:
+            results.append(materialise(_root(opened, capacity, bins, level), "packed"))
             break
-        paired = stuck
 
-        def merge(batches, level=level, last=last):
-            return _merge_round(batches, level, capacity, last)
+        def merge(batches, level=level):
+            return _merge_round(batches, level, capacity)
 
-        dealt = _mates(opened, capacity, parts) if stuck else opened.repartition(parts, "sequence_id")
-        table = materialise(dealt.mapInArrow(merge, schema), "packed")
+        table = materialise(opened.repartition(parts, "sequence_id").mapInArrow(merge, schema), "packed")
         results.append(table.filter("closed"))
         before = bins
-        if last:
-            break
     out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)

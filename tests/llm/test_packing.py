@@ -5,10 +5,9 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from auditlake.llm.packing import best_fit, cut, pack
+from auditlake.llm.packing import best_fit, best_fit_counts, cut, pack
 from auditlake.llm.tokenizing import PieceTokenizer
 from helpers import crc_ids
 
@@ -124,20 +123,52 @@ def test_pieces_that_share_a_hash(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_bins_that_fill_one_another_meet(spark):
-    """Bins of two pieces: those that hold f stand with those that have f free, and no bin is divided."""
-    from auditlake.llm.packing import _mates
+def test_bins_that_fill_one_another_meet(spark, monkeypatch):
+    """Bins of two pieces, of which each has one mate: every pair fills a sequence, and no bin is divided."""
+    from auditlake.llm import packing
 
+    monkeypatch.setattr(packing, "RANK_PARTS", 3)
     fills = [100 + 7 * k for k in range(120)]
-    bins = list(enumerate([*fills, *(2048 - f for f in fills)]))
-    rows = [(b, at, n) for b, f in bins for at, n in ((0, f // 2), (f // 2, f - f // 2))]
-    opened = spark.createDataFrame(rows, "sequence_id long, offset long, length long").repartition(9)
-    part = F.spark_partition_id().alias("part")
-    found = _mates(opened, 2048, 8).select("sequence_id", part).distinct().collect()
-    place = {r.sequence_id: r.part for r in found}
-    assert len(found) == len(bins) and len(set(place.values())) > 4
-    apart = sum(place[k] != place[k + len(fills)] for k in range(len(fills)))
-    assert apart <= 8  # only where a range ends
+    bins = list(enumerate([*fills, *(2048 - f for f in fills), *fills, *(2048 - f for f in fills)]))
+    rows = [(b, at, n, b) for b, f in bins for at, n in ((0, f // 2), (f // 2, f - f // 2))]
+    opened = spark.createDataFrame(rows, "sequence_id long, offset long, length long, was long").repartition(9)
+    found = defaultdict(list)
+    for r in packing._root(opened, 2048, len(bins), 2).collect():
+        found[r.sequence_id].append((r.offset, r.length, r.was))
+    assert len(found) == 240
+    for places in found.values():
+        places.sort()
+        assert [p[0] for p in places] == [0, *np.cumsum([p[1] for p in places])[:-1].tolist()] and sum(p[1] for p in places) == 2048
+        assert places[0][2] == places[1][2] != places[2][2] == places[3][2]
+
+
+@given(st.lists(st.integers(1, 64), max_size=300))
+@settings(max_examples=100, deadline=None)
+def test_best_fit_of_counts_is_that_of_the_items(sizes):
+    """As many bins as best fit of the items one by one, and every item in a place of its own."""
+    fills = sorted(set(sizes))
+    slots, made = best_fit_counts(fills, [sizes.count(f) for f in fills], 64)
+    used = defaultdict(list)
+    for fill in fills:
+        own = sorted(zip(*(slots[k][slots["fill"] == fill].tolist() for k in ("low", "first", "base")), strict=True))
+        for rank in range(sizes.count(fill)):
+            low, first, base = max(s for s in own if s[0] <= rank)
+            used[first + rank - low].append((base, fill))
+    bins, _ = best_fit(np.array(sorted(sizes, reverse=True), np.int64), 64)
+    assert len(used) == made == len(set(bins.tolist()))
+    for places in used.values():
+        at = 0
+        for base, fill in sorted(places):
+            assert base == at
+            at += fill
+        assert at <= 64
+
+
+def test_rows_of_a_merging_task_are_bounded(documents, texts, monkeypatch):
+    from auditlake.llm import packing
+
+    monkeypatch.setattr(packing, "MERGE_ROWS", 40)
+    check(pack(documents.repartition(12)).collect(), texts.items())
 
 
 def test_many_open_bins_end(documents, texts, monkeypatch):
