@@ -59,6 +59,16 @@ def viewport(content: Column) -> dict[str, Column]:
     }
 
 
+def performance() -> dict[str, Column]:
+    """Counts of a parsed page's blocking scripts, style sheets and images; images_later are those after the first two."""
+    images, later = F.col("page.images"), F.slice("page.images", F.lit(3), F.greatest(F.size("page.images"), F.lit(0)))
+    bare = F.filter(images, lambda i: ~((F.length(i["width"]) > 0) & (F.length(i["height"]) > 0)) | i["width"].isNull() | i["height"].isNull())
+    eager = F.filter(later, lambda i: F.lower(F.coalesce(i["loading"], F.lit(""))) != "lazy")
+    blocking = F.filter("page.head_scripts", lambda s: ~s["deferred"] & ~s["type"].isin("application/ld+json", "application/json", "module"))
+    lists = {"blocking_scripts": blocking, "stylesheets": F.col("page.head_styles"), "images": images, "images_bare": bare, "images_later": later, "images_eager": eager}
+    return {name: F.size(held).cast("long") for name, held in lists.items()}
+
+
 def extract(parsed: DataFrame) -> DataFrame:
     """Engagement columns of parsed pages (site, ord, url, at, page): one row a page."""
     p = lambda c: F.col(f"page.{c}")
@@ -69,13 +79,10 @@ def extract(parsed: DataFrame) -> DataFrame:
     of = lambda flag: F.filter(p("anchors"), lambda a: a[flag])
     held = F.when(p("nav_landmarks") > 0, F.exists(p("anchors"), lambda a: a["nav"] > 0)).otherwise(F.exists(p("anchors"), lambda a: a["menu"] > 0))
     primary = F.when(held, F.when(p("nav_landmarks") > 0, of("first_nav")).otherwise(of("first_menu"))).otherwise(of("first_header"))
-    images, later = p("images"), F.slice(p("images"), F.lit(3), F.greatest(F.size(p("images")), F.lit(0)))
-    bare = F.filter(images, lambda i: ~((F.length(i["width"]) > 0) & (F.length(i["height"]) > 0)) | i["width"].isNull() | i["height"].isNull())
-    eager = F.filter(later, lambda i: F.lower(F.coalesce(i["loading"], F.lit(""))) != "lazy")
+    quick = performance()
     plain = lambda u: F.regexp_replace(F.lower(urls.netloc(u)), r"^www\.", "")
     own = plain(url)
     hosts = F.array_distinct(F.filter(F.transform(p("resources"), plain), lambda h: (h != "") & (h != own) & ~h.endswith(F.concat(F.lit("."), own))))
-    blocking = F.filter(p("head_scripts"), lambda s: ~s["deferred"] & ~s["type"].isin("application/ld+json", "application/json", "module"))
     acts = lambda c: urls.contains_any(F.lower(c["text"]), fixed.ACTION_CTAS)
     vague = "^(?:" + "|".join(fixed.GENERIC_CTAS) + ")(?: |$)"
     control = lambda c: (c["tag"] == "button") | (c["role"] == "button") | ((c["tag"] == "input") & c["type"].isin("submit", "button"))
@@ -100,8 +107,8 @@ def extract(parsed: DataFrame) -> DataFrame:
         urls.depth(url).cast("long").alias("depth"),
         n(p("h1")).alias("h1_count"), F.length(p("intro")).cast("long").alias("intro_chars"),
         (p("breadcrumb") | p("breadcrumb_schema")).alias("has_breadcrumb"),
-        n(blocking).alias("blocking_scripts"), n(p("head_styles")).alias("stylesheets"), n(hosts).alias("third_parties"),
-        n(images).alias("images"), n(bare).alias("images_bare"), n(later).alias("images_later"), n(eager).alias("images_eager"),
+        quick["blocking_scripts"].alias("blocking_scripts"), quick["stylesheets"].alias("stylesheets"), n(hosts).alias("third_parties"),
+        *[quick[c].alias(c) for c in ("images", "images_bare", "images_later", "images_eager")],
         *[v.alias(k) for k, v in view.items()], F.coalesce(p("viewport"), F.lit("")).alias("viewport"),
         n("_ctas").alias("ctas"), n(F.filter("_ctas", generic)).alias("ctas_generic"),
         F.slice(F.transform(F.filter("_ctas", generic), lambda c: c["text"]), 1, 4).alias("generic_sample"),

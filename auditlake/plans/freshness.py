@@ -104,6 +104,21 @@ def entity_data(pages: DataFrame) -> DataFrame:
     )
 
 
+def _values(data: DataFrame, column: str) -> DataFrame:
+    """(site, v, at): each distinct value of a site's pages, with its first place."""
+    return data.select("site", "ord", F.posexplode(column).alias("pos", "v")).groupBy("site", "v").agg(F.min(F.struct("ord", "pos")).alias("at"))
+
+
+def count_values(data: DataFrame, column: str) -> DataFrame:
+    """(site, n) of every site of entity_data rows: the distinct values of one of its lists, which no row gathers.
+
+    Two sums: values stand once a site after the first, so that a site with very many is spread over all tasks. A
+    page is parsed once: its site counts by a row without a value.
+    """
+    each = data.select("site", F.explode_outer(column).alias("v")).groupBy("site", "v").agg(F.lit(1).alias("one"))
+    return each.groupBy("site").agg(F.count("v").alias("n"))
+
+
 def site_entity(data: DataFrame) -> DataFrame:
     """Per site: the first page's brand, the first year and place, the links, products and leaders of all pages.
 
@@ -117,8 +132,7 @@ def site_entity(data: DataFrame) -> DataFrame:
     )
     out = scalar
     for column in ("same_as", "products", "leaders"):
-        each = data.select("site", "ord", F.posexplode(column).alias("pos", "v")).groupBy("site", "v").agg(F.min(F.struct("ord", "pos")).alias("at"))
-        listed = each.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(column))
+        listed = _values(data, column).groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(column))
         out = out.join(listed, "site", "left")
     empty = F.array().cast("array<string>")
     return out.select("site", "brand", "founding_year", "hq", *[F.coalesce(c, empty).alias(c) for c in ("same_as", "products", "leaders")])

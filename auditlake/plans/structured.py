@@ -143,8 +143,8 @@ def validity_rules(pages: DataFrame, as_of: Column) -> DataFrame:
         untyped = rule("Schema entity missing @type", F.size(e["types"]) == 0, "high", "Schema entity missing @type", "Specify a valid Schema.org @type for all structured data entities.", observed=text("A JSON-LD entity on ", url, " lacks the required '@type' property: ", F.substring(e["json"], 1, 150), "."))
         return F.concat(F.array(untyped), F.flatten(F.transform(known, lambda t: typed(e, t))), dummy)
 
-    first = emit_lists(pages, SKILL, F.concat(per_block, F.flatten(F.transform(entities(), of_entity))), 3)
-    return first.unionByName(emit_lists(pages, SKILL, F.flatten(F.transform(entities(), lambda e: semantic(e, as_of))), 4))
+    shape, meaning = F.flatten(F.transform(entities(), of_entity)), F.flatten(F.transform(entities(), lambda e: semantic(e, as_of)))
+    return emit_lists(pages, SKILL, {3: F.concat(per_block, shape), 4: meaning})
 
 
 def semantic(e: Column, as_of: Column) -> Column:
@@ -311,7 +311,7 @@ def cross_rules(pages: DataFrame) -> DataFrame:
             rule("Publication date conflict between Schema and visible page text", article.isNotNull() & (year != "") & (F.size(years) > 0) & ~F.array_contains(years, year), "medium", "Publication date conflict between Schema and visible page text", "Synchronize Schema datePublished and dateModified with visible article timestamps.", observed=text("Schema ", article, " specifies datePublished '", value(e, "datePublished"), "' (year ", year, "), but visible date text references ", _list_words(c("dates")), ". AI engines rely on synchronized timestamps for freshness scoring.")),
         )
 
-    return emit_lists(base, SKILL, F.flatten(F.transform(entities(), of_entity)), 9)
+    return emit_lists(base, SKILL, {9: F.flatten(F.transform(entities(), of_entity))})
 
 
 def by_severity(rows: DataFrame) -> DataFrame:

@@ -422,3 +422,34 @@ def test_dates_without_an_offset_are_utc(spark):
         assert seconds() == utc
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_parse_gives_the_facts_asked_for(spark):
+    """Chosen facts are those of the whole parse, and no others are made."""
+    page = '<html><head><title>T</title><link rel="canonical" href="/c"></head><body><h1>H</h1><script type="application/ld+json">{"@type":"A","name":"\\ud83d"}</script></body></html>'
+    made = spark.createDataFrame([("https://x.example/", page)], "url string, html string")
+    whole, few = html.parse(made).first().page.asDict(), html.parse(made, only=("title", "canonical", "json_ld")).first().page.asDict()
+    assert few == {k: whole[k] for k in ("title", "canonical", "error", "json_ld")} and few["title"] == "T" and few["json_ld"][0]["entities"][0]["types"] == ["A"]
+
+
+def test_small_tables_are_dealt_out_before_the_parse(spark):
+    """A table of one small file is not one task of the parse."""
+    from auditlake.plans import catalog
+
+    sf = "/root/testdata/sf0.1"
+    for pages in (catalog.crafted_pages(spark, sf, "h1"), catalog.product_parsed(spark, sf), catalog.sized_pages(spark, sf)):
+        assert pages.rdd.getNumPartitions() >= 7
+
+
+def test_rules_of_two_phases_take_one_parse(spark):
+    from auditlake.plans import catalog
+
+    found = structured.validity_rules(catalog.product_parsed(spark, "/root/testdata/sf0.001"), as_of())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.count() == found.select("seq").distinct().count()
+
+
+def test_distinct_values_are_counted_without_a_list(spark):
+    """Sites without a value count zero; a value of many pages counts once; null is no value."""
+    rows = spark.createDataFrame([("a", 1, ["x", "y"]), ("a", 2, ["y", None]), ("b", 1, []), ("c", 1, None)], "site string, ord long, products array<string>")
+    assert {tuple(r) for r in freshness.count_values(rows, "products").collect()} == {("a", 2), ("b", 0), ("c", 0)}
