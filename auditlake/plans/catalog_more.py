@@ -20,6 +20,13 @@ def pages_of(spark, *rows):
     return html.parse(own).withColumnRenamed("raw", "html")
 
 
+def long_bodies(pages):
+    """(page_id, body): of every 500th page a body of 4,000 times its html, written out no further than the first repeat beyond what is read."""
+    enough = F.ceil(F.lit(tables.BODY_BYTES) / F.greatest(F.octet_length("html"), F.lit(1))) + 1
+    times = F.when(F.col("page_id") % 500 == 0, F.least(F.lit(4000), enough)).otherwise(1).cast("int")
+    return pages.select("page_id", F.repeat("html", times).alias("body"))
+
+
 # --- sources and sinks --------------------------------------------------------------------------
 
 query("src_audit_robots", "SELECT * FROM (VALUES ('a', 'enforced'), ('b', 'unavailable-allow'), ('c', 'unavailable-fail-closed'), ('d', 'unavailable-fail-closed'), ('e', 'unavailable-allow')) t(site, policy)")(
@@ -27,7 +34,7 @@ query("src_audit_robots", "SELECT * FROM (VALUES ('a', 'enforced'), ('b', 'unava
 query("src_html_raw", "SELECT page_id, length(html) > 0 AS has_html, contains(html, '<article') AS has_article FROM pages")(
     lambda spark, sf: parsed_pages(spark, sf).select("page_id", (F.length("html") > 0).alias("has_html"), F.col("page.has_article").alias("has_article")))
 query("src_body_cap", "SELECT page_id, least(strlen(html) * CASE WHEN page_id % 500 = 0 THEN 4000 ELSE 1 END, 3000000)::BIGINT AS n FROM pages WHERE html IS NOT NULL")(
-    lambda spark, sf: read(spark, sf, "pages").filter("html is not null").select("page_id", F.octet_length(tables.capped(F.repeat("html", F.when(F.col("page_id") % 500 == 0, 4000).otherwise(1)))).cast("long").alias("n")))
+    lambda spark, sf: long_bodies(read(spark, sf, "pages").filter("html is not null")).select("page_id", F.octet_length(tables.first_bytes(F.col("body"))).cast("long").alias("n")))
 query("src_ref_json", "SELECT * FROM (VALUES ('search_bot', 10), ('training_bot', 12)) t(category, n)")(
     lambda spark, sf: robots.bots(spark).groupBy("category").agg(F.count("*").cast("int").alias("n")))
 query("src_engagement", "SELECT page_id, split_part(url, '#', 1) AS url FROM pages QUALIFY row_number() OVER (PARTITION BY split_part(url, '#', 1) ORDER BY page_id) = 1")(

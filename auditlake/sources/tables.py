@@ -24,9 +24,14 @@ def read_json(spark: SparkSession, path: str, kind: str, lines: bool = False) ->
     return spark.read.schema(SCHEMAS[kind]).option("multiLine", not lines).json(path)
 
 
+def first_bytes(body: Column, most: int = BODY_BYTES) -> Column:
+    """The bytes of a body that are read, as binary: no character is looked at."""
+    return F.substring(body.cast("binary"), 1, most)
+
+
 def capped(body: Column, most: int = BODY_BYTES) -> Column:
     """The first `most` bytes of a body; a character that the cap cuts becomes a replacement character."""
-    return F.when(F.octet_length(body) <= most, body).otherwise(F.decode(F.substring(F.encode(body, "UTF-8"), 1, most), "UTF-8"))
+    return F.when(F.octet_length(body) <= most, body).otherwise(F.make_valid_utf8(first_bytes(body, most).cast("string")))
 
 
 def skill_json(findings: DataFrame) -> DataFrame:
