@@ -453,3 +453,28 @@ def test_distinct_values_are_counted_without_a_list(spark):
     """Sites without a value count zero; a value of many pages counts once; null is no value."""
     rows = spark.createDataFrame([("a", 1, ["x", "y"]), ("a", 2, ["y", None]), ("b", 1, []), ("c", 1, None)], "site string, ord long, products array<string>")
     assert {tuple(r) for r in freshness.count_values(rows, "products").collect()} == {("a", 2), ("b", 0), ("c", 0)}
+
+
+def page_query(spark, tmp_path, name, rows):
+    """A query and its SQL over a pages table of these (page_id, url, html)."""
+    import duckdb
+    from auditlake.plans import catalog
+    from oracle import compare
+
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    return compare(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.ORACLES[name])
+
+
+def test_title_with_a_reference_cut_short(spark, tmp_path):
+    rows = [(k, "https://x.example/", f"<html><title>{t}</title><body>x</body></html>") for k, t in enumerate(("a &amp;&amp", "&amp;lt;", "b &lt;i&gt; &#x27;", " c ", ""))]
+    assert page_query(spark, tmp_path, "html_meta", rows) is None
+
+
+def test_body_cap_within_a_character_and_of_long_pages(spark, tmp_path):
+    """The cap cuts a character, and 4,000 times the second page pass what a string may hold."""
+    rows = [(500, "https://x.example/", "aé" + "b" * 4), (1000, "https://x.example/", "é" * 300_000), (1500, "https://x.example/", ""), (7, "https://x.example/", "é")]
+    assert page_query(spark, tmp_path, "src_body_cap", rows) is None
+    cut = spark.createDataFrame([("aéé",)], "b string").select(tables.capped(F.col("b"), 4).alias("c")).first().c
+    assert cut == "aé\ufffd"
