@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.operators import documents, findings
+from auditlake.operators.store import spread
 from auditlake.sources import html
 
 from . import freshness, render, rendered, report
 from .catalog import as_of, query, read
 
 
-def parse(made: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with their site, order and facts."""
-    return html.parse(report.with_sites(made).select("page_id", "site", "ord", "url", "html"))
+def parse(made: DataFrame, *only: str) -> DataFrame:
+    """pages (page_id, url, html) with their site, order and the facts asked for."""
+    return html.parse(report.with_sites(made).select("page_id", "site", "ord", "url", "html"), only=only)
 
 
 def skill_findings(pages: DataFrame, skill: str, inputs: report.Inputs) -> DataFrame:
@@ -49,13 +50,13 @@ def rendered_site(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(pages, snapshots): a page a part, whose last rendering adds words, late text, a shadow tree and buttons by rule."""
     k = F.col("p_partkey").cast("long")
     url = F.concat(F.lit("https://r"), k % 5, F.lit(".example/p/"), k)
-    pages = read(spark, sf, "part").select(k.alias("page_id"), url.alias("url"), F.concat(F.lit("<html><head><title>Part "), k, F.lit("</title></head><body><main><p>"), F.col("p_name"), F.lit(" item n"), k, F.lit("</p></main></body></html>")).alias("html"))
+    base = spread(read(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    pages = base.select(k.alias("page_id"), url.alias("url"), F.concat(F.lit("<html><head><title>Part "), k, F.lit("</title></head><body><main><p>"), F.col("p_name"), F.lit(" item n"), k, F.lit("</p></main></body></html>")).alias("html"))
     # the words of the title are outside the body, so none of them is said again
     lead = F.when(k % 2 == 1, "price").otherwise("fresh")
     text = F.concat(F.col("p_name"), F.lit(" "), lead, F.repeat(F.lit(" js words"), (k % 40).cast("int")), F.lit(" item tail n"), k, F.lit(" tail"))
     kind = "array<struct<tag: string, length: long>>"
     shadow = F.array(F.struct(F.lit("x-card").alias("tag"), (k % 90).alias("length"))).cast(kind)
-    base = read(spark, sf, "part")
     last = base.select(url.alias("url"), F.lit(2).cast("long").alias("seq"), text.alias("text"), (F.length(text) - (k * 7) % 1000).cast("long").alias("content_length"), shadow.alias("shadow"), (k % 4).alias("load_more"))
     older = base.filter(k % 3 == 0).select(url.alias("url"), F.lit(1).cast("long").alias("seq"), F.lit("an older rendering " * 20).alias("text"), F.lit(None).cast("long").alias("content_length"), F.lit(None).cast(kind).alias("shadow"), F.lit(9).cast("long").alias("load_more"))
     return pages, last.unionByName(older)
@@ -65,7 +66,7 @@ def rendered_site(spark, sf) -> tuple[DataFrame, DataFrame]:
 SELECT url, length(js)::BIGINT AS js_text_length, js AS js_preview, late AS ajax_delta, shadow, more AS load_more FROM r""")
 def _(spark, sf):
     pages, snapshots = rendered_site(spark, sf)
-    return rendered.pages(parse(pages), snapshots).withColumn("shadow", F.element_at("shadow", 1)["length"])
+    return rendered.pages(parse(pages, "full_text"), snapshots).withColumn("shadow", F.element_at("shadow", 1)["length"])
 
 
 @query("src_rendered_set", f"""WITH {_RENDERED_SQL}
@@ -92,8 +93,8 @@ def _(spark, sf):
         some(k % 2, '<div class="card Accordion-Item">y</div>'), some(k % 5, "<details open><summary>s</summary>b</details>"),
         some(k % 6, '<button data-toggle="collapse" data-target="#gone">b</button>'), some(k % 2, '<details data-bs-toggle="tab">z</details>'), F.lit('<span data-toggle="tooltip" class="tip">no</span>'),
     ]
-    pages = read(spark, sf, "part").select(k.alias("page_id"), F.concat(F.lit("https://t.example/"), k).alias("url"), F.concat(F.lit("<html><body>"), *body, F.lit("</body></html>")).alias("html"))
-    found = parse(pages).select("page_id", render.folds(F.col("page.folds")).alias("f"))
+    pages = spread(read(spark, sf, "part").select("p_partkey"), "p_partkey").select(k.alias("page_id"), F.concat(F.lit("https://t.example/"), k).alias("url"), F.concat(F.lit("<html><body>"), *body, F.lit("</body></html>")).alias("html"))
+    found = parse(pages, "folds").select("page_id", render.folds(F.col("page.folds")).alias("f"))
     of = lambda when: F.size(F.filter("f", when)).cast("long")
     return found.select(
         "page_id", of(lambda x: x["type"] == "tab").alias("tabs"), of(lambda x: x["type"] == "tabpanel").alias("panels"), of(lambda x: x["type"] == "tab_accordion").alias("by_class_or_toggle"), of(lambda x: x["type"] == "details_summary").alias("details"),
@@ -179,7 +180,7 @@ _FC = (
 @query("fc_rules", f"WITH {_WIKI_SQL} " + " UNION ALL ".join(f"SELECT k AS site, {title} AS title, {severity} AS severity FROM grounded WHERE {when}" for title, severity, when in _FC))
 def _(spark, sf):
     k = F.col("c_custkey").cast("long")
-    customers = read(spark, sf, "customer").select(k.alias("k"), _brand().alias("brand"), F.concat(F.lit("https://fc"), k, F.lit(".example")).alias("root"))
+    customers = spread(read(spark, sf, "customer").select("c_custkey"), "c_custkey", 1_000).select(k.alias("k"), _brand().alias("brand"), F.concat(F.lit("https://fc"), k, F.lit(".example")).alias("root"))
     k = F.col("k")
     links = F.element_at(F.array(*[F.lit("[" + ",".join(f'"{u}"' for u in p) + "]") for p in _PROFILES]), (k % 4 + 1).cast("int"))
     extra = F.concat(F.when(k % 3 > 0, ',"telephone":"+1 555 0100"').otherwise(""), F.when(k % 3 == 2, ',"address":"1 Main Street"').otherwise(""), F.when(k % 2 == 0, ',"foundingDate":"1999"').otherwise(""))
@@ -222,4 +223,4 @@ def _(spark, sf):
         F.lit(',"summary":{"total_findings":'), pick(9, "3", "2"), F.lit(',"critical":0,"medium":0,"high":'), pick(14, "2", "1"), F.lit(',"low":'), pick(8, "-1", "1"), F.lit('},"findings":['), first, F.lit(","), second, F.lit("]}"),
     )
     text = F.when(k == 1, F.lit('{"site":')).when(k == 13, F.lit("[]")).otherwise(made)
-    return documents.violations(read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text.alias("json")))
+    return documents.violations(spread(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 20_000).select(F.col("o_orderkey").alias("k"), text.alias("json")))
