@@ -118,7 +118,7 @@ def candidates(spark, sf) -> DataFrame:
     """Entries of two knowledge bases, one a part: every third goes by an alias, every fifth is no organisation."""
     c = F.col("p_partkey").cast("long")
     named = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return read(spark, sf, "part").select(
+    return spread(read(spark, sf, "part").select("p_partkey"), "p_partkey", 20_000).select(
         F.when(c % 2 == 0, "wikipedia").otherwise("wikidata").alias("source"),
         F.when(c % 3 == 0, named("The Brand ", c % 50, " Corp")).when(c % 3 == 1, named("Other ", c)).otherwise(named("Old name ", c)).alias("title"),
         F.when(c % 3 == 2, F.array(named("Brand ", c % 50, " Ltd"), named("Firm ", c % 9))).when(c % 3 == 0, F.array().cast("array<string>")).alias("aliases"),
@@ -147,8 +147,9 @@ def _(spark, sf):
 def _(spark, sf):
     c = F.regexp_extract("qid", r"(\d+)", 1).cast("long")
     named = freshness.name_entries(candidates(spark, sf)).select(c.alias("c"), "key", F.col("rank").cast("long").alias("rank"))
-    brands = read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("site"), freshness.name_key(_brand()).alias("key"))
-    return brands.join(named, "key").select("site", "c", "rank")
+    customers = spread(read(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    brands = customers.select(F.col("c_custkey").cast("long").alias("site"), freshness.name_key(_brand()).alias("key"))
+    return freshness.by_name(brands, named).select("site", "c", "rank")
 
 
 # --- freshness and corroboration rules: a site of two pages a customer ------------------------------------

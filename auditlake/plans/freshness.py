@@ -161,6 +161,20 @@ def name_entries(candidates: DataFrame) -> DataFrame:
     return keyed.select(name_key(F.col("name")).alias("key"), F.least("place", F.lit(1)).alias("rank"), "source", "title", "qid", "description").filter("key <> ''")
 
 
+def by_name(named: DataFrame, entries: DataFrame, block: int = 1_000) -> DataFrame:
+    """named (key, ...) beside each row of entries (key, ...) of its key: a row a pair, none left out.
+
+    A key's entries stand in blocks of about `block`, and a named row meets each block once, so that the pairs of a
+    key that very many share are dealt to as many tasks as it has blocks, and none holds more than one of them.
+    """
+    most = entries.groupBy("key").count().agg(F.max("count").alias("n")).first()["n"] or 1
+    n = -(-most // block)
+    rest = [c for c in entries.columns if c != "key"]
+    blocks = entries.groupBy("key", F.pmod(F.xxhash64(*rest), F.lit(n)).alias("_block")).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    asked = named.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return asked.join(blocks, ["key", "_block"]).select(*named.columns, F.inline("_rows"))
+
+
 def alias_index(candidates: DataFrame) -> DataFrame:
     """(key, w_title, d struct<rank, qid, description>): for each key of a title or alias, its best entries.
 

@@ -156,3 +156,22 @@ def test_pages_made_from_small_tables_are_dealt_out(spark):
     pages, _ = catalog_rendered.rendered_site(spark, "/root/testdata/sf0.1")
     assert pages.rdd.getNumPartitions() >= 7
     assert catalog_rendered.parse(pages, "full_text").schema["page"].dataType.names == ["full_text", "error"]
+
+
+def test_a_name_of_many_entries_is_joined_in_blocks(spark):
+    """Every pair of equal keys once, however the entries of a key are cut; keys without entries and without brands give none."""
+    named = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(60)], "site int, key string")
+    entries = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i}") for i in range(100)], "c int, key string")
+    plain = sorted(tuple(r) for r in named.join(entries, "key").select("site", "c").collect())
+    for block in (1, 7, 1000):
+        found = freshness.by_name(named, entries, block)
+        assert sorted((r.site, r.c) for r in found.collect()) == plain
+    widest = freshness.by_name(named, entries, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in widest and freshness.by_name(named, entries.limit(0)).count() == 0
+
+
+def test_fetch_logs_are_dealt_out(spark, tmp_path):
+    from auditlake.plans import catalog_fetch
+
+    spark.range(1, 50_001).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert catalog_fetch.hop_log(spark, str(tmp_path)).rdd.getNumPartitions() == 3
