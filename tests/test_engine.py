@@ -472,6 +472,11 @@ def test_title_with_a_reference_cut_short(spark, tmp_path):
     assert page_query(spark, tmp_path, "html_meta", rows) is None
 
 
+def test_references_of_a_title_as_written(spark):
+    made = spark.createDataFrame([("&quot;a&quot; &amp;amp &amp",)], "t string").select(text.plain_references(F.col("t")).alias("t"))
+    assert made.first().t == '"a" &amp &amp'
+
+
 def test_body_cap_within_a_character_and_of_long_pages(spark, tmp_path):
     """The cap cuts a character, and 4,000 times the second page pass what a string may hold."""
     rows = [(500, "https://x.example/", "aé" + "b" * 4), (1000, "https://x.example/", "é" * 300_000), (1500, "https://x.example/", ""), (7, "https://x.example/", "é")]
