@@ -145,6 +145,9 @@ def table_partitions(spark: SparkSession) -> int:
 #: Neighbours of a node at most that meet in one task; HUBS: nodes that may have more.
 HUB = 1024
 HUBS = 1 << 14
+#: Edges that a contracting task reads if files are smaller, and nodes that it holds at a time.
+EACH = 1 << 14
+HELD = 1 << 17
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -152,17 +155,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Returns (node, root) for every node that has an edge; root is the component's smallest
     node. Alternating large-star and small-star steps (Kiveris et al., SoCC 2014) need a
-    logarithmic number of rounds whatever the diameter. Each round is written to the shared
-    folder. Neighbour lists are never collected: both steps use a minimum per node and a join,
-    and a hub's rows stay where they are (see _with_least). Rounds end when every node has one
-    edge, to a node that has none.
+    logarithmic number of rounds whatever the diameter. Before each round every task contracts
+    the edges that it reads to stars, so that a small graph, which few tasks read, takes one round
+    or two. Each round is written to the shared folder. Neighbour lists are never collected: both
+    steps use a minimum per node and a join, and a hub's rows stay where they are (see
+    _with_least). Rounds end when every node has one edge, to a node that has none.
     """
-    current, path = stored(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
     spark = edges.sparkSession
-    n, before = current.count(), None
+    current, path = stored(contracted(edges.select("a", "b"), edges.count()), "edges")
     for _ in range(max_rounds):
+        n, stars = _stars(current)
+        if stars:
+            break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # large star: every larger neighbour is linked to the least of the neighbourhood
@@ -177,20 +181,48 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        following, new_path = stored(small, "edges")
-        state = following.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("b", "a"))).first()
+        small, small_path = stored(small, "small")
         remove(spark, path)
         remove(spark, large_path)
-        current, path, n = following, new_path, state[0]
-        if tuple(state) == before and _stars(current):
-            break
-        before = tuple(state)
+        current, path = stored(contracted(small, n), "edges")
+        remove(spark, small_path)
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def contracted(edges: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b), about n, with the same components: those that a task reads become stars, each node linked to its smallest."""
+    return edges.coalesce(max(1, -(-n // EACH))).mapInArrow(_contract, "a long, b long")
+
+
+def _contract(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        found = [(x, root) for x in parent if (root := find(x)) != x]
+        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([r for _, r in found], pa.int64())})
+
+    for batch in batches:
+        for begin in range(0, batch.num_rows, max(1, held // 4)):
+            part = batch.slice(begin, max(1, held // 4))
+            for x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+            if len(parent) >= held:
+                yield stars()
+                parent.clear()
+    yield stars()
+
+
 def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
     """rows (a, b; n of them) with m of their a, from least (a, m, n: rows of a).
 
@@ -204,7 +236,9 @@ def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
     return found.filter("hub is not null").select("a", "b", F.col("hub").alias("m")).unionByName(rest)
 
 
-def _stars(edges: DataFrame) -> bool:
-    """Whether every a has one edge, and no b has any."""
-    a = edges.groupBy("a").agg(F.count("*").alias("n"))
-    return a.filter("n > 1").isEmpty() and edges.select(F.col("b").alias("a")).distinct().join(a, "a", "left_semi").isEmpty()
+def _stars(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges, and whether every a has one edge and no b has any."""
+    ends = edges.select("a", F.lit(1).alias("own"), F.lit(0).alias("other")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("own"), F.lit(1).alias("other")))
+    nodes = ends.groupBy("a").agg(F.sum("own").alias("own"), F.max("other").alias("other"))
+    n, bad = nodes.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count_if((F.col("own") > 1) | ((F.col("own") > 0) & (F.col("other") > 0)))).first()
+    return n, bad == 0
