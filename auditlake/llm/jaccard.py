@@ -53,6 +53,9 @@ _SET = "cell long, cid long, n int, total long, content binary"
 FAN = 16
 #: Classes of a partition whose keys are remembered as given.
 SEEN = 1 << 18
+#: One text in so many is looked at for tokens that many sets have; bits of their map.
+SAMPLE = 32
+MAP_BITS = 1 << 25
 _NONE = np.zeros(0, np.int64)
 
 
@@ -124,8 +127,11 @@ class Levels:
         return np.searchsorted(self.bounds, sizes, "right") - 1
 
 
-def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, offsets): the keys of the used parts of each set, in its one or two levels."""
+def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, offsets): the keys of the used parts of each set, in its one or two levels.
+
+    common: a bit map of tokens that many sets have (see common_tokens); which they are changes only what parts are used.
+    """
     sizes = np.diff(offsets)
     levels = Levels(percent, int(sizes.max(initial=1) * 100 // percent) + 1)
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -133,7 +139,7 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np
     upper = levels.level(sizes * 100 // percent)
     for chosen, level in ((np.flatnonzero(own >= 0), own), (np.flatnonzero((upper > own) & (upper >= 0)), upper)):
         if len(chosen):
-            keys, row = _level_keys(values, offsets, chosen, level[chosen], levels)
+            keys, row = _level_keys(values, offsets, chosen, level[chosen], levels, common)
             found.append((keys, row))
     if not found:
         return np.zeros(0, np.int64), np.zeros(len(sizes) + 1, np.int64)
@@ -142,7 +148,7 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np
     return keys[order].view(np.int64), np.searchsorted(row[order], np.arange(len(sizes) + 1))
 
 
-def _level_keys(values, offsets, chosen, level, levels):
+def _level_keys(values, offsets, chosen, level, levels, common):
     sizes = np.diff(offsets)[chosen]
     tokens = values[ragged(offsets[:-1][chosen], sizes)]
     parts = levels.parts[level]
@@ -155,19 +161,51 @@ def _level_keys(values, offsets, chosen, level, levels):
     total = np.diff(prefix(mix(tokens ^ np.uint64(0xE7037ED1A0B428DB)))[edges])
     owner = rows_of(parts)
     part = np.arange(base[-1]) - base[owner]
-    order = np.lexsort((part, -count, owner))
+    # a part's strength follows from its content alone, so that two sets agree on it
+    rare = np.diff(prefix((~in_map(common, tokens)).astype(np.int64))[edges]) if common is not None else count
+    order = np.lexsort((part, -count, -rare, owner))
     rank = np.arange(base[-1]) - base[owner]  # place among the set's parts, strongest first
     used = order[rank < (levels.differ[level] + 1)[owner]]
     salt = part[used].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (level[owner[used]].astype(np.uint64) << np.uint64(48))
     return mix(total[used] + mix(salt + count[used].astype(np.uint64))), chosen[owner[used]]
 
 
-def _inform(batches: Iterator[pa.RecordBatch], width: int, percent: int, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+def in_map(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Which tokens the bit map of common_tokens holds."""
+    at = ((tokens >> np.uint64(7)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in text_chunks(batches):
+        values, offsets = shingle_sets(batch.column("text"), width)
+        names = class_ids(values, offsets)[0]
+        yield pa.RecordBatch.from_pydict({"cid": pa.array(np.repeat(names, np.diff(offsets))), "token": pa.array(values.view(np.int64))})
+
+
+def common_tokens(source: DataFrame, width: int) -> np.ndarray:
+    """A bit map (4 MB) of the tokens that at least two classes of one text in SAMPLE hold, and few others.
+
+    Passages that many documents share would chain documents that have little else in common. The map only orders the
+    parts of a set by strength; any map gives the same links.
+    """
+    sample = source.filter((F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 7) & F.col("text").isNotNull()).select("text")
+    tokens = sample.mapInArrow(lambda batches: _sampled(batches, width), "cid long, token long").groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"))
+    place = F.shiftrightunsigned("token", 7).bitwiseAND(F.lit(MAP_BITS - 1).cast("long"))
+    places = tokens.filter("low < high").select(place.alias("p"))
+    parts = places.groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767).cast("long"))).alias("map"))
+    table = np.zeros(MAP_BITS // 8, np.uint8)
+    for row in parts.collect():
+        table[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(bytes(row.map), np.uint8)
+    return table
+
+
+def _inform(batches: Iterator[pa.RecordBatch], width: int, percent: int, shared: np.ndarray, common: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in text_chunks(batches):
         values, offsets = shingle_sets(batch.column("text"), width)
         (names, checks), sizes = class_ids(values, offsets, shared), np.diff(offsets)
-        keys, key_offsets = part_keys(values, offsets, percent)
+        keys, key_offsets = part_keys(values, offsets, percent, common)
         # a class gives its keys once a partition, or again when more classes have been seen than are held
         first = np.zeros(len(names), bool)
         for i, name in enumerate(names.tolist()):
@@ -471,8 +509,10 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, shared:
     spark = tune(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _uid().alias("uid"), "text")
 
+    common = spark.sparkContext.broadcast(common_tokens(source, width))
+
     def inform(batches):
-        return _inform(batches, width, percent, shared)
+        return _inform(batches, width, percent, shared, common.value)
 
     info, info_path = stored(source.mapInArrow(inform, "doc_id long, uid long, n_shingles long, cid long, chk long, keys array<long>"), "sets")
     named = info.filter("cid is not null").groupBy("cid").agg(F.min("chk").alias("low"), F.max("chk").alias("high"))

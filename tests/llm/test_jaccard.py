@@ -4,9 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from auditlake.llm import jaccard
-from auditlake.llm.common import connected_components
-from auditlake.llm.jaccard import Levels, components, keep_one, part_keys
+from auditlake.llm import common, jaccard
+from auditlake.llm.common import _contract, connected_components
+from auditlake.llm.jaccard import MAP_BITS, Levels, components, in_map, keep_one, part_keys
 from helpers import jaccard_components
 
 
@@ -143,3 +143,56 @@ def test_a_hub_is_not_dealt_to_one_task(spark, monkeypatch):
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
     assert found == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_contracting_tasks_keep_components_whatever_they_hold():
+    edges = [(3 * i, 3 * i + 3) for i in range(200)] + [(1, 700), (700, 1), (5, 5)]
+    table = pa.RecordBatch.from_pydict({"a": [a for a, _ in edges], "b": [b for _, b in edges]})
+    for held in (4, 64, 1 << 17):
+        out = [e for batch in _contract(iter([table]), held) for e in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        assert all(a > b for a, b in out)
+        assert components_of(out) == components_of([e for e in edges if e[0] != e[1]])
+    assert len(out) == 201  # whole: one edge a node
+
+
+def components_of(edges):
+    groups = {}
+    for a, b in edges:
+        joined = groups.get(a, {a}) | groups.get(b, {b})
+        for x in joined:
+            groups[x] = joined
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_a_graph_that_few_tasks_read_takes_a_round_at_most(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(common, "stored", lambda df, name, real=common.stored: written.append(name) or real(df, name))
+    path = [(i, i + 1) for i in range(3_000)]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(path, "a long, b long").repartition(8)).collect()}
+    assert found == dict.fromkeys(range(3_001), 0)
+    assert written == ["edges"]
+
+
+def test_parts_of_common_tokens_alone_do_not_chain_documents():
+    rng = np.random.default_rng(5)
+    passage = np.unique(rng.integers(0, 1 << 64, 60, np.uint64))
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 64, 140, np.uint64)])) for _ in range(60)]
+    common_map = np.zeros(MAP_BITS // 8, np.uint8)
+    at = ((passage >> np.uint64(7)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    np.bitwise_or.at(common_map, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    assert in_map(common_map, passage).all()
+
+    def meeting(bits):
+        keys = [set(part_keys(x, np.array([0, len(x)]), 80, bits)[0].tolist()) for x in sets]
+        return sum(bool(a & b) for i, a in enumerate(keys) for b in keys[:i])
+
+    assert meeting(common_map) < meeting(None) / 3
+    # linked sets still share a used part, whatever the map holds
+    for n in (20, 90, 300):
+        for _ in range(40):
+            base = rng.integers(0, 1 << 64, n, np.uint64)
+            cut = n // 10
+            a, b = np.unique(base), np.unique(np.concatenate([base[cut:], rng.integers(0, 1 << 64, cut, np.uint64)]))
+            bits = rng.integers(0, 256, MAP_BITS // 8, np.uint8)
+            x, y = (set(part_keys(v, np.array([0, len(v)]), 80, bits)[0].tolist()) for v in (a, b))
+            assert x & y
