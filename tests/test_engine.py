@@ -3,6 +3,7 @@
 import json
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -483,3 +484,16 @@ def test_body_cap_within_a_character_and_of_long_pages(spark, tmp_path):
     assert page_query(spark, tmp_path, "src_body_cap", rows) is None
     cut = spark.createDataFrame([("aéé",)], "b string").select(tables.capped(F.col("b"), 4).alias("c")).first().c
     assert cut == "aé\ufffd"
+
+
+def test_a_parsing_worker_is_given_few_pages_at_a_time(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    pages = spark.range(0, 1_000, 1, 1).select(F.col("id").alias("page_id"), F.lit("https://a.example/").alias("url"), F.lit("<p>x</p>").alias("html"))
+    parsed = html.parse(pages, only=("title",))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    found = [r.n for r in parsed.select("page_id").mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 1_000 and max(found) <= html.BATCH
