@@ -258,10 +258,18 @@ class Lockstep:
         return zip(range(len(self.live)), self.edges[:-1], self.edges[1:], strict=True)
 
 
+def emissions(model: Model, ids: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """out, states by places, with each place's emission probabilities: one gather a state, which costs less than rows of all states."""
+    ids = ids.astype(np.intp, copy=False)
+    for row, of_state in zip(out, np.ascontiguousarray(model.emit.T, out.dtype), strict=True):
+        np.take(of_state, ids, out=row, mode="clip")  # with a mode, nothing is buffered
+    return out
+
+
 def log_likelihood(model: Model, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Natural logarithm of each sequence's likelihood by the scaled forward recursion."""
     steps = Lockstep(offsets)
-    emitted = np.ascontiguousarray(model.emit[ids[steps.at]].T, np.float64)  # states by places
+    emitted = emissions(model, ids[steps.at], np.empty((len(model.start), len(ids))))
     scales, one = np.ones(len(ids)), np.ones(len(model.start))
     alpha, move = emitted, np.ascontiguousarray(model.move.T)
     for t, a, b in steps.runs():
@@ -294,10 +302,9 @@ class Room:
 def expectations(model: Model, ids: np.ndarray, offsets: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """The expected counts, and the natural logarithm of the sequences' likelihood under model."""
     steps, states = Lockstep(offsets), len(model.start)
-    ids = ids[steps.at]
+    ids = ids[steps.at].astype(np.intp, copy=False)
     emitted, alphas = (room or Room(states)).arrays(len(ids))
-    for a in range(0, len(ids), 1 << 14):
-        emitted[:, a : a + (1 << 14)] = model.emit[ids[a : a + (1 << 14)]].T
+    emissions(model, ids, emitted)
     scales, one = np.empty(len(ids), np.float32), np.ones(states, np.float32)
     move, first = model.move.astype(np.float32), model.start.astype(np.float32)[:, None]
     alpha, forth = emitted, np.ascontiguousarray(move.T)
