@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
