@@ -249,8 +249,10 @@ class Lockstep:
         sizes = sizes[self.order]
         live = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")
         edges = prefix(live)
-        step = rows_of(live)
-        self.at = offsets[:-1][self.order][np.arange(edges[-1]) - edges[step]] + step
+        place = np.arange(edges[-1])
+        place -= np.repeat(edges[:-1], live)  # now the rank of the place's sequence
+        self.at = offsets[:-1][self.order][place]
+        self.at += rows_of(live)
         self.live, self.edges = live.tolist(), edges.tolist()
 
     def runs(self):
@@ -284,11 +286,46 @@ def log_likelihood(model: Model, ids: np.ndarray, offsets: np.ndarray) -> np.nda
 
 def expected_counts(model: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts of starts, transitions and emissions of the sequences."""
-    return expectations(model, ids, offsets)[:3]
+    emitted = Emitted(*model.emit.shape)
+    start, moves, _ = expectations(model, ids, offsets, emitted)
+    return start, moves, emitted.rows(np.arange(len(model.emit)))
+
+
+class Emitted:
+    """Sums by id of posteriors, places by states.
+
+    Single numbers are added in place, two states as one complex number, which halves the accesses. The
+    first ids, the most frequent words, are carried over to doubles every PIECE places, so that no long
+    sum of singles loses digits.
+    """
+
+    HEAD, PIECE = 4096, 1 << 16
+
+    def __init__(self, n: int, states: int):
+        self.single, double = (np.complex64, np.complex128) if states % 2 == 0 else (np.float32, np.float64)
+        self.sums = np.zeros((states // 2 if states % 2 == 0 else states, n), self.single)
+        self.head, self.touched = np.zeros((len(self.sums), min(n, self.HEAD)), double), np.zeros(n, bool)
+
+    def add(self, ids: np.ndarray, gamma: np.ndarray) -> None:
+        self.touched[ids] = True
+        gamma, first = gamma.view(self.single), self.sums[:, : self.head.shape[1]]
+        for a in range(0, len(ids), self.PIECE):
+            own = ids[a : a + self.PIECE]
+            for sums, values in zip(self.sums, gamma[a : a + self.PIECE].T, strict=True):
+                np.add.at(sums, own, values)
+            self.head += first
+            first[:] = 0
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The sums of the ids at (ascending), ids by states."""
+        out = np.stack([sums[at] for sums in self.sums], axis=1)
+        known = at[: np.searchsorted(at, self.head.shape[1])]
+        out[: len(known)] = self.head[:, known].T
+        return out.view(np.float32)
 
 
 class Room:
-    """Two arrays of states by places that calls of expectations share: fresh memory costs as much as the sums."""
+    """Two arrays of places by states that calls of expectations share: fresh memory costs as much as the sums."""
 
     def __init__(self, states: int):
         self.states, self.whole = states, np.empty((2, 0), np.float32)
@@ -296,41 +333,40 @@ class Room:
     def arrays(self, n: int) -> np.ndarray:
         if n * self.states > self.whole.shape[1]:
             self.whole = np.empty((2, n * self.states * 9 // 8), np.float32)
-        return self.whole[:, : n * self.states].reshape(2, self.states, n)
+        return self.whole[:, : n * self.states].reshape(2, n, self.states)
+
 
+def expectations(model: Model, ids: np.ndarray, offsets: np.ndarray, sums: Emitted, room: Room | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """The expected starts and transitions, and the natural logarithm of the sequences' likelihood under model; emissions are added to sums.
 
-def expectations(model: Model, ids: np.ndarray, offsets: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """The expected counts, and the natural logarithm of the sequences' likelihood under model."""
+    A place's states stand side by side: a word's emissions are read, and its posteriors added, as one run of memory.
+    """
     steps, states = Lockstep(offsets), len(model.start)
-    ids = ids[steps.at].astype(np.intp, copy=False)
+    ids = ids.astype(np.intp, copy=False)[steps.at]
     emitted, alphas = (room or Room(states)).arrays(len(ids))
-    emissions(model, ids, emitted)
-    scales, one = np.empty(len(ids), np.float32), np.ones(states, np.float32)
-    move, first = model.move.astype(np.float32), model.start.astype(np.float32)[:, None]
-    alpha, forth = emitted, np.ascontiguousarray(move.T)
+    np.take(model.emit.astype(np.float32, copy=False), ids, axis=0, out=emitted, mode="clip")  # with a mode, nothing is buffered
+    scales, ones = np.empty(len(ids), np.float32), np.ones((states, states), np.float32)
+    move, first = model.move.astype(np.float32), model.start.astype(np.float32)
+    alpha, back = emitted, np.ascontiguousarray(move.T)
     for t, a, b in steps.runs():
-        now = alphas[:, a:b]
-        np.multiply(emitted[:, a:b], forth @ alpha[:, : b - a] if t else first, out=now)
-        scale = one @ now
+        now, own = alphas[a:b], emitted[a:b]
+        np.multiply(own, alpha[: b - a] @ move if t else first, out=now)
+        scale = now @ ones  # the sum of a place, beside each of its states
         now /= scale
-        scales[a:b], alpha = scale, now
-    emitted /= scales
+        own /= scale
+        scales[a:b], alpha = scale[:, 0], now
     moves = np.zeros((states, states))
-    beta = following = emitted[:, :0]
+    beta = following = emitted[:0]
     for _, a, b in reversed(list(steps.runs())):
-        now, n = alphas[:, a:b], following.shape[1]
-        following[:, : beta.shape[1]] *= beta
-        moves += now[:, :n] @ following.T
-        beta = move @ following
-        now[:, :n] *= beta  # from here on the posterior of the states
-        following = emitted[:, a:b]
-    start = alphas[:, : steps.live[0]].sum(1, dtype=np.float64) if steps.live else np.zeros(states)
-    return start, moves * model.move, _emitted(alphas, ids, len(model.emit)), float(np.log(scales, dtype=np.float64).sum())
-
-
-def _emitted(gamma: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Sums by id of gamma, states by places: n ids by states."""
-    return np.stack([np.bincount(ids, state, n) for state in gamma], axis=1)
+        now, n = alphas[a:b], len(following)
+        following[: len(beta)] *= beta
+        moves += now[:n].T @ following
+        beta = following @ back
+        now[:n] *= beta  # from here on the posterior of the states
+        following = emitted[a:b]
+    start = alphas[: steps.live[0]].sum(0, dtype=np.float64) if steps.live else np.zeros(states)
+    sums.add(ids, alphas)
+    return start, moves * model.move, float(np.log(scales, dtype=np.float64).sum())
 
 
 class _Numbers:
@@ -376,22 +412,18 @@ def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Tabl
 def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     start, moves, reached = np.zeros(len(model.start)), np.zeros_like(model.move), 0.0
-    emitted, touched = np.zeros(model.emit.shape, np.float32), np.zeros(len(model.emit), bool)
-    numbers, room = _Numbers(len(model.emit)), Room(len(model.start))
+    sums, room = Emitted(*model.emit.shape), Room(len(model.start))
     for table in _gathered(batches, EXPECT_BYTES):
         ids, offsets = _read_ids(table["ids"].chunk(0))
-        own, number = numbers.of(ids)
-        one, two, three, four = expectations(Model(model.start, model.move, model.emit[own]), number, _cut(offsets, CUT), room)
-        start, moves, reached = start + one, moves + two, reached + four
-        emitted[own] += three
-        touched[own] = True
+        one, two, three = expectations(model, ids, _cut(offsets, CUT), sums, room)
+        start, moves, reached = start + one, moves + two, reached + three
     # block 0 holds the small sums; a block of words only those that occur here
-    at = np.flatnonzero(touched)
-    edges = np.searchsorted(at, np.arange(0, len(emitted) + _BLOCK, _BLOCK))
+    at = np.flatnonzero(sums.touched)
+    edges = np.searchsorted(at, np.arange(0, len(sums.touched) + _BLOCK, _BLOCK))
     blocks = [(0, b"", np.concatenate([start, moves.ravel(), [reached]]).astype("<f8").tobytes())]
     for k in np.flatnonzero(np.diff(edges)).tolist():
         own = at[edges[k] : edges[k + 1]]
-        blocks.append((k + 1, (own - k * _BLOCK).astype("<u2").tobytes(), emitted[own].astype("<f4", copy=False).tobytes()))
+        blocks.append((k + 1, (own - k * _BLOCK).astype("<u2").tobytes(), sums.rows(own).astype("<f4", copy=False).tobytes()))
         if len(blocks) == 256:
             yield _block_rows(blocks)
             blocks = []

@@ -211,3 +211,38 @@ def test_emissions_are_gathered_at_less_cost_than_by_rows():
         rows.append(time.process_time() - began)
     assert (out == expected).all()
     assert min(one) < min(rows)
+
+
+def test_an_expectation_step_costs_little_more_than_its_sums_by_state():
+    """The whole step against its reads and sums alone, one state after the other; words as frequent as in texts."""
+    rng = np.random.default_rng(5)
+    n = 500_000
+    model = scoring.Model.seeded(np.full(n, 1 / n, np.float32), scoring.STATES)
+    offsets = np.arange(0, (1 << 20) + 1, scoring.CUT)
+    ids = (n ** rng.random(offsets[-1])).astype(np.int64) - 1
+    gamma = np.full((scoring.STATES, len(ids)), 1 / scoring.STATES, np.float32)
+    step, sums = [], []
+    for _ in range(5):
+        began = time.process_time()
+        scoring.expected_counts(model, ids, offsets)
+        step.append(time.process_time() - began)
+        began = time.process_time()
+        for of_state, state in zip(model.emit.T, gamma, strict=True):
+            np.take(of_state, ids), np.bincount(ids, state, n)
+        sums.append(time.process_time() - began)
+    assert min(step) < 2.1 * min(sums)
+
+
+def test_long_sums_of_emissions_keep_their_digits():
+    rng = np.random.default_rng(6)
+    sums, ids = scoring.Emitted(6000, scoring.STATES), np.where(rng.random(1 << 20) < 0.6, 0, rng.integers(0, 5000, 1 << 20))
+    gamma = rng.dirichlet(np.ones(scoring.STATES), len(ids)).astype(np.float32)
+    for _ in range(4):
+        sums.add(ids, gamma)
+    expected = 4 * np.stack([np.bincount(ids, g, 6000) for g in gamma.T], axis=1)
+    found = sums.rows(np.arange(6000))
+    assert (sums.touched == (expected > 0).any(1)).all()
+    assert np.allclose(found, expected, rtol=3e-6, atol=0)
+    odd = scoring.Emitted(6000, 3)
+    odd.add(ids, np.ascontiguousarray(gamma[:, :3]))
+    assert np.allclose(odd.rows(np.array([0, 4095, 4096, 5999])), expected[[0, 4095, 4096, 5999], :3] / 4, rtol=3e-6, atol=0)
