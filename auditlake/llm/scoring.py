@@ -471,9 +471,10 @@ def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> tuple[M
         return _expect(batches, shared)
 
     parts = table_partitions(spark)
-    group = F.floor(F.spark_partition_id() / _GROUP).alias("tasks")
-    sums = encoded.select("ids").mapInArrow(expect, _BLOCK_SCHEMA).select("*", group)
-    sums = sums.repartition(parts, "block", "tasks").drop("tasks").mapInArrow(_add, _BLOCK_SCHEMA)
+    sums = encoded.select("ids").mapInArrow(expect, _BLOCK_SCHEMA)
+    if encoded.rdd.getNumPartitions() > _GROUP:  # else there is one group, whose sums are all
+        sums = sums.select("*", F.floor(F.spark_partition_id() / _GROUP).alias("tasks"))
+        sums = sums.repartition(parts, "block", "tasks").drop("tasks").mapInArrow(_add, _BLOCK_SCHEMA)
     sums = sums.repartition(parts, "block").mapInArrow(_add, _BLOCK_SCHEMA)
     k, small = len(model.start), None
     emitted = np.zeros(model.emit.shape, np.float32)

@@ -246,3 +246,17 @@ def test_long_sums_of_emissions_keep_their_digits():
     odd = scoring.Emitted(6000, 3)
     odd.add(ids, np.ascontiguousarray(gamma[:, :3]))
     assert np.allclose(odd.rows(np.array([0, 4095, 4096, 5999])), expected[[0, 4095, 4096, 5999], :3] / 4, rtol=3e-6, atol=0)
+
+
+def test_sums_of_one_group_of_tasks_meet_once(documents, monkeypatch):
+    """Few tasks take one shuffle a round, many take two; either gives the round of one process."""
+    passes = []
+    apply = type(documents).mapInArrow
+    for tasks, each in ((64, 1), (1, 2)):
+        passes.clear()
+        with monkeypatch.context() as patch:
+            patch.setattr(scoring, "TOLERANCE", 1.0)  # two rounds
+            patch.setattr(scoring, "_GROUP", tasks)
+            patch.setattr(type(documents), "mapInArrow", lambda self, func, *a, **b: passes.append(func) or apply(self, func, *a, **b))
+            _, seen = rounds_of(documents.filter("doc_id < 200").repartition(8), patch)
+        assert passes.count(scoring._add) == each * len(seen)
