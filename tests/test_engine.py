@@ -473,6 +473,11 @@ def test_title_with_a_reference_cut_short(spark, tmp_path):
     assert page_query(spark, tmp_path, "html_meta", rows) is None
 
 
+def test_title_with_quotation_marks_as_its_sql_gives_it(spark, tmp_path):
+    rows = [(k, "https://x.example/", f"<html><title>{t}</title><body>x</body></html>") for k, t in enumerate(("token = &quot;0b&quot;", "&amp;quot;", 'a "plain" one', "&quot"))]
+    assert page_query(spark, tmp_path, "html_meta", rows) is None
+
+
 def test_references_of_a_title_as_written(spark):
     made = spark.createDataFrame([("&quot;a&quot; &amp;amp &amp",)], "t string").select(text.plain_references(F.col("t")).alias("t"))
     assert made.first().t == '"a" &amp &amp'
