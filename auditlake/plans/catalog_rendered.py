@@ -36,9 +36,8 @@ texts AS (SELECT doc_id, string_agg(run, ' [...] ' ORDER BY first) AS t FROM run
 SELECT doc_id, length(coalesce(t, ''))::BIGINT AS js_chars, sha256(coalesce(t, '')) AS js_sha256 FROM d LEFT JOIN texts USING (doc_id)""")
 def _(spark, sf):
     docs = read(spark, sf, "documents")
-    raw = docs.select(F.col("doc_id").alias("url"), "text")
-    shown = docs.select((F.col("doc_id") - 1).alias("url"), "text").join(raw.select("url"), "url", "left_semi")
-    found = rendered.text_diff(raw, shown)
+    shown = docs.select((F.col("doc_id") - 1).alias("url"), "text")
+    found = rendered.merged(docs.select(F.col("doc_id").alias("url"), "text"), shown).filter("has_raw")
     return found.select(F.col("url").alias("doc_id"), F.length("js_text").cast("long").alias("js_chars"), F.sha2("js_text", 256).alias("js_sha256"))
 
 

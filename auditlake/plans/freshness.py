@@ -161,18 +161,28 @@ def name_entries(candidates: DataFrame) -> DataFrame:
     return keyed.select(name_key(F.col("name")).alias("key"), F.least("place", F.lit(1)).alias("rank"), "source", "title", "qid", "description").filter("key <> ''")
 
 
+#: Blocks of a key's entries at most: a named row is sent as often.
+BLOCKS = 256
+
+
 def by_name(named: DataFrame, entries: DataFrame, block: int = 1_000) -> DataFrame:
     """named (key, ...) beside each row of entries (key, ...) of its key: a row a pair, none left out.
 
-    A key's entries stand in blocks of about `block`, and a named row meets each block once, so that the pairs of a
-    key that very many share are dealt to as many tasks as it has blocks, and none holds more than one of them.
+    A key's entries stand in blocks of about `block`, larger ones beyond BLOCKS, and a named row meets each block of its
+    key once, so that the pairs of a key that very many share are dealt to as many tasks as it has blocks, and none holds
+    more than one of them. Rows of keys that the other side lacks are not sent. A task gives a block's entries over and
+    over for its named rows, few blocks in all, which keeps the files of the pairs short.
     """
-    most = entries.groupBy("key").count().agg(F.max("count").alias("n")).first()["n"] or 1
-    n = -(-most // block)
+    count = lambda rows, name: rows.groupBy("key").agg(F.count("*").alias(name))
+    both = count(named, "_n").join(count(entries, "_m"), "key")
+    sizes = both.select("key", F.least(F.ceil(F.col("_m") / block), F.lit(BLOCKS)).cast("long").alias("_blocks"))
+    pairs = both.agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0.0
+    tasks = max(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2_000, int(pairs / 1e7)))
     rest = [c for c in entries.columns if c != "key"]
-    blocks = entries.groupBy("key", F.pmod(F.xxhash64(*rest), F.lit(n)).alias("_block")).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
-    asked = named.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return asked.join(blocks, ["key", "_block"]).select(*named.columns, F.inline("_rows"))
+    blocks = entries.join(sizes, "key").groupBy("key", F.pmod(F.xxhash64(*rest), "_blocks").alias("_block")).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    asked = named.join(sizes, "key").select(*named.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    dealt = lambda rows: rows.repartition(tasks, "key", "_block")
+    return dealt(asked).hint("merge").join(dealt(blocks), ["key", "_block"]).select(*named.columns, F.inline("_rows"))
 
 
 def alias_index(candidates: DataFrame) -> DataFrame:

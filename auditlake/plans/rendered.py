@@ -8,17 +8,19 @@ the one with the greatest seq counts (of equal ones, the greatest by its other c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from auditlake.sources import html
 
 GAP = " [...] "
 LEAST_RUN = 4  # shorter runs are trivial differences
 PREVIEW = 1000
-
-
-def words_of(text: Column) -> Column:
-    """Lower-case words between white space, in order."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+CHUNK = 1 << 20  # characters found that leave a task at once
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
@@ -27,32 +29,67 @@ def latest(snapshots: DataFrame) -> DataFrame:
     return snapshots.filter("url is not null").groupBy("url").agg(F.max(F.struct(*rest)).alias("s")).select("url", "s.*")
 
 
-def new_words(raw: DataFrame, rendered: DataFrame) -> DataFrame:
-    """(url, pos, word) of rendered words that no raw text of the URL holds.
-
-    An anti join on URL and word: the words of one huge page, or of a URL with many raw rows, spread over all tasks.
-    """
-    said = rendered.select("url", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    known = raw.select("url", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
-    return said.join(known, ["url", "word"], "left_anti")
+def _fresh(known: set[str], shown: list[list[str]]) -> str:
+    """Runs of words at consecutive places that are not known, those of at least LEAST_RUN characters, joined by GAP."""
+    places = [(place, word) for words in shown for place, word in enumerate(words) if word not in known]
+    if len(shown) > 1:
+        places.sort()
+    runs, last = [], None
+    for place, word in places:
+        if last is not None and place == last + 1:
+            runs[-1].append(word)
+        else:
+            runs.append([word])
+        last = place
+    return GAP.join(run for run in map(" ".join, runs) if len(run) >= LEAST_RUN)
 
 
-def islands(words: DataFrame) -> DataFrame:
-    """(url, js_text): runs of words at consecutive places, those of at least LEAST_RUN characters, joined by GAP.
+def merged(raw: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(url, has_raw, js_text) for every rendered URL; raw and rendered hold (url, text).
 
-    Only new words meet their page again, and one row holds no more of them than its page's text does. The runs are
-    told from one pass over the sorted places: a word follows its neighbour, or a line break opens another run.
+    Each text is shuffled once, by URL, and a task reads its URLs one after the other, raw texts first. Of a URL it holds
+    the distinct words of its raw texts, however many these are, and the words of its renderings; no table of words is made.
     """
-    own = words.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    before = lambda x, i: F.when(i == 0, "").when(F.get("w", i - 1)["pos"] == x["pos"] - 1, " ").otherwise("\n")
-    runs = F.split(F.array_join(F.transform("w", lambda x, i: F.concat(before(x, i), x["word"])), ""), "\n")
-    return own.select("url", F.array_join(F.filter(runs, lambda r: F.length(r) >= LEAST_RUN), GAP).alias("js_text"))
+    side = lambda rows, shown: rows.select("url", F.lit(shown).alias("shown"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    out = T.StructType([rendered.select("url").schema[0], T.StructField("has_raw", T.BooleanType()), T.StructField("js_text", T.StringType())])
+    both = side(raw, False).unionByName(side(rendered, True))
+    both.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(html.BATCH))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, url, known, shown, any_raw, done, size = None, None, set(), [], False, [], 0
+        for batch in batches:
+            kind = batch.schema.field("url").type
+            for own, is_shown, text in zip(*(batch.column(c).to_pylist() for c in ("url", "shown", "text")), strict=True):
+                if own != url:
+                    if shown:
+                        done.append((url, any_raw, _fresh(known, shown)))
+                        size += len(done[-1][2])
+                    url, known, shown, any_raw = own, set(), [], False
+                    if size > CHUNK or len(done) >= html.BATCH:
+                        yield _rows(done, kind)
+                        done, size = [], 0
+                words = text.split()
+                if is_shown:
+                    shown.append(words if own is not None else [])
+                else:
+                    known.update(words)
+                    any_raw = own is not None
+        if shown:
+            done.append((url, any_raw, _fresh(known, shown)))
+        if done:
+            yield _rows(done, kind)
+
+    return both.repartition("url").sortWithinPartitions("url", "shown").mapInArrow(step, out)
+
+
+def _rows(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*done, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.bool_(), pa.string()), strict=True)], names=["url", "has_raw", "js_text"])
 
 
 def text_diff(raw: DataFrame, rendered: DataFrame) -> DataFrame:
     """(url, js_text) for every rendered URL; raw and rendered hold (url, text)."""
-    found = islands(new_words(raw, rendered))
-    return rendered.select("url").distinct().join(found, "url", "left").select("url", F.coalesce("js_text", F.lit("")).alias("js_text"))
+    return merged(raw, rendered).select("url", "js_text")
 
 
 def pages(parsed: DataFrame, snapshots: DataFrame) -> DataFrame:
